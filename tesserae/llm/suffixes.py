@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.blobs import FREQUENT, REPEAT, ROWS, SAMPLE, blob_rows, bucket_of, by_part, dealt_keys, first_of, mixed, pack, passed, settled_keys, texts_of, unpack
 from tesserae.llm.scratch import Scratch
 
 LENGTH, GRAM = 100, 40
@@ -47,40 +47,6 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WEIGHTS = _RNG.integers(1, 1 << 63, LENGTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
 
-ROWS = "part int, kind int, data binary"
-REPEAT, FREQUENT, SAMPLE = 0, 1, 2
-
-
-def pack(**columns: np.ndarray) -> bytes:
-    """Columns of equal length as one compressed blob with a short head: names, types and widths."""
-    head, body = [], []
-    for name, c in columns.items():
-        head.append(f"{name}:{c.dtype.str}:{c.shape[1] if c.ndim == 2 else 0}")
-        body.append(np.ascontiguousarray(c).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([",".join(head).encode("ascii"), b"\0", *body]))
-
-
-def unpack(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    """The columns of several blobs of the same kind, one after another; nothing for no blobs."""
-    found: dict[str, list[np.ndarray]] = {}
-    tool = zstandard.ZstdDecompressor()
-    for blob in blobs:
-        data = tool.decompress(blob)
-        at = data.index(b"\0") + 1
-        kinds = [(name, np.dtype(kind), int(width)) for name, kind, width in (x.split(":") for x in data[: at - 1].decode("ascii").split(","))]
-        n = (len(data) - at) // sum(kind.itemsize * max(1, width) for _, kind, width in kinds)
-        for name, kind, width in kinds:
-            column = np.frombuffer(data, kind, n * max(1, width), at)
-            at += column.nbytes
-            found.setdefault(name, []).append(column.reshape(n, width) if width else column)
-    return {name: np.concatenate(parts) for name, parts in found.items()}
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """The hash of each string of gram bytes, from those of strings of 1, 2, 4, ... bytes: the byte at j counts _BASE to the power gram - 1 - j."""
     part, size = _TABLE[data], 1
@@ -92,7 +58,7 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
             whole = part[:n] if whole is None else whole * power + part[done : done + n]
             done += size
         if 2 * size > gram:
-            return _mixed(whole)
+            return mixed(whole)
         part = part[:-size] * power + part[size:]
         size *= 2
 
@@ -100,13 +66,13 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 def gram_hash_rows(rows: np.ndarray) -> np.ndarray:
     """What gram_hashes gives for each row of bytes."""
     powers = np.array([pow(int(_BASE), rows.shape[1] - 1 - j, 1 << 64) for j in range(rows.shape[1])], np.uint64)
-    return _mixed(_TABLE[rows] @ powers)
+    return mixed(_TABLE[rows] @ powers)
 
 
 def rows_hash(rows: np.ndarray) -> np.ndarray:
     """A hash of each row of bytes; their number is a multiple of 8."""
     words = np.ascontiguousarray(rows).view(np.uint64)
-    return _mixed(_mixed(words * _WEIGHTS[: words.shape[1]]).sum(axis=1))
+    return mixed(mixed(words * _WEIGHTS[: words.shape[1]]).sum(axis=1))
 
 
 def anchors(data: np.ndarray, bounds: list[tuple[int, int]], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -151,53 +117,19 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[tuple[int, in
         yield np.frombuffer(b"".join(parts), np.uint8), bounds, np.array(which), np.array(shift)
 
 
-def _blob_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    part, kind, data = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
-
-
-def _by_part(part: np.ndarray, **columns: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
-    for i, j in zip([0, *cuts] if len(part) else [], [*cuts, len(part)], strict=False):
-        rows = order[i:j]
-        yield int(part[i]), {k: c[rows] for k, c in columns.items()}
-
-
-def _first_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the number of the first row with its key, and how many rows have it."""
-    order = np.argsort(keys, kind="stable")
-    own = keys[order]
-    new = np.concatenate([[True], own[1:] != own[:-1]])
-    group = np.cumsum(new) - 1
-    first, count = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-    first[order] = order[new][group]
-    count[order] = np.bincount(group)[group]
-    return first, count
-
-
-def _texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    return [(x.as_py() or "").encode("utf-8") for x in column]
-
-
 def find_anchors(docs: DataFrame, n_parts: int, sampled: int) -> DataFrame:
     """Anchors of docs (part, doc, text) for settle_anchors: one of each hash by its bucket, the others, which are repeated for sure, by their documents' part."""
 
     def told(held: list[tuple[np.ndarray, ...]], leads: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h, doc, pos, home = (np.concatenate(c) for c in zip(*held, strict=True))
-        first, count = _first_of(h)
-        own = first == np.arange(len(h))
-        rows = [(n_parts + p, REPEAT, pack(**c)) for p, c in _by_part(home[~own], doc=doc[~own], pos=pos[~own])]
-        rows += [(b, REPEAT, pack(**c)) for b, c in _by_part(_bucket(h[own], n_parts), h=h[own], doc=doc[own], pos=pos[own], count=count[own], home=home[own])]
+        rows = dealt_keys(*(np.concatenate(c) for c in zip(*held, strict=True)), n_parts)
         h, lead = (np.concatenate(c) for c in zip(*leads, strict=True))
-        return _blob_rows(rows + [(b, SAMPLE, pack(**c)) for b, c in _by_part(_bucket(h, n_parts), h=h, lead=lead)])
+        return blob_rows(rows + [(b, SAMPLE, pack(**c)) for b, c in by_part(bucket_of(h, n_parts), h=h, lead=lead)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, leads, size = [], [], 0
         for batch in batches:
             homes, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for data, bounds, which, shift in _pieces(_texts(batch.column(2))):
+            for data, bounds, which, shift in _pieces(texts_of(batch.column(2))):
                 at, h = anchors(data, bounds)
                 piece = np.searchsorted([b for b, _ in bounds], at, side="right") - 1
                 held.append((h, ids[which[piece]], at + shift[piece], homes[which[piece]]))
@@ -213,41 +145,22 @@ def find_anchors(docs: DataFrame, n_parts: int, sampled: int) -> DataFrame:
     return docs.select("part", "doc", "text").mapInArrow(run, ROWS)
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
-
-
-def _passed(rows: pa.Table, part: int) -> pa.Table:
-    """Rows that are for a part of documents already."""
-    return pa.table({"part": pa.array(np.full(len(rows), part), pa.int32()), "kind": rows.column("kind"), "data": rows.column("data")})
-
-
 def settle_anchors(found: DataFrame, n_parts: int) -> DataFrame:
     """Places of repeated anchors by their documents' part; hashes of frequent ones; leading bytes of sampled ones."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         part, kinds = key[0].as_py(), rows.column("kind").to_numpy()
         if part >= n_parts:
-            return _passed(rows, part - n_parts)
+            return passed(rows, part - n_parts)
         blobs = rows.column("data").to_pylist()
         own = unpack([b for b, k in zip(blobs, kinds, strict=True) if k == REPEAT])
-        h = own["h"]
-        order = np.argsort(h, kind="stable")
-        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        total = np.add.reduceat(own["count"][order], np.flatnonzero(new))
-        many = np.empty(len(h), np.int64)
-        many[order] = total[np.cumsum(new) - 1]
-        again = many > 1
-        out = [(p, REPEAT, pack(**c)) for p, c in _by_part(own["home"][again], doc=own["doc"][again], pos=own["pos"][again])]
-        frequent = np.unique(h[many > HOT])
-        if len(frequent):
-            out.append((-1, FREQUENT, pack(h=frequent)))
+        out, again = settled_keys(own, HOT)
         told = unpack([b for b, k in zip(blobs, kinds, strict=True) if k == SAMPLE])
         if told:
-            lead = told["lead"][np.isin(told["h"], h[again])]
+            lead = told["lead"][np.isin(told["h"], again)]
             if len(lead):
                 out.append((-1, SAMPLE, pack(lead=lead)))
-        return pa.Table.from_batches([_blob_rows(out)])
+        return pa.Table.from_batches([blob_rows(out)])
 
     return found.groupBy("part").applyInArrow(run, ROWS)
 
@@ -302,8 +215,8 @@ def strings_around(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def settled(rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Rows, in order of document and place, whose surrounding is that of one before, and the others. A place that comes twice stays once."""
-    h = rows_hash(rows["text"]) + _mixed(rows["left"].astype(np.uint64) * np.uint64(256) + rows["right"].astype(np.uint64))
-    first, _ = _first_of(h)
+    h = rows_hash(rows["text"]) + mixed(rows["left"].astype(np.uint64) * np.uint64(256) + rows["right"].astype(np.uint64))
+    first, _ = first_of(h)
     same = (first != np.arange(len(first))) & (rows["left"] == rows["left"][first]) & (rows["right"] == rows["right"][first])
     at = np.flatnonzero(same)
     for i in range(0, len(at), STEP):
@@ -321,7 +234,7 @@ def find_suffixes(docs: DataFrame, repeats: DataFrame, n_parts: int, cuts: np.nd
         out: list[tuple[int, int, bytes]] = []
         own = unpack(right.column("data").to_pylist())
         if not own or not len(left):
-            return pa.Table.from_batches([_blob_rows(out)])
+            return pa.Table.from_batches([blob_rows(out)])
         part = key[0].as_py()
 
         def kept(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -332,9 +245,9 @@ def find_suffixes(docs: DataFrame, repeats: DataFrame, n_parts: int, cuts: np.nd
             return rest
 
         def dealt(bucket: np.ndarray, rows: dict[str, np.ndarray]) -> None:
-            out.extend((b, REPEAT, pack(**c, home=np.full(len(c["doc"]), part, np.int32))) for b, c in _by_part(bucket, **rows))
+            out.extend((b, REPEAT, pack(**c, home=np.full(len(c["doc"]), part, np.int32))) for b, c in by_part(bucket, **rows))
 
-        texts = dict(zip(left.column("doc").to_pylist(), _texts(left.column("text")), strict=True))
+        texts = dict(zip(left.column("doc").to_pylist(), texts_of(left.column("text")), strict=True))
         order = np.lexsort((own["pos"], own["doc"]))
         names = ("doc", "pos", "text", "left", "right")
         rows = kept(_joined([kept(dict(zip(names, x, strict=True))) for x in surroundings(texts, own["doc"][order], own["pos"][order])]))
@@ -343,8 +256,8 @@ def find_suffixes(docs: DataFrame, repeats: DataFrame, n_parts: int, cuts: np.nd
         dealt(np.searchsorted(cuts, _strings(calm["text"][:, before : before + LEAD]), side="right"), calm)
         for i in range(0, len(hot["doc"]), STEP // 8):
             every = kept(strings_around(_taken(hot, np.arange(i, min(i + STEP // 8, len(hot["doc"]))))))
-            dealt(_bucket(rows_hash(every["text"]), n_parts), every)
-        return pa.Table.from_batches([_blob_rows(out)])
+            dealt(bucket_of(rows_hash(every["text"]), n_parts), every)
+        return pa.Table.from_batches([blob_rows(out)])
 
     return docs.groupBy("part").cogroup(repeats.groupBy("part")).applyInArrow(run, ROWS)
 
@@ -404,7 +317,7 @@ def repeated(doc: np.ndarray, pos: np.ndarray, text: np.ndarray, left: np.ndarra
             classes[side, by] = np.cumsum(common < depth)
             some &= np.bincount(classes[side])[classes[side]] > 1
         at = np.flatnonzero(some)
-        first, _ = _first_of(classes[0, at] * (n + 1) + classes[1, at])
+        first, _ = first_of(classes[0, at] * (n + 1) + classes[1, at])
         other = at[first]
         marked[at[(doc[at] != doc[other]) | (pos[at] != pos[other])], offset] = True
     edge = np.zeros((n, before + 3), np.int8)
@@ -421,10 +334,10 @@ def settle_suffixes(found: DataFrame, n_parts: int) -> DataFrame:
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         part = key[0].as_py()
         if part >= n_parts:
-            return _passed(rows, part - n_parts)
+            return passed(rows, part - n_parts)
         own = unpack(rows.column("data").to_pylist())
         row, start, end = repeated(own["doc"], own["pos"], own["text"], own["left"], own["right"])
-        return pa.Table.from_batches([_blob_rows([(p, REPEAT, pack(**c)) for p, c in _by_part(own["home"][row], doc=own["doc"][row], start=start, end=end)])])
+        return pa.Table.from_batches([blob_rows([(p, REPEAT, pack(**c)) for p, c in by_part(own["home"][row], doc=own["doc"][row], start=start, end=end)])])
 
     return found.groupBy("part").applyInArrow(run, ROWS)
 
@@ -450,7 +363,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         doc, start, end = doc[order], own.get("start", doc)[order], own.get("end", doc)[order]
         ids, kept, gone = left.column("doc").to_pylist(), [], []
         low, high = np.searchsorted(doc, ids, side="left"), np.searchsorted(doc, ids, side="right")
-        for text, i, j in zip(_texts(left.column("text")), low, high, strict=True):
+        for text, i, j in zip(texts_of(left.column("text")), low, high, strict=True):
             runs = merged(start[i:j], end[i:j])
             at, parts = 0, []
             for a, b in runs:
@@ -511,7 +424,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, doc, n = (c.to_numpy() for c in batch.columns)
-            rows = [(k, pack(**c)) for k, c in _by_part(p, doc=doc, start=np.zeros(len(doc), np.int64), end=n)]
+            rows = [(k, pack(**c)) for k, c in by_part(p, doc=doc, start=np.zeros(len(doc), np.int64), end=n)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "data"])
 
     gone = copies.select(part, "doc", "n").mapInArrow(whole, "part int, data binary")
