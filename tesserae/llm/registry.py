@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("bpe", "minhash", "suffixes", "toxicity", "warc")
+MODULES = ("lines", "bpe", "chat", "minhash", "packing", "suffixes", "toxicity", "warc")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
