@@ -333,7 +333,8 @@ def confirm(docs: DataFrame, members: DataFrame, n_tasks: int) -> DataFrame:
     small = F.struct(F.pmod(F.xxhash64("family"), F.lit(n_tasks)).cast("long").alias("task"), F.lit(-1).alias("x"), F.lit(-1).alias("y"))
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.col("family").alias("task"), F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))
     wanted = members.select(F.col("doc_id").alias("want_id"), "node", "cid", "family", F.when(blocks <= 1, F.array(small)).otherwise(pairs).alias("tasks"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("want_id")).select("text", "node", "cid", "family", "tasks")
+    # Wanted ids grow with the corpus, so they are never broadcast, not even where they happen to be few.
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("want_id")).select("text", "node", "cid", "family", "tasks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
