@@ -63,8 +63,8 @@ def by_part(part: np.ndarray, **columns: np.ndarray) -> Iterator[tuple[int, dict
 def first_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row the number of the first row with its key, and how many rows have it."""
     order = np.argsort(keys, kind="stable")
-    own = keys[order]
-    new = np.concatenate([[True], own[1:] != own[:-1]])
+    own, new = keys[order], np.ones(len(keys), bool)
+    new[1:] = own[1:] != own[:-1]
     group = np.cumsum(new) - 1
     first, count = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
     first[order] = order[new][group]

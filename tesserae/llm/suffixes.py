@@ -354,7 +354,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc, kept bytes and removed spans of each row of docs (part, doc, text)."""
+    """doc, rest, kept bytes and removed spans of each row of docs (part, doc, text, rest)."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         own = unpack(right.column("data").to_pylist())
@@ -372,33 +372,37 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             kept.append(b"".join([*parts, text[at:]]))
             gone.append([{"start": a, "end": b} for a, b in runs])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc": left.column("doc"), "kept": pa.array(kept, pa.binary()), "removed": pa.array(gone, kind)})
+        return pa.table({"doc": left.column("doc"), "rest": left.column("rest"), "kept": pa.array(kept, pa.binary()), "removed": pa.array(gone, kind)})
 
-    return docs.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(run, "doc long, kept binary, removed array<struct<start: long, end: long>>")
+    shape = f"doc long, rest {docs.schema['rest'].dataType.simpleString()}, kept binary, removed array<struct<start: long, end: long>>"
+    return docs.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(run, shape)
 
 
 def _numbered(docs: DataFrame, room: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """docs as (doc, text) with unique doc in order of doc_id, and the doc_id of each doc with its number of rows; None if they are the same.
+    """docs (doc_id, text, rest) as (doc, text, rest) with unique doc in order of doc_id, and doc, doc_id and rest of each row; None if doc_id is unique.
 
     Rows of a repeated doc_id are documents in the order of a digest of their texts, and null ids come last."""
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
-        return docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), None
+        return docs.select(F.col("doc_id").cast("long").alias("doc"), "text", "rest"), None
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")
-    counted = docs.groupBy(F.col("doc_id").alias("id"), digest).agg(F.count(F.lit(1)).alias("times"))
-    names = room.keep(counted.orderBy(F.col("id").asc_nulls_last(), "digest").withColumn("doc", F.monotonically_increasing_id()), "names")
-    own = docs.select("doc_id", digest.alias("own"), "text").join(names, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")))
-    return room.keep(own.dropDuplicates(["doc"]).select("doc", "text"), "numbered"), names.select("doc", F.col("id").alias("doc_id"), "times")
+    names = docs.select(F.col("doc_id").alias("id"), digest).distinct().orderBy(F.col("id").asc_nulls_last(), "digest")
+    names = room.keep(names.withColumn("doc", F.monotonically_increasing_id()), "names")
+    own = docs.select("doc_id", digest.alias("own"), "text", "rest").join(names, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")))
+    one = own.dropDuplicates(["doc"]).select("doc", "text", F.lit(None).cast("int").alias("rest"))
+    return room.keep(one, "numbered"), own.select(F.col("doc").alias("number"), "doc_id", F.col("rest").alias("other"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, kept (bytes) and removed (spans of bytes) of each row of docs (doc_id, text).
+    """Each row of docs (doc_id, text, others) with kept (bytes) and removed (spans of bytes) instead of text.
 
     A null text is empty. Rows of the same doc_id and text are one document: each of them gets its result; rows of the
-    same doc_id and other texts are documents in the order of a hash of their texts. Null ids come last. Other columns
-    are not looked at. The input is read three times; texts are shuffled to their group of about GROUP_BYTES each time.
+    same doc_id and other texts are documents in the order of a hash of their texts. Null ids come last. Other columns stay
+    as they are. The input is read three times; texts are shuffled to their group of about GROUP_BYTES each time.
     """
     room = Scratch(spark, "suffixes")
-    docs, names = _numbered(docs, room)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))) if others else F.lit(None).cast("int")
+    docs, names = _numbered(docs.select("doc_id", "text", rest.alias("rest")), room)
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     size = F.octet_length("text")
     keyed = room.keep(docs.select("doc", size.cast("long").alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")), "digests")
@@ -409,8 +413,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     firsts = long.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest", "first")
     copies = room.keep(long.join(firsts, "digest").where("doc > first").select("doc", "n"), "copies")
 
-    grouped = docs.select(part, "doc", "text")
-    fresh = grouped.where(F.octet_length("text") >= LENGTH).join(copies.select("doc"), "doc", "left_anti")
+    grouped = docs.select(part, "doc", "text", "rest")
+    fresh = grouped.drop("rest").where(F.octet_length("text") >= LENGTH).join(copies.select("doc"), "doc", "left_anti")
     sampled = max(SAMPLED, 2 * total // (LENGTH - GRAM) // SAMPLES)
     found = room.keep(settle_anchors(find_anchors(fresh, n_parts, sampled), n_parts), "anchors")
     # At most the corpus's anchors over HOT, and about SAMPLES.
@@ -418,7 +422,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     cuts = splitters(told[SAMPLE].get("lead", np.zeros((0, LEAD), np.uint8)), n_parts)
     frequent = told[FREQUENT].get("h", np.zeros(0, np.uint64))
     repeats = found.where(F.col("kind") == REPEAT).select("part", "data")
-    spans = room.keep(settle_suffixes(find_suffixes(grouped, repeats, n_parts, cuts, frequent), n_parts).select("part", "data"), "spans")
+    spans = room.keep(settle_suffixes(find_suffixes(grouped.drop("rest"), repeats, n_parts, cuts, frequent), n_parts).select("part", "data"), "spans")
     room.drop("anchors")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,8 +434,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     gone = copies.select(part, "doc", "n").mapInArrow(whole, "part int, data binary")
     cut = cut_spans(grouped, spans.unionByName(gone))
     if names is None:
-        return cut.withColumnRenamed("doc", "doc_id")
-    return cut.join(names, "doc").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc_id", "kept", "removed")
+        cut = cut.withColumnsRenamed({"doc": "doc_id"})
+    else:
+        cut = cut.drop("rest").join(names, F.col("doc") == F.col("number")).withColumnRenamed("other", "rest")
+    return cut.select("doc_id", "kept", "removed", *(F.col(f"rest.c{i}").alias(c) for i, c in enumerate(others)))
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
