@@ -32,16 +32,20 @@ def _range(n: Column) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _counts(line: Column) -> Column:
+    return F.ltrim(line, F.lit(BLANK)) != ""
+
+
 def _counted(lines: Column) -> Column:
     """Numbers of the lines that aren't blank."""
-    return F.filter(_range(F.size(lines)), lambda i: F.translate(F.get(lines, i), BLANK, "") != "")
+    return F.filter(_range(F.size(lines)), lambda i: _counts(F.get(lines, i)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """id, own (a hash of the text), print (the fingerprint), base (the first line of around) and around: hashes of the lines that a string of RUN lines with the fingerprint can reach."""
     spread = RUN - GRAM
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), _lines(F.col("text")).alias("lines"))
-    rows = rows.where(F.size("lines") >= RUN).select("id", "own", F.transform(F.filter("lines", lambda x: F.translate(x, BLANK, "") != ""), lambda x: F.xxhash64(x)).alias("hashes"))
+    rows = rows.where(F.size("lines") >= RUN).select("id", "own", F.transform(F.filter("lines", _counts), lambda x: F.xxhash64(x)).alias("hashes"))
     rows = rows.where(F.size("hashes") >= RUN)
     grams = F.transform(_range(F.size("hashes") - (GRAM - 1)), lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(GRAM))))
     rows = rows.withColumn("grams", grams)
@@ -81,7 +85,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lines = _lines(F.col("text"))
     covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (RUN - 1)))))
     joined = joined.withColumn("__lines", F.when(F.col("__starts").isNotNull(), lines)).withColumn("__counted", _counted(F.col("__lines")))
-    joined = joined.withColumn("__gone", F.transform(covered, lambda i: F.get("__counted", i)))
+    # Two uses of the column keep it from being inlined into the lambda, where it would run for each element.
+    joined = joined.withColumn("__gone", F.when(F.size("__counted") > 0, F.transform(covered, lambda i: F.get("__counted", i))))
     kept = F.transform(F.array_except(_range(F.size("__lines")), F.col("__gone")), lambda i: F.get("__lines", i))
     text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     removed = F.when(F.col("__starts").isNull(), F.lit(0)).otherwise(F.size("__gone"))
