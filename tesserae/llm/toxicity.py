@@ -42,13 +42,16 @@ FEATURES = (
 )
 
 
+_STRETCHED, _TRIPLE, _MARKS = re.compile(r"(.)\1\1"), re.compile(r"(.)\1{2,}"), re.compile(r"[\W_]")
+
+
 def word(token: str) -> str:
     return token.strip(EDGE).lower()
 
 
 def plain_letters(token: str) -> str:
     """token without what hides its letters: look-alikes, marks between and stretched letters."""
-    return re.sub(r"(.)\1{2,}", r"\1", re.sub(r"[\W_]", "", token.lower().translate(LEET)))
+    return _TRIPLE.sub(r"\1", _MARKS.sub("", token.lower().translate(LEET)))
 
 
 class Extractor:
@@ -60,17 +63,21 @@ class Extractor:
         self.table = np.zeros((1024, len(PER_TOKEN)))
 
     def row(self, token: str) -> list[float]:
-        key = word(token)
+        core = token.strip(EDGE)
+        key = core.lower()
         weight = self.lexicon.get(key, 0.0)
-        clear, hidden = plain_letters(token), 0.0
-        if not weight and clear != key:
-            hidden = self.lexicon.get(clear, 0.0)
-        inner = key[1:-1]
+        second, single, edges = float(key in SECOND_PERSON), float(len(key) == 1), len(token) - len(core)
+        stretched = _STRETCHED.search(key) is not None
+        ends = (token.count("!"), token.count("?"), token.count("*")) if edges else (0, 0, 0)
+        if not stretched and core.isalpha():  # what most tokens are: nothing in them hides letters
+            letters, upper = len(core), 0 if core.islower() else sum(map(str.isupper, core))
+            return [weight, float(weight > 0), float(weight >= STRONG), 0.0, second, letters, upper, float(upper == letters > 2), 0.0, 0.0, single, *ends, edges]
+        hidden = 0.0 if weight else self.lexicon.get(plain_letters(token), 0.0)
         letters, upper = sum(map(str.isalpha, token)), sum(map(str.isupper, token))
+        mixed = float(letters > 0 and any(not c.isalpha() and c not in "-'’" for c in key[1:-1]))
         return [
-            weight or hidden, float(weight > 0), float((weight or hidden) >= STRONG), float(hidden > 0), float(key in SECOND_PERSON), letters, upper,
-            float(upper == letters > 2), float(any(not c.isalpha() and c not in "-'’" for c in inner) and letters > 0),
-            float(re.search(r"(.)\1\1", key) is not None), float(len(key) == 1), token.count("!"), token.count("?"), token.count("*"), sum(c in EDGE for c in token),
+            weight or hidden, float(weight > 0), float((weight or hidden) >= STRONG), float(hidden > 0), second, letters, upper, float(upper == letters > 2), mixed, float(stretched), single,
+            token.count("!"), token.count("?"), token.count("*"), sum(c in EDGE for c in token),
         ]
 
     def add(self, token: str) -> int:
