@@ -32,6 +32,12 @@ def _range(n: Column) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _held(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once: a generator of one row. The optimizer would else put an array's expression
+    into each filter above and into each lambda that looks something up in it, to run there for every element."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def _counts(line: Column) -> Column:
     return F.ltrim(line, F.lit(BLANK)) != ""
 
@@ -48,7 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.where(F.size("lines") >= RUN).select("id", "own", F.transform(F.filter("lines", _counts), lambda x: F.xxhash64(x)).alias("hashes"))
     rows = rows.where(F.size("hashes") >= RUN)
     grams = F.transform(_range(F.size("hashes") - (GRAM - 1)), lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(GRAM))))
-    rows = rows.withColumn("grams", grams)
+    rows = _held(rows, grams=grams)
 
     def least(s: Column) -> Column:
         window = F.slice("grams", s + 1, spread + 1)
@@ -82,15 +88,14 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     runs = later_runs(docs.select("doc_id", "text"), room).groupBy("id", "own").agg(F.collect_set("at").alias("starts"))
     runs = runs.withColumnsRenamed({"id": "__id", "own": "__own", "starts": "__starts"})
     joined = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__own")), "left")
-    lines = _lines(F.col("text"))
+    joined = _held(joined, __lines=F.when(F.col("__starts").isNotNull(), _lines(F.col("text"))))
     covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (RUN - 1)))))
-    joined = joined.withColumn("__lines", F.when(F.col("__starts").isNotNull(), lines)).withColumn("__counted", _counted(F.col("__lines")))
-    # Two uses of the column keep it from being inlined into the lambda, where it would run for each element.
-    joined = joined.withColumn("__gone", F.when(F.size("__counted") > 0, F.transform(covered, lambda i: F.get("__counted", i))))
+    joined = _held(joined, __counted=_counted(F.col("__lines")), __covered=covered)
+    joined = _held(joined, __gone=F.transform("__covered", lambda i: F.get("__counted", i)))
     kept = F.transform(F.array_except(_range(F.size("__lines")), F.col("__gone")), lambda i: F.get("__lines", i))
-    text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("__starts").isNull(), F.lit(0)).otherwise(F.size("__gone"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), removed.alias("removed"))
+    same = F.col("__starts").isNull()
+    joined = _held(joined, __text=F.when(same, F.col("text")).otherwise(F.array_join(kept, "\n")), __removed=F.when(same, F.lit(0)).otherwise(F.size("__gone")))
+    return joined.select(*(F.col("__text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.col("__removed").alias("removed"))
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
