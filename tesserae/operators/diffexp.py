@@ -29,6 +29,8 @@ class TestMethod(Enum):
 
 
 REST = "rest"
+#: More than eight times the largest binary exponent of a double.
+BANDS = 10_000
 
 
 @dataclass(frozen=True)
@@ -138,13 +140,21 @@ def mann_whitney(data: ExprData, who: Comparison, continuity: bool = True) -> Da
         base = both.groupBy("var_id", "group", "value").agg((own + ref).alias("t"), own.alias("mine"))
         keys = ["var_id", "group"]
         n_all = _long(who.sizes, F.col("group")) + F.lit(float(who.sizes[who.reference]))
-    order = Window.partitionBy(*keys).orderBy("value")
-    whole = Window.partitionBy(*keys)
+    # A key's values are cut into bands of nearly equal ones, so that no task has to order all values of a variable; what
+    # is summed over a whole key has a row for each band, of which there are at most a few thousand for any doubles.
+    level = F.floor(F.log2(F.abs(F.col("value"))) * 8.0)
+    base = base.withColumn("band", F.when(F.col("value") > 0, level + BANDS).otherwise(-level - BANDS))
+    bands = base.groupBy(*keys, "band").agg(F.sum("t").alias("held"))
+    along, whole = Window.partitionBy(*keys).orderBy("band"), Window.partitionBy(*keys)
+    zeros = n_all - F.sum("held").over(whole).cast("double")
+    negative = F.coalesce(F.sum(F.when(F.col("band") < 0, F.col("held"))).over(whole), F.lit(0)).cast("double")
+    ahead = F.coalesce(F.sum("held").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    bands = bands.select(*keys, "band", ahead.alias("ahead"), zeros.alias("zeros"), negative.alias("negative"))
     t = F.col("t").cast("double")
-    below = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
-    zeros = n_all - F.sum("t").over(whole).cast("double")
-    negative = F.coalesce(F.sum(F.when(F.col("value") < 0, F.col("t"))).over(whole), F.lit(0)).cast("double")
-    ranked = base.withColumns({"rank": below + F.when(F.col("value") > 0, zeros).otherwise(0.0) + (t + 1.0) / 2.0, "zeros": zeros, "negative": negative, "tie": t * t * t - t})
+    inside = Window.partitionBy(*keys, "band").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("ahead") + F.coalesce(F.sum("t").over(inside), F.lit(0)).cast("double")
+    ranked = base.join(bands, [*keys, "band"])
+    ranked = ranked.withColumns({"rank": below + F.when(F.col("value") > 0, F.col("zeros")).otherwise(0.0) + (t + 1.0) / 2.0, "tie": t * t * t - t})
     names = F.array(*map(F.lit, who.tested)) if who.tested else F.array().cast("array<string>")
     if who.reference is None:
         ranked = ranked.withColumn("group", F.explode(names)).withColumn("mine", F.coalesce(F.try_element_at("at", F.col("group")), F.lit(0)))
