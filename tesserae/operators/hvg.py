@@ -75,6 +75,25 @@ def normalized_dispersions(rows: DataFrame) -> DataFrame:
     return rows.join(stats, "bin").withColumn("dispersions_norm", F.when(scale != 0, (F.col("dispersions") - center) / scale)).drop("m", "sd")
 
 
+def normalized_by_batch(rows: DataFrame, n_bins: int, batch: str | None = None) -> DataFrame:
+    """rows (means, dispersions, batch) with dispersions_norm within bins of equal width of each batch: 0 where a bin has no deviation, or where there is no batch."""
+    label = F.col(batch).cast("string") if batch else F.lit("")
+    own = Window.partitionBy("__batch")
+    low, high = F.min("means").over(own), F.max("means").over(own)
+    width = (high - low) / F.lit(float(n_bins))
+    at = F.when((F.col("means") == high) | (width <= 0), n_bins - 1).otherwise(F.least(F.floor((F.col("means") - low) / F.when(width > 0, width)), F.lit(n_bins - 1)))
+    placed = rows.withColumn("__batch", label).withColumn("bin", at.cast("int"))
+    both = Window.partitionBy("__batch", "bin")
+    mean, sd = F.avg("dispersions").over(both), F.stddev_samp("dispersions").over(both)
+    norm = F.when(F.col("__batch").isNotNull() & (sd > 0), (F.col("dispersions") - mean) / sd)
+    return placed.withColumn("dispersions_norm", F.coalesce(norm, F.lit(0.0))).drop("__batch")
+
+
+def equal_frequency_bins(rows: DataFrame, n_bins: int) -> DataFrame:
+    """rows with bin, of as many variables each in order of means; the first bins have one more. Variables are few, so one task orders them."""
+    return rows.withColumn("bin", F.ntile(n_bins).over(Window.partitionBy(F.lit(0)).orderBy("means", "var_id")) - 1)
+
+
 def chosen(rows: DataFrame, score: str, n: int) -> Column | None:
     """A condition for scores not below the n-th largest: ties may exceed n, nulls never pass, and n of 0 chooses none."""
     if n <= 0:

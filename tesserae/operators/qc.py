@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from tesserae.operators.statistics import top_segment_proportions
 from tesserae.plans.data import Direction, ExprData
 
 #: How the names of mitochondrial genes begin.
@@ -24,17 +23,27 @@ def _source(data: ExprData, layer: str | None, use_raw: bool) -> ExprData:
 
 
 def describe_obs(data: ExprData, expr_type: str, var_type: str, qc_vars: Sequence[str], percent_top: Sequence[int], log1p: bool) -> DataFrame:
-    """A row for each observation; masks of variables are aggregated in the same pass as the sums."""
+    """A row for each observation. Entries are ordered within their observation, which has at most as many as there are
+    variables, and everything is summed by one aggregate over the same partitioning: one shuffle of the entries."""
     kinds = dict(data.var.dtypes)
     for name in qc_vars:
         if not isinstance(data.var.schema[name].dataType if name in kinds else None, BooleanType):
             raise ValueError(f"{name} is no boolean column of variables")
-    x = data.x
+    x = data.x.where("value <> 0")
     if qc_vars:
         flags = data.var.select("var_id", *(F.coalesce(F.col(f"`{g}`"), F.lit(False)).alias(f"g{i}") for i, g in enumerate(qc_vars)))
         x = x.join(flags, "var_id", "left")
     parts = [F.sum(F.when(F.col(f"g{i}"), F.col("value")).otherwise(0.0)).alias(f"t{i}") for i in range(len(qc_vars))]
-    sums = x.groupBy("obs_id").agg(F.count_if(F.col("value") != 0).alias("n"), F.sum("value").alias("t"), *parts)
+    tops = list(dict.fromkeys(percent_top))
+    if tops:
+        n_vars = data.length(Direction.COLUMN)
+        if max(tops) > n_vars:
+            raise ValueError(f"{max(tops)} is more than the {n_vars} variables there are")
+        own = Window.partitionBy("obs_id")
+        order, stored = F.row_number().over(own.orderBy(F.desc("value"), "var_id")), F.count(F.lit(1)).over(own)
+        x = x.withColumn("place", F.when(F.col("value") > 0, order).otherwise(order + n_vars - stored))
+        parts += [F.sum(F.when(F.col("place") <= n, F.col("value")).otherwise(0.0)).alias(f"s{n}") for n in tops]
+    sums = x.groupBy("obs_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("t"), *parts)
     rows = data.obs.select("obs_id").join(sums, "obs_id", "left").select("obs_id", *(F.coalesce(c, F.lit(0) if c == "n" else F.lit(0.0)).alias(c) for c in sums.columns if c != "obs_id"))
     out = [F.col("n").alias(f"n_{var_type}_by_{expr_type}")]
     if log1p:
@@ -42,9 +51,7 @@ def describe_obs(data: ExprData, expr_type: str, var_type: str, qc_vars: Sequenc
     out.append(F.col("t").alias(f"total_{expr_type}"))
     if log1p:
         out.append(F.log1p("t").alias(f"log1p_total_{expr_type}"))
-    if percent_top:
-        rows = rows.join(top_segment_proportions(data, Direction.ROW, percent_top), "obs_id")
-        out += [(F.col(f"top_{n}") * 100.0).alias(f"pct_{expr_type}_in_top_{n}_{var_type}") for n in dict.fromkeys(percent_top)]
+    out += [F.when(F.col("t") > 0, F.col(f"s{n}") / F.col("t") * 100.0).otherwise(0.0).alias(f"pct_{expr_type}_in_top_{n}_{var_type}") for n in tops]
     for i, g in enumerate(qc_vars):
         out.append(F.col(f"t{i}").alias(f"total_{expr_type}_{g}"))
         if log1p:

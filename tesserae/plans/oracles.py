@@ -61,6 +61,15 @@ s as (select bin, avg(dispersions) as am, stddev_samp(dispersions) as sd from k
 z as (select var_id, means, dispersions, case when sd is null then (case when am <> 0 then dispersions / am end) when sd <> 0 then (dispersions - am) / sd end as norm from k join s using (bin))
 select var_id, {r('means', 'means')}, {r('dispersions', 'dispersions')}, {r('norm', 'dispersions_norm')}, """
 
+_MEANS = f"""with {BASE},
+m as (select var_id, avg(value) as mean, var_samp(value) as var from d group by 1),
+l as (select var_id, ln(mean + 1) as means, ln(var / greatest(mean, 1e-12)) as disp from m where var > 0 union all select var_id, ln(mean + 1), null from m where not var > 0)"""
+_BATCHED = f"""{_MEANS},
+e as (select brand, min(means) as lo, max(means) as hi from l join var using (var_id) group by 1),
+k as (select l.*, brand, case when means = hi then 4 else cast(floor((means - lo) / ((hi - lo) / 5.0::double)) as int) end as bin from l join var using (var_id) join e using (brand)),
+s as (select brand, bin, avg(disp) as am, stddev_samp(disp) as sd from k group by 1, 2)
+select var_id, {r('case when sd > 0 then coalesce((disp - am) / sd, 0) else 0 end', 'dispersions_norm')} from k join s using (brand, bin)"""
+
 _GROUPED = f"""with {{base}},
 g as (select distinct segment as grp from obs),
 k as (select grp, var_id, coalesce(segment = grp, false) as mine, value from {{of}} cross join g)"""
@@ -139,6 +148,8 @@ select cast(i // 3 as bigint) as position, o.obs_id, string_agg(format('{{:.1f}}
     "log1p": f"with {BASE} select obs_id, var_id, {r('ln(1 + value)', 'value')} from x",
     "hvg_seurat_cutoff": _HVG + "means > 0.0125 and means < 100 and coalesce(norm, 0) > 0.5 as highly_variable from z",
     "hvg_seurat_topn": _HVG + "coalesce(norm >= (select min(norm) from (select norm from z where norm is not null order by norm desc limit 50)), false) as highly_variable from z",
+    "hvg_by_batch": _BATCHED,
+    "hvg_equal_frequency_bins": f"{_MEANS}, b as (select *, ntile(7) over (order by round(means, 12), var_id) - 1 as bin from l) select cast(bin as int) as bin, count(*) as n, {r('min(means)', 'low')}, {r('max(means)', 'high')} from b group by bin",
     "de_group_sums": f"{_GROUPED.format(base=BASE, of='d')} select grp as \"group\", var_id, {_SUMS} from k group by 1, 2",
     "de_logfc": f"""{_GROUPED.format(base=LOGGED, of='e')},
 s as (select grp, var_id, avg(value) filter (mine) as a, avg(value) filter (not mine) as b from k group by 1, 2)

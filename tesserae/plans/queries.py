@@ -142,6 +142,8 @@ QUERIES: dict[str, Query] = {
     "log1p": _matrix(lambda d: transform.log1p_expression(d).x),
     "hvg_seurat_cutoff": _hvg(max_mean=100.0),
     "hvg_seurat_topn": _hvg(n_top_genes=50),
+    "hvg_by_batch": _matrix(lambda d: hvg.normalized_by_batch(hvg.dispersions(hvg.moments(d)).join(d.var.select("var_id", "brand"), "var_id"), 5, "brand").select("var_id", "dispersions_norm")),
+    "hvg_equal_frequency_bins": _matrix(lambda d: hvg.equal_frequency_bins(hvg.dispersions(hvg.moments(d)), 7).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("means").alias("low"), F.max("means").alias("high"))),
     "hvg_svr": _matrix(lambda d: hvg.svr(d, hvg.HVGParams(n_top_genes=200, flavor=hvg.Flavor.SVR))),
     "de_group_sums": _matrix(lambda d: diffexp.group_sums(d, _groups(d))),
     "de_logfc": _matrix(lambda d: diffexp.log_fold_change(diffexp.group_sums(d, _groups(d))).select("group", "var_id", "logfoldchange"), logged),
