@@ -94,20 +94,20 @@ def equal_frequency_bins(rows: DataFrame, n_bins: int) -> DataFrame:
     return rows.withColumn("bin", F.ntile(n_bins).over(Window.partitionBy(F.lit(0)).orderBy("means", "var_id")) - 1)
 
 
-def chosen(rows: DataFrame, score: str, n: int) -> Column | None:
-    """A condition for scores not below the n-th largest: ties may exceed n, nulls never pass, and n of 0 chooses none."""
-    if n <= 0:
-        return None
-    top = rows.where(F.col(score).isNotNull()).orderBy(F.desc(score)).limit(n).agg(F.min(score)).first()[0]
-    return None if top is None else F.coalesce(F.col(score) >= F.lit(top), F.lit(False))
+def chosen(score: str, n: int) -> Column:
+    """A condition for scores not below the n-th largest: ties may exceed n, nulls never pass, and n of 0 chooses none.
+
+    Scores count to nine places: sums that engines add up in another order differ in their last bits, and all bins of two
+    variables have the same scores."""
+    rank = F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.round(score, 9).desc_nulls_last()))
+    return F.col(score).isNotNull() & (rank <= n)
 
 
 def seurat(data: ExprData, params: HVGParams) -> DataFrame:
     """var_id, means, dispersions, dispersions_norm and highly_variable."""
     rows = normalized_dispersions(equal_width_bins(dispersions(moments(data)), params.n_bins))
     if params.n_top_genes is not None:
-        passes = chosen(rows, "dispersions_norm", params.n_top_genes)
-        mark = F.lit(False) if passes is None else passes
+        mark = chosen("dispersions_norm", params.n_top_genes)
     else:
         mark = (F.col("means") > params.min_mean) & (F.col("means") < params.max_mean) & (F.coalesce("dispersions_norm", F.lit(0.0)) > params.min_dispersion)
     return rows.select("var_id", "means", "dispersions", "dispersions_norm", F.coalesce(mark, F.lit(False)).alias("highly_variable"))

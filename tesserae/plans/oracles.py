@@ -147,7 +147,7 @@ select cast(i // 3 as bigint) as position, o.obs_id, string_agg(format('{{:.1f}}
     "normalize_col": f"with {BASE} select obs_id, var_id, {r('value * 10000.0::double / sum(value) over (partition by var_id)', 'value')} from x",
     "log1p": f"with {BASE} select obs_id, var_id, {r('ln(1 + value)', 'value')} from x",
     "hvg_seurat_cutoff": _HVG + "means > 0.0125 and means < 100 and coalesce(norm, 0) > 0.5 as highly_variable from z",
-    "hvg_seurat_topn": _HVG + "coalesce(norm >= (select min(norm) from (select norm from z where norm is not null order by norm desc limit 50)), false) as highly_variable from z",
+    "hvg_seurat_topn": _HVG + "norm is not null and rank() over (order by round(norm, 9) desc nulls last) <= 50 as highly_variable from z",
     "hvg_by_batch": _BATCHED,
     "hvg_equal_frequency_bins": f"{_MEANS}, b as (select *, ntile(7) over (order by round(means, 12), var_id) - 1 as bin from l) select cast(bin as int) as bin, count(*) as n, {r('min(means)', 'low')}, {r('max(means)', 'high')} from b group by bin",
     "de_group_sums": f"{_GROUPED.format(base=BASE, of='d')} select grp as \"group\", var_id, {_SUMS} from k group by 1, 2",

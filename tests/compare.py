@@ -30,4 +30,4 @@ def same_rows(df, sql, sf_dir):
     assert sorted(names) == columns
     want = sorted((tuple(norm(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)
     assert len(got) == len(want)
-    assert got == want
+    assert got == want, [x for x in zip(got, want) if x[0] != x[1]][:3]
