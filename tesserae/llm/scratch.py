@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -31,11 +32,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """The session may be gone by now: a folder of this machine is then deleted without it, and another is the cluster's to clean."""
     try:
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-    except Exception:  # the session may be gone by now; the folder is then the cluster's to clean
-        return
+        _delete(spark, path)
+    except Exception:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 @contextmanager
