@@ -37,7 +37,7 @@ BLOCK = 1024
 #: Sub-keys beyond which a key's bucket is cut into blocks.
 HOT = 20_000
 #: Text bytes hashed at once, classes of a part, and shingles whose families share a task.
-PIECE, PART_ROWS, TASK_SHINGLES = 1 << 20, 1 << 14, 1 << 21
+PIECE, PART_ROWS, TASK_SHINGLES = 1 << 20, 1 << 14, 1 << 19
 
 _RNG = np.random.default_rng(6)
 _XOR = _RNG.integers(1, 1 << 63, SKETCH, dtype=np.uint64)
