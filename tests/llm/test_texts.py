@@ -215,3 +215,8 @@ def test_archives_are_cut_by_size(spark):
     manifest = room.keep(warc.write_archives(pages, f"{room.path}/archives", max_archive_bytes=2000), "manifest")
     assert manifest.count() > 3 and manifest.agg(F.sum("records")).first()[0] == 50
     assert warc.read_archives(manifest).select("page_id").distinct().count() == 50
+
+
+def test_lines_run_without_python(spark, sf_dir):
+    text = lines.op5_lines(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "Pandas" not in text and "InArrow" not in text
