@@ -96,6 +96,11 @@ def test_fewer_rows_than_neighbours(spark):
     assert neighbours.nearest(spark, empty, F.expr(ASKS)).count() == 0 and mtree.largest_products(empty, F.expr(ASKS)).count() == 0
 
 
+def test_cosines_of_very_long_and_very_short_vectors():
+    x = np.array([[1e300, 1e300], [1e-300, 0.0], [1.0, 0.0]])
+    assert neighbours.cosines(x, x) == pytest.approx(np.array([[1, 0.5**0.5, 0.5**0.5], [0.5**0.5, 1, 1], [0.5**0.5, 1, 1]]))
+
+
 def test_rotation_keeps_lengths_and_joined_keys_probe_the_own_one():
     x = np.random.default_rng(4).normal(size=(50, 20))
     assert np.linalg.norm(neighbours.rotations(x, 3), axis=1) == pytest.approx(np.linalg.norm(x, axis=1))
