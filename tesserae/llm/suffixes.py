@@ -19,6 +19,7 @@ a string that isn't repeated. Whole copies of a document are found first by thei
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,10 @@ from tesserae.llm.scratch import Scratch
 LENGTH, GRAM = 100, 40
 #: Anchors beyond which a leading string is dealt out by whole strings.
 HOT = 30_000
-#: Text bytes of a group of documents and of a bucket of suffixes; a bucket holds a part of the suffixes of so much text.
-GROUP_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20
+#: Least and most text bytes of a group of documents, and of the text whose suffixes a bucket has on average.
+LEAST_BYTES, MOST_BYTES = 6 << 20, 128 << 20
+#: Text bytes of a group for each bucket: groups and buckets grow with the root of the corpus, so that what a group has for a bucket doesn't shrink to a few rows.
+SHARE = 2048
 #: Anchors that a task gathers before it hands them on, windows hashed at once, and rows of surroundings made at once.
 FLUSH, PIECE, STEP = 1 << 20, 1 << 19, 1 << 14
 #: One in so many anchors is a sample for splitters, and fewer where that would be over SAMPLES.
@@ -397,7 +400,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     A null text is empty. Rows of the same doc_id and text are one document: each of them gets its result; rows of the
     same doc_id and other texts are documents in the order of a hash of their texts. Null ids come last. Other columns stay
-    as they are. The input is read three times; texts are shuffled to their group of about GROUP_BYTES each time.
+    as they are. The input is read three times; texts are shuffled to their group of LEAST_BYTES to MOST_BYTES each time.
     """
     room = Scratch(spark, "suffixes")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -407,7 +410,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     size = F.octet_length("text")
     keyed = room.keep(docs.select("doc", size.cast("long").alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")), "digests")
     total = keyed.agg(F.sum("n")).first()[0] or 0
-    n_groups, n_parts = (max(1, -(-total // x)) for x in (GROUP_BYTES, BUCKET_BYTES))
+    n_groups = n_parts = max(1, -(-total // min(MOST_BYTES, max(LEAST_BYTES, math.isqrt(total * SHARE)))))
     part = F.pmod(F.xxhash64("doc"), F.lit(n_groups)).cast("int").alias("part")
     long = keyed.where(F.col("n") >= LENGTH)
     firsts = long.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest", "first")

@@ -51,8 +51,8 @@ def test_equals_a_set_of_all_strings(spark, monkeypatch, hot):
 
 
 def test_many_parts_and_pieces(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "GROUP_BYTES", 4000)
-    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "LEAST_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "SHARE", 1)
     monkeypatch.setattr(suffixes, "SAMPLED", 2)
     monkeypatch.setattr(suffixes, "PIECE", 700)
     docs = patched(4)
