@@ -25,6 +25,8 @@ MAX_TRAIN = 20_000
 LEXICON, LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, STRONG = 400, 5, 0.005, 2.0, 4.0
 #: Words between a lexicon word and a second person that count as near.
 NEAR = 5
+#: Letters of a word's beginnings that count besides the word.
+STEMS = (5, 4)
 #: Tokens whose features a worker keeps.
 KEPT = 200_000
 
@@ -54,25 +56,38 @@ def plain_letters(token: str) -> str:
     return _TRIPLE.sub(r"\1", _MARKS.sub("", token.lower().translate(LEET)))
 
 
+def forms(key: str) -> list[str]:
+    """What a word can be in a lexicon as, closest first: itself, and its beginnings, as endings vary."""
+    return [key, *(f"^{key[:n]}" for n in STEMS if len(key) > n)]
+
+
 class Extractor:
     """Features of texts under one lexicon of word weights."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon = lexicon
+        self.words = [w for w in lexicon if len(w) >= 3 and w[0] != "^"]
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, len(PER_TOKEN)))
 
+    def weigh(self, key: str) -> float:
+        """The weight of a word's closest form that the lexicon has, else 0."""
+        for form in forms(key):
+            if form in self.lexicon:
+                return self.lexicon[form]
+        return 0.0
+
     def row(self, token: str) -> list[float]:
         core = token.strip(EDGE)
         key = core.lower()
-        weight = self.lexicon.get(key, 0.0)
+        weight = self.weigh(key)
         second, single, edges = float(key in SECOND_PERSON), float(len(key) == 1), len(token) - len(core)
         stretched = _STRETCHED.search(key) is not None
         ends = (token.count("!"), token.count("?"), token.count("*")) if edges else (0, 0, 0)
         if not stretched and core.isalpha():  # what most tokens are: nothing in them hides letters
             letters, upper = len(core), 0 if core.islower() else sum(map(str.isupper, core))
             return [weight, float(weight > 0), float(weight >= STRONG), 0.0, second, letters, upper, float(upper == letters > 2), 0.0, 0.0, single, *ends, edges]
-        hidden = 0.0 if weight else self.lexicon.get(plain_letters(token), 0.0)
+        hidden = 0.0 if weight else self.weigh(plain_letters(token))
         letters, upper = sum(map(str.isalpha, token)), sum(map(str.isupper, token))
         mixed = float(letters > 0 and any(not c.isalpha() and c not in "-'’" for c in key[1:-1]))
         return [
@@ -97,7 +112,7 @@ class Extractor:
         for i, j in zip(np.flatnonzero(flags == 1), np.flatnonzero(flags == -1), strict=True):
             if j - i >= 3:
                 text = "".join(word(t) for t in tokens[i:j])
-                found += any(len(w) >= 3 and w in text for w in self.lexicon)
+                found += any(w in text for w in self.words)
         return found
 
     def features(self, text: str | None) -> list[float]:
@@ -236,13 +251,14 @@ def sample(labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Words by their log-odds between toxic and other texts of rows (text, toxic), each text counting once for a word."""
+    """Words and beginnings of words by their log-odds between toxic and other texts of rows (text, toxic), each text counting once for one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[int(toxic > 0)].update({w for w in map(word, set((text or "").split())) if 2 < len(w) <= 40})
+                words = {w for w in map(word, set((text or "").split())) if 2 < len(w) <= 40 and w not in SECOND_PERSON}
+                seen[int(toxic > 0)].update({form for w in words for form in forms(w)})
                 if len(seen[0]) + len(seen[1]) > KEPT:
                     yield told(seen)
                     seen[0].clear()
@@ -264,7 +280,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     told_by = t * F.log(t * n / ((t + c) * bad)) + F.when(c > 0, c * F.log(c * n / ((t + c) * good))).otherwise(0.0)
     enough = sums.where(F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * bad))
     top = enough.select("word", odds.alias("odds"), told_by.alias("told")).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("told"), "word").limit(LEXICON)
-    return {r["word"]: float(r["odds"]) for r in top.collect() if r["word"] not in SECOND_PERSON}
+    return {r["word"]: float(r["odds"]) for r in top.collect()}
 
 
 def _extract(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
