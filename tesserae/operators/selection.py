@@ -58,13 +58,32 @@ def select_indices(data: ExprData, direction: Direction, wanted: Sequence[int] |
     return places.join(own, name).select(F.col("position").cast("long"), direction.key)
 
 
+def _entries(place: str) -> Column:
+    """The entries of a group in order of their places."""
+    return F.sort_array(F.collect_list(F.struct(F.col(place).cast("int").alias("at"), "value"))).alias("entries")
+
+
+def _dense(n: int) -> Column:
+    """Column entries as n values: each entry after the zeros between it and the one before, which is one walk over the row."""
+    if not n:
+        return F.array().cast("array<double>")
+
+    def zeros(count: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), count.cast("int"))
+
+    def step(e: Column, i: Column) -> Column:
+        return F.concat(zeros(e["at"] - F.when(i > 0, F.get("entries", i - 1)["at"]).otherwise(-1) - 1), F.array(e["value"]))
+
+    rest = F.lit(n - 1) - F.element_at("entries", -1)["at"]
+    return F.when(F.size("entries") > 0, F.concat(F.flatten(F.transform("entries", step)), zeros(rest))).otherwise(zeros(F.lit(n)))
+
+
 def densify(data: ExprData) -> DataFrame:
     """obs_id and row, all of its values in order of the variables' ordinals."""
     n = data.length(Direction.COLUMN)
     var = data.var if "var_idx" in data.var.columns else with_index(data.var, "var_id", "var_idx")
-    rows = data.x.join(var.select("var_id", "var_idx"), "var_id").groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct("var_idx", "value"))).alias("at"))
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0))) if n else F.array().cast("array<double>")
-    return data.obs.select("obs_id").join(rows, "obs_id", "left").select("obs_id", each.alias("row"))
+    rows = data.x.join(var.select("var_id", "var_idx"), "var_id").groupBy("obs_id").agg(_entries("var_idx"))
+    return data.obs.select("obs_id").join(rows, "obs_id", "left").select("obs_id", _dense(n).alias("row"))
 
 
 convert_to_array_f64 = densify
@@ -75,9 +94,8 @@ def densify_selected(data: ExprData, rows: Sequence[int] | Slice, cols: Sequence
     at_rows, at_cols = select_indices(data, Direction.ROW, rows), select_indices(data, Direction.COLUMN, cols)
     n = len(range(cols.start, data.length(Direction.COLUMN) if cols.end is None else cols.end, cols.step)) if isinstance(cols, Slice) else len(cols)
     picked = data.x.join(at_cols.withColumnRenamed("position", "col"), "var_id").join(at_rows, "obs_id")
-    found = picked.groupBy("position").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("at"))
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0))) if n else F.array().cast("array<double>")
-    return at_rows.join(found, "position", "left").select("position", "obs_id", each.alias("row"))
+    found = picked.groupBy("position").agg(_entries("col"))
+    return at_rows.join(found, "position", "left").select("position", "obs_id", _dense(n).alias("row"))
 
 
 convert_to_array_f64_selected = densify_selected

@@ -138,7 +138,7 @@ ORACLES: dict[str, str] = {
 o as (select obs_id, row_number() over (order by obs_id) - 1 as i from obs), v as (select var_id, row_number() over (order by var_id) - 1 as j from var),
 w as (select * from (values (0, 4), (1, 0), (2, 4), (3, 9), (4, 150)) t(c, j) join v using (j))
 select cast(i // 3 as bigint) as position, o.obs_id, string_agg(format('{{:.1f}}', d.value), ',' order by c) as "row" from o cross join w join d on d.obs_id = o.obs_id and d.var_id = w.var_id where i < 100 and i % 3 = 0 group by 1, 2""",
-    "densify": f"with {BASE} select obs_id, sha256(string_agg(format('{{:.1f}}', value), ',' order by var_id)) as digest from d group by obs_id",
+    "densify": f"with {BASE}, v as (select var_id, row_number() over (order by var_id) as j from var) select obs_id, count(*) as n, {r('sum(value)', 'total')}, {r('sum(value * j)', 'weighted')} from d join v using (var_id) group by obs_id",
     "feature_selection_full": "select cast(p_partkey as bigint) as var_id from part",
     "feature_selection_hvg": "select cast(p_partkey as bigint) as var_id from part where p_size <= 10",
     "feature_selection_random": "select cast(50 as bigint) as n, cast(50 as bigint) as distinct_n",
