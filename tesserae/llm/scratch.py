@@ -61,11 +61,11 @@ class Scratch:
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_delete_at_exit, spark, self.path)
 
-    def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df as a table of this folder and reads it again."""
         at = f"{self.path}/{name}"
         with _shuffles_dropped(self.spark):
-            df.write.option("compression", "zstd").mode("overwrite").partitionBy(*by).parquet(at)
+            df.write.option("compression", "zstd").mode("overwrite").parquet(at)
         gc.collect()
         return self.spark.read.schema(df.schema).parquet(at)
 
