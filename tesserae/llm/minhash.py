@@ -395,3 +395,20 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_minhash": op6_minhash}
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: All pairs of documents that share a shingle, by the words themselves, and all that is reachable.
+ORACLES = {
+    "op6_minhash": f"""
+with recursive word as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+shingle as (select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from word where len(w) > 0)),
+size as materialized (select doc_id, count(*) as n from shingle group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as materialized (select a, b from shared join size x on x.doc_id = a join size y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+step as materialized (select a, b from link union all select b, a from link),
+reach as (select doc_id as a, doc_id as b from size union select reach.a, step.b from reach join step on step.a = reach.b),
+least as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id, coalesce(component_id, doc_id) = doc_id as kept
+from documents left join size using (doc_id) left join least using (doc_id)"""
+}

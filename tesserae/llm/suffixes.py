@@ -450,3 +450,20 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_suffixes": op8_suffixes}
+
+#: All strings of 100 bytes, as hex digits; runs of bytes by gaps between them.
+ORACLES = {
+    "op8_suffixes": """
+with h as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+start as (select doc_id, i, substr(h, 2 * i + 1, 200) as s from (select doc_id, h, unnest(range(len(h) // 2 - 99)) as i from h where len(h) >= 200)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as n from start) where n > 1),
+run as (select doc_id, min(i) as a, max(i) + 100 as b from (select *, sum(case when i <= before + 100 then 0 else 1 end) over (partition by doc_id order by i) as g
+        from (select *, coalesce(lag(i) over (partition by doc_id order by i), -1000) as before from later)) group by doc_id, g),
+edge as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as begun, row_number() over (partition by doc_id order by a desc) as last from run),
+part as (select doc_id, a as place, substr(h, 2 * begun + 1, 2 * (a - begun)) as s from edge join h using (doc_id)
+         union all select doc_id, len(h) as place, substr(h, 2 * coalesce(b, 0) + 1) as s from h left join (select * from edge where last = 1) e using (doc_id)),
+kept as (select doc_id, string_agg(s, '' order by place) as k from part group by doc_id),
+total as (select doc_id, count(*) as n, sum(b - a) as removed from run group by doc_id)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(n, 0) as n_spans, sha256(unhex(k)) as kept_sha256
+from h join kept using (doc_id) left join total using (doc_id)"""
+}
