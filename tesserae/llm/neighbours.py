@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cosine, with cross-polytope hashing.
 
 A unit vector is turned by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and hashed to
-the nearest signed axis; a table's key joins the axes of a few rotations. A query looks into each table at the axes that are
+the nearest signed axis, which is a table's key, whatever the number of vectors: keys that join the axes of more rotations need
+far more probes for the same recall. A query looks into each table at the axes that are
 nearest to it, not only the first, and what it finds is ranked by its exact cosine.
 
 Rows are collapsed to distinct vectors first: of each, the smallest ids that a query can return are enough, so a vector
@@ -23,8 +24,6 @@ from tesserae.llm.scratch import Scratch
 
 #: Neighbours of a query, tables, axes that a query probes in each, and vectors of a block.
 K, TABLES, PROBES, BLOCK = 5, 12, 8, 4096
-#: Vectors of a bucket from which on keys join one more axis.
-BUCKET = 1 << 16
 
 _SEED = 1
 
@@ -145,12 +144,12 @@ def _search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table(dict(zip(names, (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
 
-def nearest(spark: SparkSession, rows: DataFrame, is_query: Column, joined: int | None = None) -> DataFrame:
+def nearest(spark: SparkSession, rows: DataFrame, is_query: Column, joined: int = 1) -> DataFrame:
     """query_id, rank, vec_id and score: the K rows of rows (vec_id, embedding) found nearest to each row that is a query.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without a vec_id; vectors of
     another length than a query's aren't its candidates. Ties go to the smaller vec_id, and a query isn't its own candidate.
-    Every vector is indexed. Other columns are not looked at.
+    Every vector is indexed. Other columns are not looked at. joined is how many axes make a key; recall falls with it.
     """
     room = Scratch(spark, "neighbours")
     own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -162,9 +161,6 @@ def nearest(spark: SparkSession, rows: DataFrame, is_query: Column, joined: int
     classes = members.where("n = 1").select(F.col("vec_id").alias("class"), "vector", "digest")
     asked = room.keep(own.where("asks").select(F.col("vec_id").alias("query_id"), "digest").join(classes.select("class", "digest"), "digest").select("query_id", "class"), "asked")
     asking = classes.join(asked.select("class").distinct(), "class", "left_semi")
-    if joined is None:
-        n = classes.count()
-        joined = 1 if n <= 128 * BUCKET else 2 if n <= 128**2 * BUCKET else 3
 
     data = keyed(classes, joined, 1)
     # At most TABLES times the keys there are, which is fixed by joined.

@@ -86,6 +86,17 @@ def test_recall_and_scores(spark, copies):
     assert hits / (5 * 40) >= 0.9
 
 
+def test_recall_is_the_same_for_buckets_of_many_blocks(spark, monkeypatch):
+    """Large tables: a small BUCKET, where there is one, made keys join another axis."""
+    monkeypatch.setattr(neighbours, "BUCKET", 1, raising=False)
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    x = np.random.default_rng(6).normal(size=(2000, 64)).astype(np.float32)
+    got = answers(neighbours.nearest(spark, table(spark, [(i, v.tolist(), 0, "") for i, v in enumerate(x)]), F.expr(ASKS)))
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in brute(np.arange(2000), unit @ unit[q], q)}) for q in range(0, 2000, 50))
+    assert hits / (5 * 40) >= 0.9
+
+
 def test_fewer_rows_than_neighbours(spark):
     rows = [(0, [1.0, 0.0, 0.0], 0, ""), (1, [0.0, 1.0, 0.0], 0, ""), (2, [1.0, 1.0, 0.0], 0, ""), (3, [0.0] * 3, 0, ""), (50, [-1.0, 0.0, 0.0], 0, ""), (51, [2.0, 0.0, 0.0], 0, ""), (100, [1.0, 0.0], 0, "")]
     got = answers(neighbours.nearest(spark, table(spark, rows, "double"), F.expr(ASKS)))
