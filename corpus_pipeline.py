@@ -19,6 +19,8 @@ from tesserae.llm.toxicity import fit, score
 
 #: Documents with a score of so much or more go.
 TOXIC = 0.5
+#: Words from which on a repeated run of fewer than three lines goes too.
+PASSAGE = 50
 
 
 def _cut(docs: DataFrame, removed: str, columns: list[str]) -> DataFrame:
@@ -34,8 +36,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that occur earlier."""
-    return _cut(remove_repeated_lines(spark, docs), "removed", docs.columns)
+    """Documents without runs of lines that occur earlier: of three lines, or of one or two with PASSAGE words."""
+    return _cut(remove_repeated_lines(spark, docs, PASSAGE), "removed", docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

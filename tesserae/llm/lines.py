@@ -1,8 +1,9 @@
 """Removal of repeated runs of lines by winnowing, in DataFrame operations only.
 
 A line goes when a string of RUN lines that covers it also starts earlier: in a document with a smaller id, or before in
-the same one. Lines of white space alone don't count and always stay. Of each RUN - GRAM + 1 neighbouring hashes of GRAM
-lines the least is selected, so two equal strings of RUN lines have a fingerprint at the same place in both:
+the same one. With a number of words, a string of fewer than RUN lines that has so many words goes by the same rule. Lines of
+white space alone don't count and always stay. Of each RUN - GRAM + 1 neighbouring hashes of GRAM lines the least is selected,
+so two equal strings of RUN lines have a fingerprint at the same place in both; a shorter string is its own fingerprint:
 
 1. fingerprints are counted, pre-aggregated in each task; those that occur once are dropped by a semi-join;
 2. around each other one the match is extended both ways: each string of RUN lines that holds the fingerprint is joined to
@@ -66,30 +67,48 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("id", "own", F.get("grams", F.col("at")).alias("print"), base.alias("base"), F.slice("hashes", base + 1, F.col("at") + RUN - base).alias("around"))
 
 
-def later_runs(docs: DataFrame, room: Scratch) -> DataFrame:
-    """id, own and at: the first line (among those that count) of each string of RUN lines that starts earlier elsewhere."""
+def passages(docs: DataFrame, words: int) -> DataFrame:
+    """The columns of fingerprints for each string of fewer than RUN lines that has so many words; around is the string itself."""
+    long_enough = docs.where(F.length("text") >= 2 * words - 1)
+    rows = long_enough.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), F.filter(_lines(F.col("text")), _counts).alias("lines"))
+    rows = _held(rows, hashes=F.transform("lines", lambda x: F.xxhash64(x)), sizes=F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
+
+    def long(n: int) -> Column:
+        enough = F.filter(_range(F.size("hashes") - (n - 1)), lambda i: sum((F.get("sizes", i + k) for k in range(1, n)), F.get("sizes", i)) >= words)
+        return F.transform(enough, lambda i: F.struct(i.alias("base"), F.slice("hashes", i + 1, n).alias("around")))
+
+    rows = rows.select("id", "own", F.explode(F.concat(*map(long, range(1, RUN)))).alias("s"))
+    return rows.select("id", "own", F.xxhash64("s.around").alias("print"), "s.base", "s.around")
+
+
+def later_runs(docs: DataFrame, room: Scratch, words: int | None = None) -> DataFrame:
+    """id, own, at and n: the first line (among those that count) and the lines of each string of RUN lines, or of fewer with so many words, that starts earlier elsewhere."""
     found = fingerprints(docs)
+    if words is not None:
+        found = found.unionByName(passages(docs, words))
     again = room.keep(found.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "prints")
     held = found.join(again, "print", "left_semi")
-    strings = F.transform(_range(F.size("around") - (RUN - 1)), lambda i: F.struct((F.col("base") + i).alias("at"), F.slice("around", i + 1, RUN).alias("lines")))
+    size = F.least(F.size("around"), F.lit(RUN))
+    strings = F.transform(_range(F.size("around") - (size - 1)), lambda i: F.struct((F.col("base") + i).alias("at"), F.slice("around", i + 1, size).alias("lines")))
     each = room.keep(held.select("id", "own", F.explode(strings).alias("s")).select("id", "own", "s.at", "s.lines").withColumn("key", F.xxhash64("lines")), "strings")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "own", "at")
     first = each.groupBy("key", "lines").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("key", F.col("lines").alias("same"), "first")
     both = each.join(first, "key").where(F.col("lines") == F.col("same"))
-    return both.where(place > F.col("first")).select("id", "own", "at")
+    return both.where(place > F.col("first")).select("id", "own", "at", F.size("lines").alias("n"))
 
 
-def remove_repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with column text without the lines that go, and removed, how many these are (int).
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, words: int | None = None) -> DataFrame:
+    """docs with column text without the lines that go, and removed, how many these are (int). Without words, only strings of
+    RUN lines count; with it, so do strings of fewer lines that have so many words.
 
     A null text stays null. Rows of a repeated doc_id are documents in the order of a hash of their texts, and rows of the
     same doc_id and text are one document: each gets its result. Null ids come last. Other columns stay as they are."""
     room = Scratch(spark, "lines")
-    runs = later_runs(docs.select("doc_id", "text"), room).groupBy("id", "own").agg(F.collect_set("at").alias("starts"))
+    runs = later_runs(docs.select("doc_id", "text"), room, words).groupBy("id", "own").agg(F.collect_set(F.struct("at", "n")).alias("starts"))
     runs = runs.withColumnsRenamed({"id": "__id", "own": "__own", "starts": "__starts"})
     joined = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__own")), "left")
     joined = _held(joined, __lines=F.when(F.col("__starts").isNotNull(), _lines(F.col("text"))))
-    covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (RUN - 1)))))
+    covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
     joined = _held(joined, __counted=_counted(F.col("__lines")), __covered=covered)
     joined = _held(joined, __gone=F.transform("__covered", lambda i: F.get("__counted", i)))
     kept = F.transform(F.array_except(_range(F.size("__lines")), F.col("__gone")), lambda i: F.get("__lines", i))

@@ -32,3 +32,13 @@ def test_clean_documents_stay_as_they_are(spark, sf_dir, stage):
     docs = spark.createDataFrame([(i, "\n".join(f"line {k} of document {i} says {i * 31 + k * 17}" for k in range(6)), "en", "s", 0) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
     found = getattr(corpus_pipeline, stage)(spark, docs, sf_dir)
     assert {(r["doc_id"], r["text"]) for r in found.collect()} == {(r["doc_id"], r["text"]) for r in docs.collect()}
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_line_stage_takes_long_passages_of_one_and_two_lines(spark, sf_dir):
+    one, two = " ".join(f"a{i}" for i in range(60)), "\n".join(" ".join(f"{c}{i}" for i in range(30)) for c in "bc")
+    texts = [one, f"x\n{two}\ny", "short line", one, f"{two}\nz", f"short line\n{one}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, sf_dir).collect()} == {0: one, 1: texts[1], 2: "short line", 4: "z", 5: "short line"}

@@ -86,6 +86,34 @@ def test_lines_equal_a_set_of_all_strings(spark):
     assert got == brute_lines(docs)
 
 
+def brute_passages(docs, words):
+    """Lines and texts by a set of all strings of RUN lines, and of fewer with so many words, before."""
+    seen, out = set(), {}
+    for name, text in sorted(docs):
+        every = (text or "").split("\n")
+        own = [i for i, line in enumerate(every) if line.strip(lines.BLANK)]
+        gone = set()
+        for run in range(1, lines.RUN + 1):
+            for s in range(len(own) - run + 1):
+                part = tuple(every[i] for i in own[s : s + run])
+                if run == lines.RUN or sum(len(p.split()) for p in part) >= words:
+                    if part in seen:
+                        gone |= set(own[s : s + run])
+                    seen.add(part)
+        out[name] = (len(gone), text if not gone else "\n".join(line for i, line in enumerate(every) if i not in gone))
+    return out
+
+
+def test_long_passages_of_one_and_two_lines_go(spark):
+    rng = np.random.default_rng(5)
+    some = [" ".join(f"w{k}-{i}" for i in range(n)) for k, n in enumerate([1, 3, 24, 26, 30, 49, 50, 51, 400])] + ["", " \t"]
+    docs = [(i, "\n".join(rng.choice(some, rng.integers(0, 5)))) for i in range(120)]
+    docs += [(500, None), (501, some[8]), (502, "\n" + some[8] + "\n\n"), (503, f"{some[3]}\n\n{some[2]}"), (504, f"x\n{some[3]}\n{some[2]}"), (505, some[5]), (506, some[5])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["removed"], r["text"]) for r in lines.remove_repeated_lines(spark, frame, 50).collect()}
+    assert got == brute_passages(docs, 50) != brute_lines(docs)
+
+
 def test_lines_of_repeated_and_null_ids(spark):
     text = "one\ntwo\nthree\nfour"
     rows = [(1, text, "k", 0), (1, text, "k", 1), (None, text, None, 2), (2, "zero\n" + text, "k", 3)]
