@@ -48,10 +48,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without byte strings that occur earlier; characters that lose a byte go whole."""
-    cut = remove_repeats(spark, docs)
-    whole = F.col("kept").cast("string")
-    text = F.when(F.size("removed") == 0, whole).otherwise(F.replace(F.make_valid_utf8(whole), F.lit("\ufffd"), F.lit("")))
-    return _cut(cut.withColumn("text", text).withColumn("lost", F.size("removed")), "lost", docs.columns)
+    cut = remove_repeats(spark, docs, characters=True)
+    return _cut(cut.withColumn("text", F.col("kept").cast("string")).withColumn("lost", F.size("removed")), "lost", docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

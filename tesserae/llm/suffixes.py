@@ -356,8 +356,22 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), reach[last].tolist(), strict=True))
 
 
-def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc, rest, kept bytes and removed spans of each row of docs (part, doc, text, rest)."""
+def widened(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans with all bytes of the UTF-8 characters that they hold a byte of; overlapping ones are merged."""
+    out: list[tuple[int, int]] = []
+    for a, b in runs:
+        while a > 0 and text[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+        if out and a <= out[-1][1]:
+            a, b = out[-1][0], max(b, out.pop()[1])
+        out.append((a, b))
+    return out
+
+
+def cut_spans(docs: DataFrame, spans: DataFrame, characters: bool = False) -> DataFrame:
+    """doc, rest, kept bytes and removed spans of each row of docs (part, doc, text, rest); with characters, these are whole."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         own = unpack(right.column("data").to_pylist())
@@ -368,6 +382,8 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         low, high = np.searchsorted(doc, ids, side="left"), np.searchsorted(doc, ids, side="right")
         for text, i, j in zip(texts_of(left.column("text")), low, high, strict=True):
             runs = merged(start[i:j], end[i:j])
+            if characters:
+                runs = widened(text, runs)
             at, parts = 0, []
             for a, b in runs:
                 parts.append(text[at:a])
@@ -395,8 +411,9 @@ def _numbered(docs: DataFrame, room: Scratch) -> tuple[DataFrame, DataFrame | No
     return room.keep(one, "numbered"), own.select(F.col("doc").alias("number"), "doc_id", F.col("rest").alias("other"))
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Each row of docs (doc_id, text, others) with kept (bytes) and removed (spans of bytes) instead of text.
+def remove_repeats(spark: SparkSession, docs: DataFrame, characters: bool = False) -> DataFrame:
+    """Each row of docs (doc_id, text, others) with kept (bytes) and removed (spans of bytes) instead of text. With characters,
+    a character that a span holds a byte of goes whole.
 
     A null text is empty. Rows of the same doc_id and text are one document: each of them gets its result; rows of the
     same doc_id and other texts are documents in the order of a hash of their texts. Null ids come last. Other columns stay
@@ -435,7 +452,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "data"])
 
     gone = copies.select(part, "doc", "n").mapInArrow(whole, "part int, data binary")
-    cut = cut_spans(grouped, spans.unionByName(gone))
+    cut = cut_spans(grouped, spans.unionByName(gone), characters)
     if names is None:
         cut = cut.withColumnsRenamed({"doc": "doc_id"})
     else:

@@ -42,3 +42,11 @@ def test_line_stage_takes_long_passages_of_one_and_two_lines(spark, sf_dir):
     texts = [one, f"x\n{two}\ny", "short line", one, f"{two}\nz", f"short line\n{one}"]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, sf_dir).collect()} == {0: one, 1: texts[1], 2: "short line", 4: "z", 5: "short line"}
+
+
+def test_suffix_stage_keeps_characters_that_dont_repeat(spark, sf_dir):
+    """U+FFFD of the input stays; a character of which only the first byte repeats goes whole, at both ends."""
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [f"ü{base}é", f"a \ufffd b è\ufffd|¼{base}è\ufffd c", f"{base[:90]}\ufffd"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, sf_dir).collect()} == {0: texts[0], 1: "a \ufffd b è\ufffd|\ufffd c", 2: texts[2]}
