@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from tesserae.llm.scratch import Scratch
 
 #: Fixed values of the format.
-VERSION = b"WARC/1.1"
+VERSION, VERSIONS = b"WARC/1.1", (b"WARC/1.0", b"WARC/1.1")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 
-CHUNK = 1 << 16
+#: Bytes read or inflated at once, and most bytes of a record's head.
+CHUNK, HEAD = 1 << 16, 1 << 20
 MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -61,67 +62,120 @@ def member(data: bytes, level: int = 6) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def members(stream: BinaryIO) -> Iterator[bytes]:
-    """The contents of each gzip member in turn, decompressed as the bytes come in."""
-    rest, unpacker, parts, begun = b"", zlib.decompressobj(31), [], False
+def inflated(stream: BinaryIO) -> Iterator[Iterator[bytes]]:
+    """The contents of each gzip member in turn, each inflated CHUNK at a time as it is asked for."""
+    rest = b""
+
+    def one() -> Iterator[bytes]:
+        nonlocal rest
+        unpacker = zlib.decompressobj(31)
+        while not unpacker.eof:
+            rest = rest or stream.read(CHUNK)
+            if not rest:
+                raise ValueError("the archive ends inside a record")
+            data = unpacker.decompress(rest, CHUNK)
+            rest = unpacker.unused_data if unpacker.eof else unpacker.unconsumed_tail
+            if data:
+                yield data
+
     while True:
+        rest = rest or stream.read(CHUNK)
         if not rest:
-            rest = stream.read(CHUNK)
-            if not rest:
-                if begun:
-                    raise ValueError("the archive ends inside a record")
-                return
-        begun = True
-        parts.append(unpacker.decompress(rest))
-        rest = unpacker.unused_data if unpacker.eof else b""
-        if unpacker.eof:
-            yield b"".join(parts)
-            unpacker, parts, begun = zlib.decompressobj(31), [], False
+            return
+        chunks = one()
+        yield chunks
+        for _ in chunks:  # what a reader left of it
+            pass
+
+
+def framed(chunks: Iterator[bytes]) -> tuple[dict[str, str], bytes]:
+    """Header fields and block of the record that a member holds. Content-Length bounds what is inflated: a member with more
+    or less than its head, its block and the end is a ValueError, and so are a head of over HEAD bytes and one without a length."""
+    data = bytearray()
+    at = -1
+    for chunk in chunks:
+        data += chunk
+        at = data.find(END, max(0, len(data) - len(chunk) - 3))
+        if at >= 0 or len(data) > HEAD:
+            break
+    first, _, lines = bytes(data[: max(at, 0)]).partition(b"\r\n")
+    if at < 0 or first not in VERSIONS:
+        raise ValueError(f"not a WARC record: {bytes(data[:40])!r}")
+    fields = _fields(lines)
+    said = fields.get("content-length", "")
+    if not (said.isascii() and said.isdigit()):
+        raise ValueError(f"a record needs a Content-Length, not {said!r}")
+    del data[: at + len(END)]
+    size = int(said)
+    while len(data) <= size + len(END):
+        chunk = next(chunks, None)
+        if chunk is None:
+            break
+        data += chunk
+    if len(data) != size + len(END) or data[size:] != END:
+        raise ValueError("the block is not as long as its Content-Length")
+    return fields, bytes(data[:size])
 
 
 def _fields(head: bytes) -> dict[str, str]:
     found = {}
     for line in head.split(b"\r\n"):
         name, _, value = line.partition(b":")
-        found[name.strip().lower().decode("utf-8")] = value.strip().decode("utf-8")
+        found[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
     return found
 
 
-def _page(urn: str) -> int | None:
-    number = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+def _page(urn: str | None) -> int | None:
+    number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if number.removeprefix("-").isdecimal() else None
 
 
-def parse(data: bytes) -> dict[str, Any]:
-    """One record's fields. ValueError where framing or a digest is wrong."""
-    head, found, rest = data.partition(END)
-    first, _, lines = head.partition(b"\r\n")
-    if first != VERSION or not found:
-        raise ValueError(f"not a WARC record: {first[:40]!r}")
-    fields = _fields(lines)
-    size = int(fields["content-length"])
-    block, tail = rest[:size], rest[size:]
-    if len(block) != size or tail != END:
-        raise ValueError("the block is not as long as its Content-Length")
-    if fields["warc-block-digest"] != f"sha1:{digest(block)}":
+def understood(fields: dict[str, str], block: bytes) -> dict[str, Any]:
+    """One record's result. ValueError where a digest that it gives is wrong.
+
+    The payload of a response is what follows its HTTP head, with any transfer coding as it is stored; that of a revisit is
+    left out, and its size is the one that the HTTP head gives, if any. Records of other kinds (warcinfo, request, metadata and so
+    on) have their whole block as payload. A record whose id is not one of this writer has no page_id."""
+    kind = fields.get("warc-type", "")
+    said = fields.get("warc-block-digest")
+    if said is not None and said.startswith("sha1:") and said != f"sha1:{digest(block)}":
         raise ValueError("the block digest is wrong")
-    http, _, payload = block.partition(END)
-    said = fields["warc-payload-digest"].removeprefix("sha1:")
-    full = int(_fields(http.partition(b"\r\n")[2])["content-length"])
-    kind = fields["warc-type"]
-    if kind == "response" and (len(payload) != full or digest(payload) != said):
+    payload, size, coded = block, len(block), False
+    if kind in ("response", "revisit"):
+        http, found, payload = block.partition(END)
+        inner = _fields(http.partition(b"\r\n")[2])
+        told, coded = inner.get("content-length", ""), "transfer-encoding" in inner
+        if kind == "revisit":
+            size = int(told) if told.isdecimal() else None
+        else:
+            size = len(payload)
+            if told.isdecimal() and not coded and int(told) != size:
+                raise ValueError("the payload is not as long as its HTTP head says")
+    said = fields.get("warc-payload-digest", "")
+    if kind == "response" and not coded and said.startswith("sha1:") and said != f"sha1:{digest(payload)}":
         raise ValueError("the payload digest is wrong")
     return {
-        "page_id": _page(fields["warc-record-id"]),
+        "page_id": _page(fields.get("warc-record-id")),
         "url": fields.get("warc-target-uri"),
-        "payload": payload if kind == "response" else None,
-        "payload_bytes": full,
-        "payload_digest": said,
+        "payload": None if kind == "revisit" else payload,
+        "payload_bytes": size,
+        "payload_digest": said.removeprefix("sha1:") or (None if kind == "revisit" else digest(payload)),
         "record_type": kind,
-        "refers_to": _page(fields["warc-refers-to"]) if kind == "revisit" else None,
+        "refers_to": _page(fields.get("warc-refers-to")) if kind == "revisit" else None,
     }
 
 
+def members(stream: BinaryIO) -> Iterator[bytes]:
+    """The whole contents of each gzip member in turn."""
+    for chunks in inflated(stream):
+        yield b"".join(chunks)
+
+
+def parse(data: bytes) -> dict[str, Any]:
+    """The result of one record that is in memory. ValueError where framing or a digest is wrong."""
+    return understood(*framed(iter([data])))
+
+
 def _open(path: str, how: str) -> Any:
     from pyarrow import fs
 
@@ -133,20 +187,21 @@ def _open(path: str, how: str) -> Any:
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, html digest and response's page_id of each row whose payload a row with a larger page_id repeats.
+    """page_id, html digest and response's page_id of each row whose payload a row with a larger page_id repeats. A row without
+    a page_id revisits any row that has one; where none has, all are responses.
 
     Only ids and digests are shuffled, and a digest's rows meet pre-aggregated: one very common payload is a row per task.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).alias("size")).where(F.col("size") >= min_bytes)
     last = keyed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return keyed.join(last, "digest").where("page_id is null or page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    return keyed.join(last, "digest").where("refers_to is not null and (page_id is null or page_id < refers_to)").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, max_archive_bytes: int = 1 << 27, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) into archives under folder; returns their manifest, to be
-    written before it is used. A null html is an empty payload and a null page_id a record without a number; rows of the
-    same page_id and html are all response. Columns other than these three are not looked at."""
+    written before it is used. A null html is an empty payload and a null page_id a record without a number, which is a
+    revisit if a row with a number has its payload, else a response; rows of the same page_id and html are all response. Columns other than these three are not looked at."""
     pages = pages.select("page_id", "url", "html")
     seen = revisits(pages, min_bytes).select(F.col("page_id").alias("seen_id"), F.col("digest").alias("seen_digest"), "refers_to")
     own = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
@@ -178,7 +233,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, max_archiv
 
 
 def read_archives(paths: DataFrame, with_payload: bool = True, batch_bytes: int = 1 << 23) -> DataFrame:
-    """The records of the archives named in column path, each archive read from its start to its end by one task."""
+    """The records of the archives named in column path, each archive read from its start to its end by one task. Archives of
+    other writers are read too, if each record is a gzip member."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
@@ -191,8 +247,8 @@ def read_archives(paths: DataFrame, with_payload: bool = True, batch_bytes: int
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with _open(path, "r") as stream:
-                    for data in members(stream):
-                        found = parse(data)
+                    for chunks in inflated(stream):
+                        found = understood(*framed(chunks))
                         if not with_payload:
                             found["payload"] = None
                         rows.append(found)

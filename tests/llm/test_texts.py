@@ -222,6 +222,51 @@ def test_records_are_framed_and_verified():
     assert (again["record_type"], again["refers_to"], again["payload"], again["payload_bytes"], again["payload_digest"]) == ("revisit", 9, None, 3, warc.digest(b"abc"))
 
 
+def test_rows_without_a_number_and_equal_payloads(spark):
+    pages = spark.createDataFrame([(None, "u", "x"), (None, "v", "x"), (None, "u", None), (3, "u", "y"), (None, "u", "y")], "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.warc_round_trip(spark, pages).collect()), key=repr)
+    x, y, none = (warc.digest(t) for t in (b"x", b"y", b""))
+    assert got == sorted([(None, x, "response", None)] * 2 + [(None, none, "response", None), (3, y, "response", None), (None, y, "revisit", 3)], key=repr)
+
+
+def foreign(kind, block, *more):
+    head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-000000000001>", *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(["WARC/1.0", *head]).encode() + warc.END + block + warc.END
+
+
+def test_records_of_other_writers():
+    info = warc.parse(foreign("warcinfo", b"software: x\r\n"))
+    assert (info["page_id"], info["record_type"], info["payload"], info["payload_bytes"]) == (None, "warcinfo", b"software: x\r\n", 13)
+    bare = warc.parse(foreign("response", b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\nbody"))
+    assert (bare["payload"], bare["payload_bytes"], bare["payload_digest"]) == (b"body", 4, warc.digest(b"body"))
+    coded = warc.parse(foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n0\r\n\r\n", f"WARC-Payload-Digest: sha1:{warc.digest(b'body')}"))
+    assert coded["payload"].startswith(b"4\r\n") and coded["payload_digest"] == warc.digest(b"body")
+    again = warc.parse(foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To: <urn:uuid:2>"))
+    assert (again["payload"], again["payload_bytes"], again["refers_to"]) == (None, None, None)
+    for wrong in (foreign("response", b"x").replace(b"Content-Length", b"Length"), foreign("resource", b"abc", f"WARC-Block-Digest: sha1:{warc.digest(b'x')}"), b"x" * 3 * warc.HEAD):
+        with pytest.raises(ValueError):
+            warc.parse(wrong)
+
+
+def test_content_length_bounds_what_is_inflated():
+    """A member of many zeros after its record is given up after a chunk or two."""
+    own = warc.record(1, None, b"abc", None, False, "2020-01-01T00:00:00Z")
+    stream = io.BytesIO(warc.member(own + bytes(200 << 20), 1))
+    chunks, size = next(warc.inflated(stream)), 0
+
+    def counted():
+        nonlocal size
+        for chunk in chunks:
+            size += len(chunk)
+            yield chunk
+
+    with pytest.raises(ValueError):
+        warc.framed(counted())
+    assert size <= 3 * warc.CHUNK
+    two = io.BytesIO(warc.member(own) + warc.member(own))
+    assert [warc.framed(c)[0]["warc-type"] for c in warc.inflated(two)] == ["response"] * 2
+
+
 @pytest.mark.parametrize("least", [0, 2])
 def test_archives_round_trip(spark, least):
     rows = [(1, "u", "x", 0), (3, "u", "x", 0), (3, "v", "x", 0), (2, None, None, 0), (5, "u", "", 0), (None, "u", "abc", 0), (9, "u", "abc", 0), (10, "u", "q" * 300_000, 0)]
