@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.columns import free
+
 #: Most labelled rows that a model is fitted on.
 MAX_TRAIN = 20_000
 #: Most words of a lexicon; the fewest toxic texts of a word in it, and their share of all toxic ones; least log-odds, and those of a strong word.
@@ -289,42 +291,50 @@ def _extract(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Extractor(lexicon)
         for batch in batches:
-            x = pa.array([tool.features(t.as_py()) for t in batch.column(2)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x], ["doc_id", "toxic", "x"])
+            x = pa.array([tool.features(t.as_py()) for t in batch.column(3)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], x], ["doc_id", "toxic", "apart", "x"])
+
+    return rows.select(F.col("doc_id").cast("long"), "toxic", "apart", "text").mapInArrow(run, "doc_id long, toxic int, apart boolean, x array<double>")
+
 
-    return rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, x array<double>")
+def apart(id_col: str = "doc_id") -> F.Column:
+    """Whether a labelled row is kept for the calibration, and so hidden from the lexicon and the trees."""
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(5)) == 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """A model from labelled documents that aren't held out. Without texts of both labels it always gives the label's share."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample(labels, most)), "doc_id")  # at most `most` ids and labels
-    lexicon = learn_lexicon(rows)
+    """A model from labelled documents that aren't held out. Without texts of both labels it always gives the label's share.
+
+    The lexicon and the trees learn from the rows that aren't apart, and the calibration from those that are, so its shares come
+    from scores of labels that nothing before has seen. Where either side lacks a label, all three learn from all rows."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample(labels, most)), "doc_id").withColumn("apart", apart())  # at most `most` ids and labels
+    sides = {(r["apart"], r["toxic"]) for r in rows.select("apart", "toxic").distinct().collect()}  # four at most
+    split = len(sides) == 4
+    lexicon = learn_lexicon(rows.where(~F.col("apart")) if split else rows)
     got = _extract(rows, lexicon).toPandas().sort_values(["doc_id", "toxic"])
     y = got["toxic"].to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         return Model({}, None, np.zeros(1), np.array([y.mean() if len(y) else 0.0]))
     x = np.array(got["x"].tolist())
-    part = pd.util.hash_array(got["doc_id"].to_numpy()) % 5 == 0
-    if part.all() or not part.any() or len(set(y[part])) < 2 or len(set(y[~part])) < 2:
-        part = np.zeros(len(y), dtype=bool)
+    part = got["apart"].to_numpy(dtype=bool) if split else np.zeros(len(y), dtype=bool)
     trees = fit_trees(x[~part], y[~part])
-    apart = part if part.any() else ~part
-    return Model(lexicon, trees, *fit_isotonic(trees.raw(x[apart]), y[apart]))
+    shown = part if split else ~part
+    return Model(lexicon, trees, *fit_isotonic(trees.raw(x[shown]), y[shown]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column toxicity between 0 and 1, from the text alone; null and empty texts have the score of no words."""
-    at = docs.columns.index("text")
-    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "toxicity double"])
+    """docs with a column toxicity between 0 and 1, from the text alone; null and empty texts have the score of no words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only texts go to Python workers. Other columns of any kind stay as they are; where one is called toxicity, the score's name
+    is the next free one of toxicity_1, toxicity_2 and so on."""
+
+    @F.pandas_udf("double")
+    def toxicity(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tool = Extractor(model.lexicon)
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array([tool.features(t.as_py()) for t in batch.column(at)])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, "toxicity"])
+        for texts in parts:
+            yield pd.Series(model.score(np.array([tool.features(t) for t in texts])) if len(texts) else [], dtype="float64")
 
-    return docs.mapInArrow(run, kind)
+    return docs.select("*", toxicity("text").alias(free(docs.columns, "toxicity")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
