@@ -125,7 +125,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD
                 rests.append((n % capacity, doc_id, full, source, same))
             elif not n:
                 out.append((doc_id, 0, 0, 0, None, None))
-        rests.sort(key=lambda r: (-r[0], r[1] is None, r[1] or 0, r[3] or "", r[4]))
+        rests.sort(key=lambda r: (-r[0], r[1] is None, r[1] or 0, r[3] is None, r[3] or "", r[4] is None, r[4] or ""))
         for (size, doc_id, piece, _, _), (at, slot) in zip(rests, pack_items([(r[0], r[3], r[4]) for r in rests], capacity), strict=True):
             out.append((doc_id, piece, piece * capacity, size, (number << 32) + used + at, slot))
         names = [x.split() for x in PLACED.split(", ")]
