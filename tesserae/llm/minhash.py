@@ -34,8 +34,9 @@ SIDE, SKETCH, AGREE = 10, 64, 31
 PERCENT = 75
 #: Classes that meet in one task.
 BLOCK = 1024
-#: Sub-keys beyond which a key's bucket is cut into blocks.
-HOT = 20_000
+#: Rows of a sub-key beyond which a key's bucket is cut into blocks: so many at least, and so many of all classes, so that no
+#: more than 2 * SIDE * 1,000 sub-keys can be frequent, whatever the corpus.
+HOT, HOT_SHARE = 20_000, 1_000
 #: Text bytes hashed at once, classes of a part, and shingles whose families share a task.
 PIECE, PART_ROWS, TASK_SHINGLES = 1 << 20, 1 << 14, 1 << 19
 
@@ -49,7 +50,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWER = 0x9E3779B97F4A7C15
 
-SKETCHES = "doc_id long, n_shingles long, node binary, keys binary, sketch binary"
+SKETCHES = "doc_id long, print long, n_shingles long, node binary, keys binary, sketch binary"
 
 
 def _powers(n: int) -> np.ndarray:
@@ -123,17 +124,23 @@ def sub_keys(least: np.ndarray) -> np.ndarray:
     return mixed(pairs[:, 0] * np.uint64(_POWER) + pairs[:, 1] + np.arange(2 * SIDE, dtype=np.uint64))
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and print: a hash of the text where doc_id is null."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.withColumn("print", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """SKETCHES of docs (doc_id, text)."""
+    """SKETCHES of docs (doc_id, text). print is a hash of the text where doc_id is null, by which such a row is found again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(2))
             for i, j in _portions(texts):
                 sets = shingle_sets(texts[i:j])
                 least = [minhashes(s) for s in sets]
                 columns = [
-                    batch.column(0)[i:j],
+                    *(c[i:j] for c in batch.columns[:2]),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) for s in sets], pa.binary()),
                     pa.array([sub_keys(x).tobytes() for x in least], pa.binary()),
@@ -141,7 +148,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SKETCHES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCHES)
+    return _marked(docs).select("doc_id", "print", "text").mapInArrow(run, SKETCHES)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
@@ -161,20 +168,20 @@ def find_keys(classes: DataFrame, n_parts: int) -> DataFrame:
     return classes.select("part", "cid", "keys").mapInArrow(run, ROWS)
 
 
-def settle_keys(found: DataFrame, n_parts: int) -> DataFrame:
+def settle_keys(found: DataFrame, n_parts: int, hot: int) -> DataFrame:
     """Places of repeated sub-keys by their classes' part, and frequent sub-keys with their counts."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         part = key[0].as_py()
         if part >= n_parts:
             return passed(rows, part - n_parts)
-        return pa.Table.from_batches([blob_rows(settled_keys(unpack(rows.column("data").to_pylist()), HOT)[0])])
+        return pa.Table.from_batches([blob_rows(settled_keys(unpack(rows.column("data").to_pylist()), hot)[0])])
 
     return found.groupBy("part").applyInArrow(run, ROWS)
 
 
-def find_members(classes: DataFrame, repeats: DataFrame, n_parts: int, frequent: dict[int, int]) -> DataFrame:
-    """Members of keys of two repeated sub-keys, by bucket. Where both are frequent, a member goes to each pair of blocks that its block is of."""
+def find_members(classes: DataFrame, repeats: DataFrame, n_parts: int, frequent: dict[int, int], most: int) -> DataFrame:
+    """Members of keys of two repeated sub-keys, by bucket. Where both are frequent, a key is cut into blocks of about `most`, and a member goes to each pair of blocks that its block is of."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         own = unpack(right.column("data").to_pylist())
@@ -192,7 +199,7 @@ def find_members(classes: DataFrame, repeats: DataFrame, n_parts: int, frequent:
         if frequent:
             names = np.array(sorted(frequent), np.uint64)
             hot = np.flatnonzero(np.isin(a, names) & np.isin(b, names))
-            many = np.array([-(-min(frequent[int(x)], frequent[int(y)]) // HOT) for x, y in zip(a[hot], b[hot], strict=True)], np.int64)
+            many = np.array([-(-min(frequent[int(x)], frequent[int(y)]) // most) for x, y in zip(a[hot], b[hot], strict=True)], np.int64)
             block = (mixed(cid[row[hot]].astype(np.uint64)) % many.astype(np.uint64)).astype(np.int64) if len(hot) else many
             times = np.repeat(np.arange(len(hot)), many)
             other = np.arange(len(times)) - np.repeat(np.cumsum(many) - many, many)
@@ -327,14 +334,20 @@ def _solve(cid: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
 
 
 def confirm(docs: DataFrame, members: DataFrame, n_tasks: int) -> DataFrame:
-    """Links a, b that span the components of each family. members: cid, family, size (its classes), doc_id and node of a document of the class."""
+    """Links a, b that span the components of each family. members: cid, family, size (its classes), node, and doc_id or else print of a document of the class."""
     blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
     own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     small = F.struct(F.pmod(F.xxhash64("family"), F.lit(n_tasks)).cast("long").alias("task"), F.lit(-1).alias("x"), F.lit(-1).alias("y"))
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.col("family").alias("task"), F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))
-    wanted = members.select(F.col("doc_id").alias("want_id"), "node", "cid", "family", F.when(blocks <= 1, F.array(small)).otherwise(pairs).alias("tasks"))
+    shape = ["node", "cid", "family", "tasks"]
+    wanted = members.select("doc_id", "print", "node", "cid", "family", F.when(blocks <= 1, F.array(small)).otherwise(pairs).alias("tasks"))
     # Wanted ids grow with the corpus, so they are never broadcast, not even where they happen to be few.
-    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("want_id")).select("text", "node", "cid", "family", "tasks")
+    own = _marked(docs)
+    texts = own.select("doc_id", "text").join(wanted.where("doc_id is not null").drop("print").hint("merge"), "doc_id").select("text", *shape)
+    if members.where("doc_id is null").limit(1).count():
+        # Classes of rows without an id: their texts are found by hash, one of each.
+        nameless = own.where("doc_id is null").groupBy("print").agg(F.first("text").alias("text"))
+        texts = texts.unionByName(nameless.join(wanted.where("doc_id is null").drop("doc_id").hint("merge"), "print").select("text", *shape))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,8 +357,8 @@ def confirm(docs: DataFrame, members: DataFrame, n_tasks: int) -> DataFrame:
                 right = pa.array([node_of(s) == n for s, n in zip(found, batch.column(1)[i:j].to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[2:]), pa.array([s.tobytes() for s in found], pa.binary())], ["cid", "family", "tasks", "shingles"]).filter(right)
 
-    shape = "cid long, family long, tasks array<struct<task: long, x: int, y: int>>, shingles binary"
-    rows = texts.mapInArrow(sets, shape).select("cid", "family", F.explode("tasks").alias("t"), "shingles").select("cid", "family", "shingles", "t.task", "t.x", "t.y")
+    kind = "cid long, family long, tasks array<struct<task: long, x: int, y: int>>, shingles binary"
+    rows = texts.mapInArrow(sets, kind).select("cid", "family", F.explode("tasks").alias("t"), "shingles").select("cid", "family", "shingles", "t.task", "t.x", "t.y")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         family, cid = rows.column("family").to_numpy(), rows.column("cid").to_numpy()
@@ -362,24 +375,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (component_id is the own one) of each row of docs (doc_id, text).
 
     Null and empty texts have empty sets, which are linked with nothing. Rows of a repeated doc_id are documents of their
-    own that share its number. A null doc_id is never a component's id unless all of its documents have none; such rows are
-    kept. Other columns are not looked at.
+    own that share its number. A row with a null doc_id is a document like any other, and links others; null is never a
+    component's id unless all of its documents have none, and such rows are always kept. Other columns are not looked at.
     """
     room = Scratch(spark, "minhash")
     sketched = room.keep(sketches(docs), "sketches")
-    one = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    one = sketched.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("print").alias("print"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     numbered = room.keep(one.withColumn("cid", F.monotonically_increasing_id()), "numbered")
-    n_parts = max(1, -(-numbered.count() // PART_ROWS))
+    n = numbered.count()
+    n_parts, hot = max(1, -(-n // PART_ROWS)), max(HOT, n // HOT_SHARE)
     classes = numbered.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(n_parts)).cast("int"))
-    found = room.keep(settle_keys(find_keys(classes, n_parts), n_parts), "keys")
-    told = unpack([bytes(r["data"]) for r in found.where(F.col("kind") == FREQUENT).select("data").collect()])  # at most the sub-keys over HOT
+    found = room.keep(settle_keys(find_keys(classes, n_parts), n_parts, hot), "keys")
+    told = unpack([bytes(r["data"]) for r in found.where(F.col("kind") == FREQUENT).select("data").collect()])  # at most 2 * SIDE * HOT_SHARE sub-keys
     frequent = dict(zip(told["h"].tolist(), told["count"].tolist(), strict=True)) if told else {}
-    members = find_members(classes, found.where(F.col("kind") == REPEAT).select("part", "data"), n_parts, frequent)
+    members = find_members(classes, found.where(F.col("kind") == REPEAT).select("part", "data"), n_parts, frequent, hot)
     family = components(families(members), room, "families").withColumnsRenamed({"id": "cid", "component": "family"})
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    wanted = room.keep(family.join(sizes, "family").join(numbered.select("cid", "node", "doc_id", "n"), "cid"), "wanted")
+    wanted = room.keep(family.join(sizes, "family").join(numbered.select("cid", "node", "doc_id", "print", "n"), "cid"), "wanted")
     n_tasks = max(1, -(-(wanted.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES))
-    links = room.keep(confirm(docs.select(F.col("doc_id").cast("long"), "text"), wanted.where("doc_id is not null"), n_tasks), "links")
+    links = room.keep(confirm(docs, wanted, n_tasks), "links")
     group = components(links, room, "groups").withColumnsRenamed({"id": "cid"})
     grouped = numbered.join(group, "cid").select("cid", "node", "component", "doc_id")
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("least"))
