@@ -21,18 +21,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.blobs import FREQUENT, REPEAT, ROWS, SAMPLE, blob_rows, bucket_of, by_part, dealt_keys, first_of, mixed, pack, passed, settled_keys, texts_of, unpack
+from tesserae.llm.columns import free, named
 from tesserae.llm.scratch import Scratch
 
 LENGTH, GRAM = 100, 40
-#: Anchors beyond which a leading string is dealt out by whole strings.
-HOT = 30_000
+#: Anchors beyond which a leading string is dealt out by whole strings: so many at least, and one in so many of all anchors, so
+#: that no more than HOT_SHARE leading strings can be hot, whatever the corpus.
+HOT, HOT_SHARE = 30_000, 2_000_000
 #: Least and most text bytes of a group of documents, and of the text whose suffixes a bucket has on average.
 LEAST_BYTES, MOST_BYTES = 6 << 20, 128 << 20
 #: Text bytes of a group for each bucket: groups and buckets grow with the root of the corpus, so that what a group has for a bucket doesn't shrink to a few rows.
@@ -43,6 +47,7 @@ FLUSH, PIECE, STEP = 1 << 20, 1 << 19, 1 << 14
 SAMPLED, SAMPLES = 4096, 1_000_000
 #: Leading bytes of splitters.
 LEAD = 16
+SPANS = "array<struct<start: long, end: long>>"
 
 _RNG = np.random.default_rng(20)
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,7 +153,7 @@ def find_anchors(docs: DataFrame, n_parts: int, sampled: int) -> DataFrame:
     return docs.select("part", "doc", "text").mapInArrow(run, ROWS)
 
 
-def settle_anchors(found: DataFrame, n_parts: int) -> DataFrame:
+def settle_anchors(found: DataFrame, n_parts: int, most: int) -> DataFrame:
     """Places of repeated anchors by their documents' part; hashes of frequent ones; leading bytes of sampled ones."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -157,7 +162,7 @@ def settle_anchors(found: DataFrame, n_parts: int) -> DataFrame:
             return passed(rows, part - n_parts)
         blobs = rows.column("data").to_pylist()
         own = unpack([b for b, k in zip(blobs, kinds, strict=True) if k == REPEAT])
-        out, again = settled_keys(own, HOT)
+        out, again = settled_keys(own, most)
         told = unpack([b for b, k in zip(blobs, kinds, strict=True) if k == SAMPLE])
         if told:
             lead = told["lead"][np.isin(told["h"], again)]
@@ -370,45 +375,60 @@ def widened(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def cut_spans(docs: DataFrame, spans: DataFrame, characters: bool = False) -> DataFrame:
-    """doc, rest, kept bytes and removed spans of each row of docs (part, doc, text, rest); with characters, these are whole."""
+def gathered_spans(spans: DataFrame) -> DataFrame:
+    """doc and its maximal runs of removed bytes, of spans (part, data)."""
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        own = unpack(right.column("data").to_pylist())
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        own = unpack(rows.column("data").to_pylist())
         doc = own.get("doc", np.zeros(0, np.int64))
         order = np.argsort(doc, kind="stable")
         doc, start, end = doc[order], own.get("start", doc)[order], own.get("end", doc)[order]
-        ids, kept, gone = left.column("doc").to_pylist(), [], []
-        low, high = np.searchsorted(doc, ids, side="left"), np.searchsorted(doc, ids, side="right")
-        for text, i, j in zip(texts_of(left.column("text")), low, high, strict=True):
-            runs = merged(start[i:j], end[i:j])
+        ids, cuts = np.unique(doc, return_index=True)
+        runs = [[{"start": a, "end": b} for a, b in merged(start[i:j], end[i:j])] for i, j in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
+        return pa.table({"doc": pa.array(ids, pa.int64()), "spans": pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+
+    return spans.groupBy("part").applyInArrow(run, f"doc long, spans {SPANS}")
+
+
+def cut_out(characters: bool) -> Any:
+    """A function of a text and its spans: the bytes that stay, and the spans that go; with characters, these are whole ones."""
+
+    @F.pandas_udf(f"kept binary, removed {SPANS}")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        kept, gone = [], []
+        for text, own in zip(texts, spans, strict=True):
+            if own is None:
+                kept.append(None)
+                gone.append(None)
+                continue
+            data, runs = text.encode("utf-8"), [(int(s["start"]), int(s["end"])) for s in own]
             if characters:
-                runs = widened(text, runs)
+                runs = widened(data, runs)
             at, parts = 0, []
             for a, b in runs:
-                parts.append(text[at:a])
+                parts.append(data[at:a])
                 at = b
-            kept.append(b"".join([*parts, text[at:]]))
+            kept.append(b"".join([*parts, data[at:]]))
             gone.append([{"start": a, "end": b} for a, b in runs])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc": left.column("doc"), "rest": left.column("rest"), "kept": pa.array(kept, pa.binary()), "removed": pa.array(gone, kind)})
+        return pd.DataFrame({"kept": pd.Series(kept, dtype=object), "removed": pd.Series(gone, dtype=object)})
 
-    shape = f"doc long, rest {docs.schema['rest'].dataType.simpleString()}, kept binary, removed array<struct<start: long, end: long>>"
-    return docs.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(run, shape)
+    return cut
 
 
 def _numbered(docs: DataFrame, room: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """docs (doc_id, text, rest) as (doc, text, rest) with unique doc in order of doc_id, and doc, doc_id and rest of each row; None if doc_id is unique.
+    """docs (doc_id, text) as (doc, text) with unique doc in order of doc_id, and the doc of each doc_id and digest of a text; None if doc_id is unique.
 
     Rows of a repeated doc_id are documents in the order of a digest of their texts, and null ids come last."""
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
-        return docs.select(F.col("doc_id").cast("long").alias("doc"), "text", "rest"), None
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")
-    names = docs.select(F.col("doc_id").alias("id"), digest).distinct().orderBy(F.col("id").asc_nulls_last(), "digest")
+        return docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), None
+    names = docs.select(F.col("doc_id").alias("id"), _digest(F.col("text")).alias("digest")).distinct().orderBy(F.col("id").asc_nulls_last(), "digest")
     names = room.keep(names.withColumn("doc", F.monotonically_increasing_id()), "names")
-    own = docs.select("doc_id", digest.alias("own"), "text", "rest").join(names, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")))
-    one = own.dropDuplicates(["doc"]).select("doc", "text", F.lit(None).cast("int").alias("rest"))
-    return room.keep(one, "numbered"), own.select(F.col("doc").alias("number"), "doc_id", F.col("rest").alias("other"))
+    own = docs.select("doc_id", _digest(F.col("text")).alias("own"), "text").join(names, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")))
+    return room.keep(own.groupBy("doc").agg(F.first("text").alias("text")), "numbered"), names
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, characters: bool = False) -> DataFrame:
@@ -417,15 +437,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, characters: bool = Fals
 
     A null text is empty. Rows of the same doc_id and text are one document: each of them gets its result; rows of the
     same doc_id and other texts are documents in the order of a hash of their texts. Null ids come last. Other columns stay
-    as they are. The input is read three times; texts are shuffled to their group of LEAST_BYTES to MOST_BYTES each time.
+    as they are, of whatever kind, and are only joined; where one is called kept or removed, the result's is the next free name
+    of kept_1, kept_2 and so on. The input is read three times; texts are shuffled to their group of LEAST_BYTES to MOST_BYTES
+    once, and with the other columns to their spans.
     """
     room = Scratch(spark, "suffixes")
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))) if others else F.lit(None).cast("int")
-    docs, names = _numbered(docs.select("doc_id", "text", rest.alias("rest")), room)
+    whole = docs
+    docs, names = _numbered(docs.select("doc_id", "text"), room)
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     size = F.octet_length("text")
-    keyed = room.keep(docs.select("doc", size.cast("long").alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")), "digests")
+    keyed = room.keep(docs.select("doc", size.cast("long").alias("n"), _digest(F.col("text")).alias("digest")), "digests")
     total = keyed.agg(F.sum("n")).first()[0] or 0
     n_groups = n_parts = max(1, -(-total // min(MOST_BYTES, max(LEAST_BYTES, math.isqrt(total * SHARE)))))
     part = F.pmod(F.xxhash64("doc"), F.lit(n_groups)).cast("int").alias("part")
@@ -433,31 +454,36 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, characters: bool = Fals
     firsts = long.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("digest", "first")
     copies = room.keep(long.join(firsts, "digest").where("doc > first").select("doc", "n"), "copies")
 
-    grouped = docs.select(part, "doc", "text", "rest")
-    fresh = grouped.drop("rest").where(F.octet_length("text") >= LENGTH).join(copies.select("doc"), "doc", "left_anti")
-    sampled = max(SAMPLED, 2 * total // (LENGTH - GRAM) // SAMPLES)
-    found = room.keep(settle_anchors(find_anchors(fresh, n_parts, sampled), n_parts), "anchors")
-    # At most the corpus's anchors over HOT, and about SAMPLES.
+    grouped = docs.select(part, "doc", "text")
+    fresh = grouped.where(F.octet_length("text") >= LENGTH).join(copies.select("doc"), "doc", "left_anti").select("part", "doc", "text")
+    n_anchors = 2 * total // (LENGTH - GRAM)  # about
+    found = find_anchors(fresh, n_parts, max(SAMPLED, n_anchors // SAMPLES))
+    found = room.keep(settle_anchors(found, n_parts, max(HOT, n_anchors // HOT_SHARE)), "anchors")
+    # About HOT_SHARE leading strings and SAMPLES at most.
     told = {kind: unpack([bytes(r["data"]) for r in found.where(F.col("kind") == kind).select("data").collect()]) for kind in (FREQUENT, SAMPLE)}
     cuts = splitters(told[SAMPLE].get("lead", np.zeros((0, LEAD), np.uint8)), n_parts)
     frequent = told[FREQUENT].get("h", np.zeros(0, np.uint64))
     repeats = found.where(F.col("kind") == REPEAT).select("part", "data")
-    spans = room.keep(settle_suffixes(find_suffixes(grouped.drop("rest"), repeats, n_parts, cuts, frequent), n_parts).select("part", "data"), "spans")
+    spans = room.keep(settle_suffixes(find_suffixes(grouped, repeats, n_parts, cuts, frequent), n_parts).select("part", "data"), "spans")
     room.drop("anchors")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p, doc, n = (c.to_numpy() for c in batch.columns)
-            rows = [(k, pack(**c)) for k, c in by_part(p, doc=doc, start=np.zeros(len(doc), np.int64), end=n)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "data"])
-
-    gone = copies.select(part, "doc", "n").mapInArrow(whole, "part int, data binary")
-    cut = cut_spans(grouped, spans.unionByName(gone), characters)
+    gone = copies.select("doc", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).cast(SPANS).alias("spans"))
+    of_doc = room.keep(gathered_spans(spans).join(gone.select("doc"), "doc", "left_anti").unionByName(gone), "removed")
+    room.drop("spans")
+    taken = list(whole.columns)
     if names is None:
-        cut = cut.withColumnsRenamed({"doc": "doc_id"})
+        own = [free(taken, "doc"), free(taken, "spans")]
+        both = whole.join(of_doc.toDF(*own), F.col("doc_id").cast("long") == F.col(own[0]), "left")
     else:
-        cut = cut.drop("rest").join(names, F.col("doc") == F.col("number")).withColumnRenamed("other", "rest")
-    return cut.select("doc_id", "kept", "removed", *(F.col(f"rest.c{i}").alias(c) for i, c in enumerate(others)))
+        own = [free(taken, "id"), free(taken, "digest"), free(taken, "spans")]
+        of_row = names.join(of_doc, "doc").select("id", "digest", "spans").toDF(*own)
+        both = whole.join(of_row, F.col("doc_id").eqNullSafe(F.col(own[0])) & (_digest(F.col("text")) == F.col(own[1])), "left")
+    cut, spans = free(taken, "cut"), F.col(own[-1])
+    both = both.select("*", cut_out(characters)(F.when(spans.isNotNull(), F.coalesce("text", F.lit(""))), spans).alias(cut))
+    kept = F.coalesce(F.col(f"{cut}.kept"), F.coalesce("text", F.lit("")).cast("binary"))
+    removed = F.coalesce(F.col(f"{cut}.removed"), F.array().cast(SPANS))
+    others = [named(c) for c in taken if c not in ("doc_id", "text")]
+    return both.select("doc_id", kept.alias(free(taken, "kept")), removed.alias(free(taken, "removed")), *others)
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
