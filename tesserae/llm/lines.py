@@ -13,13 +13,18 @@ so two equal strings of RUN lines have a fingerprint at the same place in both;
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.columns import free, named
 from tesserae.llm.scratch import Scratch
 
 #: Lines of a run that is found for sure, and of a fingerprint.
 RUN, GRAM = 3, 2
+#: Keys with more than this part of all rows are joined apart.
+HOT = 1000
 #: Characters of lines that don't count.
 BLANK = " \t\r\x0b\x0c"
 
@@ -81,20 +86,44 @@ def passages(docs: DataFrame, words: int) -> DataFrame:
     return rows.select("id", "own", F.xxhash64("s.around").alias("print"), "s.base", "s.around")
 
 
+def _place(id: Column, own: Column, at: Column) -> Column:
+    """The order of strings as one number, whose least a hash aggregate can take: by id, null ones last, 65 bits; by the upper 31
+    bits of own, in which documents of one id differ; by the line, 31 bits."""
+    last = F.lit(Decimal(2**64))
+    number = F.coalesce((id.cast("decimal(20,0)") + F.lit(Decimal(2**63))).cast("decimal(20,0)"), last)
+    rest = F.shiftrightunsigned(own, 33) * F.lit(2**31).cast("long") + at.cast("long")
+    return number * F.lit(Decimal(2**62)) + rest.cast("decimal(19,0)")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], value: str, spread: list[str]) -> DataFrame:
+    """rows that have their `on` in table (on, n: how many rows have it, value), with value.
+
+    Where one key has more than an equal part of HOT of all rows, of which there can be HOT at most, its row is broadcast, and its
+    rows are dealt by `spread` in the join of the others, so no key is a task of its own."""
+    many = F.col("n") > F.lit((table.agg(F.sum("n")).first()[0] or 0) / HOT)
+    hot = table.where(many).select(*on, F.col(value).alias("__hot"))
+    calm = table.where(~many).select(F.col(on[0]).alias("__look"), *on[1:], F.col(value).alias("__calm"))
+    found = rows.join(F.broadcast(hot), on, "left")
+    found = found.withColumn("__look", F.when(F.col("__hot").isNull(), F.col(on[0])).otherwise(F.xxhash64(*spread)))
+    found = found.join(calm, ["__look", *on[1:]], "left").withColumn(value, F.coalesce("__hot", "__calm"))
+    return found.where(F.col(value).isNotNull()).drop("__look", "__hot", "__calm")
+
+
 def later_runs(docs: DataFrame, room: Scratch, words: int | None = None) -> DataFrame:
     """id, own, at and n: the first line (among those that count) and the lines of each string of RUN lines, or of fewer with so many words, that starts earlier elsewhere."""
     found = fingerprints(docs)
     if words is not None:
         found = found.unionByName(passages(docs, words))
-    again = room.keep(found.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "prints")
-    held = found.join(again, "print", "left_semi")
+    again = room.keep(found.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("times", F.col("n")), "prints")
+    held = looked_up(found, again, ["print"], "times", ["id", "own", "base"])
     size = F.least(F.size("around"), F.lit(RUN))
     strings = F.transform(_range(F.size("around") - (size - 1)), lambda i: F.struct((F.col("base") + i).alias("at"), F.slice("around", i + 1, size).alias("lines")))
-    each = room.keep(held.select("id", "own", F.explode(strings).alias("s")).select("id", "own", "s.at", "s.lines").withColumn("key", F.xxhash64("lines")), "strings")
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "own", "at")
-    first = each.groupBy("key", "lines").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("key", F.col("lines").alias("same"), "first")
-    both = each.join(first, "key").where(F.col("lines") == F.col("same"))
-    return both.where(place > F.col("first")).select("id", "own", "at", F.size("lines").alias("n"))
+    each = held.select("id", "own", F.explode(strings).alias("s")).select("id", "own", "s.at", "s.lines")
+    each = room.keep(each.select("*", F.xxhash64("lines").alias("key"), _place(F.col("id"), F.col("own"), F.col("at")).alias("place")), "strings")
+    first = each.groupBy("key", "lines").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
+    first = room.keep(first.where("first < last").drop("last"), "firsts")
+    later = looked_up(each, first, ["key", "lines"], "first", ["id", "own", "at"]).where("place > first")
+    return later.select("id", "own", "at", F.size("lines").alias("n"))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, words: int | None = None) -> DataFrame:
@@ -102,19 +131,20 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, words: int | Non
     RUN lines count; with it, so do strings of fewer lines that have so many words.
 
     A null text stays null. Rows of a repeated doc_id are documents in the order of a hash of their texts, and rows of the
-    same doc_id and text are one document: each gets its result. Null ids come last. Other columns stay as they are."""
+    same doc_id and text are one document: each gets its result. Null ids come last. Other columns stay as they are; where one is
+    called removed, the result's name is the next free one of removed_1, removed_2 and so on."""
     room = Scratch(spark, "lines")
     runs = later_runs(docs.select("doc_id", "text"), room, words).groupBy("id", "own").agg(F.collect_set(F.struct("at", "n")).alias("starts"))
-    runs = runs.withColumnsRenamed({"id": "__id", "own": "__own", "starts": "__starts"})
-    joined = docs.join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__own")), "left")
-    joined = _held(joined, __lines=F.when(F.col("__starts").isNotNull(), _lines(F.col("text"))))
-    covered = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    joined = _held(joined, __counted=_counted(F.col("__lines")), __covered=covered)
-    joined = _held(joined, __gone=F.transform("__covered", lambda i: F.get("__counted", i)))
-    kept = F.transform(F.array_except(_range(F.size("__lines")), F.col("__gone")), lambda i: F.get("__lines", i))
-    same = F.col("__starts").isNull()
-    joined = _held(joined, __text=F.when(same, F.col("text")).otherwise(F.array_join(kept, "\n")), __removed=F.when(same, F.lit(0)).otherwise(F.size("__gone")))
-    return joined.select(*(F.col("__text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.col("__removed").alias("removed"))
+    id, own, starts, lines, counted, covered, gone, text, removed = (free(docs.columns, f"__{n}") for n in ("id", "own", "starts", "lines", "counted", "covered", "gone", "text", "removed"))
+    joined = docs.join(runs.toDF(id, own, starts), F.col("doc_id").eqNullSafe(F.col(id)) & (F.xxhash64("text") == F.col(own)), "left")
+    joined = _held(joined, **{lines: F.when(F.col(starts).isNotNull(), _lines(F.col("text")))})
+    reach = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
+    joined = _held(joined, **{counted: _counted(F.col(lines)), covered: reach})
+    joined = _held(joined, **{gone: F.transform(covered, lambda i: F.get(counted, i))})
+    kept = F.transform(F.array_except(_range(F.size(lines)), F.col(gone)), lambda i: F.get(lines, i))
+    same = F.col(starts).isNull()
+    joined = _held(joined, **{text: F.when(same, F.col("text")).otherwise(F.array_join(kept, "\n")), removed: F.when(same, F.lit(0)).otherwise(F.size(gone))})
+    return joined.select(*(F.col(text).alias(c) if c == "text" else named(c) for c in docs.columns), F.col(removed).alias(free(docs.columns, "removed")))
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
