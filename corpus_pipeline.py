@@ -2,14 +2,16 @@
 
 A stage works on all that the one before kept, and its decisions take effect: toxic documents go, repeated runs of lines and
 repeated byte strings go from texts, one document of each group of near-duplicates stays, and what is left is packed into bins.
-A document that a stage leaves without any text goes too; one that had none before stays.
+A document that a stage leaves without any text goes too; one that had none before stays. Further columns of any name and kind
+stay as they are up to the packing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.columns import free, named
 from tesserae.llm.lines import remove_repeated_lines
 from tesserae.llm.minhash import near_duplicates
 from tesserae.llm.packing import pack_documents
@@ -23,33 +25,33 @@ TOXIC = 0.5
 PASSAGE = 50
 
 
-def _cut(docs: DataFrame, removed: str, columns: list[str]) -> DataFrame:
+def _cut(docs: DataFrame, removed: Column, columns: list[str]) -> DataFrame:
     """The columns of documents for cut texts, without documents that lost all of their text."""
-    left = docs.where((F.col(removed) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(columns) if "n_chars" in columns else left.select(columns)
+    left = docs.where((removed == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return left.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else named(c) for c in columns))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model of the labels outside of the held-out fold doesn't find toxic."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where(F.col("toxicity") < TOXIC).select(docs.columns)
+    return score(docs, model).where(F.col(free(docs.columns, "toxicity")) < TOXIC).select(*map(named, docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of lines that occur earlier: of three lines, or of one or two with PASSAGE words."""
-    return _cut(remove_repeated_lines(spark, docs, PASSAGE), "removed", docs.columns)
+    return _cut(remove_repeated_lines(spark, docs, PASSAGE), F.col(free(docs.columns, "removed")), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group; rows of one doc_id stay or go together."""
-    kept = near_duplicates(spark, docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = near_duplicates(spark, docs.select("doc_id", "text")).where("kept").select("doc_id").distinct().toDF(free(docs.columns, "kept_id"))
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(kept.columns[0])), "left_semi")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without byte strings that occur earlier; characters that lose a byte go whole."""
     cut = remove_repeats(spark, docs, characters=True)
-    return _cut(cut.withColumn("text", F.col("kept").cast("string")).withColumn("lost", F.size("removed")), "lost", docs.columns)
+    return _cut(cut.withColumn("text", F.col(free(docs.columns, "kept")).cast("string")), F.size(free(docs.columns, "removed")), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
 A stage that is written here and read again starts a new lineage: a lost executor costs at most the work of one
-stage. The folder is spark.checkpoint.dir of the session; only where that is unset (tests) is a temporary one made.
+stage. The folder is spark.checkpoint.dir of the session; where that is unset, a temporary one is made for a local master, and
+on a cluster, whose executors would each write to their own disk, it is an error.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -21,6 +23,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,18 +44,27 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+_lock, _users = threading.Lock(), [0, None]
+
+
 @contextmanager
 def _shuffles_dropped(spark: SparkSession):
-    """The shuffle files of what runs inside are deleted as soon as it has run."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    """The shuffle files of what runs inside are deleted as soon as it has run. The setting is put back when the last thread leaves."""
+    with _lock:
+        if not _users[0]:
+            _users[1] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _users[0] += 1
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        with _lock:
+            _users[0] -= 1
+            if not _users[0]:
+                if _users[1] is None:
+                    spark.conf.unset(CLEANUP)
+                else:
+                    spark.conf.set(CLEANUP, _users[1])
 
 
 class Scratch:
