@@ -117,3 +117,59 @@ def test_rotation_keeps_lengths_and_joined_keys_probe_the_own_one():
     assert np.linalg.norm(neighbours.rotations(x, 3), axis=1) == pytest.approx(np.linalg.norm(x, axis=1))
     own, probed = neighbours.probes(x, 0, 2, 1), neighbours.probes(x, 0, 2, 8)
     assert (own[:, 0] == probed[:, 0]).all() and all(len(set(p)) == 8 for p in probed.tolist())
+
+
+def shares(x, queries):
+    """The part of all vectors that queries reach in the tables of each level, and whether these hold their five nearest."""
+    x = neighbours.unit(x.astype(np.float64))
+    cosine = x[queries] @ x.T
+    cosine[np.arange(len(queries)), queries] = -9
+    top = np.argsort(-cosine, axis=1)[:, :5]
+    out = []
+    for tables, reach, least, _ in neighbours.LEVELS:
+        hit = np.zeros(cosine.shape, bool)
+        for t in range(tables):
+            hit |= neighbours.reached(x[queries], neighbours.probes(x, t, neighbours.AXES, 1)[:, 0], t, reach, least)
+        out.append((hit.mean(), np.take_along_axis(hit, top, axis=1).mean()))
+    return out, np.take_along_axis(cosine, top[:, 4:], axis=1)
+
+
+def test_few_vectors_are_looked_at_where_there_are_clusters():
+    x = vectors(5000, 0, 3, 64)
+    (near, _), fifth = shares(x, np.arange(0, 5000, 50))
+    assert near[0] < 0.1 and near[1] > 0.97 and (fifth > neighbours.LEVELS[0][3]).mean() > 0.9
+
+
+def test_share_without_contrast_and_by_width():
+    """No more than a third is looked at where nothing is near, and the share is about the same for each width and number of vectors."""
+    rng = np.random.default_rng(8)
+    found = [shares(rng.normal(size=(n, width)), np.arange(0, n, n // 50))[0][1][0] for n, width in ((500, 64), (5000, 64), (2000, 16), (2000, 200))]
+    assert max(found) < 1 / 3 and max(found) - min(found) < 0.15
+
+
+def test_transform_of_each_width():
+    for width in (1, 2, 8, 64, 128, 1024):
+        x = np.random.default_rng(1).normal(size=(3, width))
+        signs = 1.0 - 2.0 * (np.bitwise_count(np.arange(width)[:, None] & np.arange(width)) % 2)
+        assert neighbours.hadamard(x) == pytest.approx(x @ signs / np.sqrt(width))
+
+
+def test_many_scaled_copies_give_a_few_rows(spark):
+    rows = [(i, [1.0 * (i + 1), 2.0 * (i + 1), 3.0 * (i + 1)], 0, "") for i in range(400)]
+    got = answers(neighbours.nearest(spark, table(spark, rows, "double"), F.expr(ASKS)))
+    assert all(len(v) == 5 for v in got.values())
+
+
+def test_shards_are_pruned_where_there_are_clusters(spark, monkeypatch):
+    """Few distances are computed, over shards of their own and within them; results are those of all pairs."""
+    monkeypatch.setattr(mtree, "SHARD", 200)
+    monkeypatch.setattr(mtree, "PAGE", 16)
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(30, 8))
+    x = (centers[rng.integers(0, 30, 4000)] / np.linalg.norm(centers, axis=1).mean() + 0.01 * rng.normal(size=(4000, 8)))
+    x = (8 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    counted = spark.sparkContext.accumulator(0)
+    got = answers(mtree.largest_products(table(spark, [(i, v.tolist(), 0, "") for i, v in enumerate(x)]), F.expr(ASKS), counted))
+    scaled = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    assert all(got[q] == [(i, int(s)) for i, s in brute(np.arange(4000), scaled @ scaled[q], q)] for q in range(0, 4000, 50))
+    assert counted.value < 0.3 * 80 * 4000
