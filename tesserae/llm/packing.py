@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.minhash import near_duplicates
+
 #: Words of a bin, and documents of a shard.
 CAPACITY, SHARD = 2048, 4096
 
@@ -96,9 +98,10 @@ def pack_items(items: list[tuple[int, object, object]], capacity: int = CAPACITY
     return [bins.add(size, bit(0, source), bit(1, cluster)) for size, source, cluster in items]
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, cluster: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, cluster: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """PLACED: the pieces of each document and their bins. docs has doc_id, text and source; cluster names a column of
-    duplicates' clusters, and without one documents of the same words in lower case are a cluster.
+    duplicates' clusters, or groups is a table (doc_id, cluster) of them; without either, documents of the same words in
+    lower case are a cluster. Documents of no row of groups are in no cluster; of several rows of a doc_id the least cluster holds.
 
     A text longer than capacity is cut into pieces of capacity words, each a bin of its own, and a rest; start is a piece's
     first word. A text without words has one piece of none and a null bin. A null source or cluster conflicts with nothing;
@@ -109,6 +112,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD
     same = F.col(cluster).cast("string") if cluster else F.md5(F.lower(F.regexp_replace(text, r"\s+", " ")).cast("binary"))
     n_shards = max(1, -(-docs.count() // shard))
     items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("n"), same.alias("cluster"))
+    if groups is not None:
+        own = groups.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("cluster").cast("string")).alias("cluster"))
+        items = items.drop("cluster").join(own, "doc_id", "left")
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(n_shards)).cast("long"))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -137,7 +143,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    """Near-duplicates are the clusters."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return pack_documents(docs, groups=near_duplicates(spark, docs).select("doc_id", F.col("component_id").alias("cluster")))
 
 
 QUERIES = {"op7_packing": op7_packing}
