@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.corrections import Correction, apply_correction
 from tesserae.functions.special import normal_p, student_p
-from tesserae.operators.transform import frame_from_groups
 from tesserae.plans.data import ExprData
 
 
@@ -62,11 +61,11 @@ def resolve(data: ExprData, groupby: str, reference: str | None = None, groups:
 
 
 def _long(values: dict[str, int], group: Column) -> Column:
-    """A number for each of a few names."""
-    out = F.lit(None).cast("double")
-    for name, n in values.items():
-        out = F.when(group == name, F.lit(float(n))).otherwise(out)
-    return out
+    """A number for each name, looked up in one map, however many names there are."""
+    if not values:
+        return F.lit(None).cast("double")
+    named = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*(F.lit(float(n)) for n in values.values())))
+    return F.try_element_at(named, group)
 
 
 def group_sums(data: ExprData, who: Comparison) -> DataFrame:
@@ -216,16 +215,24 @@ def rank_gene_groups_dataframe(
 
 
 def rank_gene_groups(data: ExprData, groupby: str, reference: str | None = None, groups: Sequence[str] | None = None, key_added: str | None = None, **options: Any) -> ExprData:
-    """The container with wide tables in uns, a column for each group and a row for each rank, and what was asked for."""
+    """The container with wide tables in uns, a column for each group and a row for each rank, and what was asked for.
+
+    The tables are views of one, which is kept after its first use, so the tests run once."""
     rows = rank_gene_groups_dataframe(data, groupby, reference, groups, **options)
     who = resolve(data, groupby, reference, groups)
     base = "rank_genes_groups" + (f"_{key_added}" if key_added else "")
     columns = {"scores": "score", "pvals": "pval", "pvals_adj": "pval_adj", "logfoldchanges": "logfoldchange", "names": "gene"}
-    found = {f"{base}_{name}": frame_from_groups(rows, "rank", "group", column, who.tested) for name, column in columns.items()}
+    cell = F.first(F.struct(*(F.col(column).alias(name) for name, column in columns.items())))
+    wide = rows.groupBy("rank").pivot("group", who.tested).agg(cell).persist()
+    found = {f"{base}_{name}": wide.select("rank", *(F.col(_quoted(g))[name].alias(g) for g in who.tested)) for name in columns}
     told = {"params_reference": who.reference or REST, "params_method": str(options.get("method", TestMethod.WELCH).value), "params_groupby": groupby, "groups": who.tested}
     return data.with_(uns={**data.uns, **found, **{f"{base}_{k}": v for k, v in told.items()}})
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def obs_of_group(data: ExprData, groupby: str, group: str) -> DataFrame:
     """obs_id of a group; a group without observations is an error."""
     resolve(data, groupby, None, [group])

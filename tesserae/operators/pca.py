@@ -6,6 +6,7 @@ square of the variables, not with observations; its eigenvectors are found on th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from tesserae.operators.selection import FeatureSelection, Method, select_features
 from tesserae.plans.data import Direction, ExprData
 
-#: Most variables, and observations of a block.
-MOST, BLOCK = 5000, 4096
+#: Most variables, observations of a block, lines of a batch, and partial sums of a line.
+MOST, BLOCK, LINES, SPREAD = 5000, 4096, 256, 32
 
 
 @dataclass(frozen=True)
@@ -43,22 +44,54 @@ def _dense(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, out
 
 
-def gram(blocks: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of products of each pair of variables, and the sum of each."""
-
-    def part(key: tuple, rows: pa.Table) -> pa.Table:
-        _, x = _dense(rows, width)
-        both = np.vstack([x.T @ x, x.sum(axis=0)[None, :]])
-        return pa.table({"line": pa.array(range(width + 1), pa.int32()), "sums": pa.array(list(both), pa.list_(pa.float64()))})
+def _sum_lines(lines: DataFrame, by: list[str]) -> DataFrame:
+    """Arrays of each line added up."""
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
-        total = np.sum(np.array(rows.column("sums").to_pylist()), axis=0)
+        sums = rows.column("sums").combine_chunks()
+        total = sums.flatten().to_numpy().reshape(len(sums), -1).sum(axis=0)
         return pa.table({"line": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total], pa.list_(pa.float64()))})
 
-    shape = "line int, sums array<double>"
-    lines = blocks.groupBy("block").applyInArrow(part, shape).groupBy("line").applyInArrow(add, shape).collect()
+    return lines.groupBy(*by).applyInArrow(add, "line int, sums array<double>")
+
+
+def gram(blocks: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of products of each pair of variables, and the sum of each.
+
+    Observations are dealt by block; a task adds up all of its blocks and emits one line for each variable at its end, and the
+    lines of all tasks are added up in two steps, SPREAD tasks a line first."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, last = np.zeros((width + 1, width)), [], None
+
+        def add() -> None:
+            _, x = _dense(pa.Table.from_batches(held), width)
+            total[:-1] += x.T @ x
+            total[-1] += x.sum(axis=0)
+
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if held and block[i] != last:
+                    add()
+                    held = []
+                held.append(batch.slice(i, j - i))
+                last = block[i]
+        if held:
+            add()
+            for i in range(0, width + 1, LINES):
+                some = total[i : i + LINES]
+                sums = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * width, pa.int32()), pa.array(some.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(some)), pa.int32()), sums], ["line", "sums"])
+
+    ordered = blocks.repartition("block").sortWithinPartitions("block", "obs_id")
+    lines = ordered.mapInArrow(part, "line int, sums array<double>").withColumn("task", F.spark_partition_id() % SPREAD)
+    found = _sum_lines(_sum_lines(lines, ["line", "task"]), ["line"]).collect()  # width + 1 lines of width numbers
     out = np.zeros((width + 1, width))
-    for r in lines:
+    for r in found:
         out[r["line"]] = r["sums"]
     return out[:-1], out[-1]
 

@@ -112,7 +112,7 @@ class Method(Enum):
 
 @dataclass(frozen=True)
 class FeatureSelection:
-    """FULL: all; HIGHLY_VARIABLE: a boolean column; RANDOM: exactly count variables by a seeded hash; VARIANCE: those above a threshold."""
+    """FULL: all; HIGHLY_VARIABLE: a boolean column; RANDOM: exactly count variables, those with the least MD5 of seed and id; VARIANCE: those above a threshold."""
 
     method: Method = Method.FULL
     column: str = "highly_variable"
@@ -155,5 +155,5 @@ def select_features(data: ExprData, selection: FeatureSelection) -> DataFrame:
     if selection.method is Method.HIGHLY_VARIABLE:
         return data.var.where(F.coalesce(F.col(selection.column), F.lit(False))).select("var_id")
     if selection.method is Method.RANDOM:
-        return data.var.select("var_id").orderBy(F.xxhash64("var_id", F.lit(selection.seed)), "var_id").limit(selection.count)
+        return data.var.select("var_id").orderBy(F.md5(F.concat_ws("-", F.lit(selection.seed), "var_id").cast("binary")), "var_id").limit(selection.count)
     return variance(data, Direction.COLUMN).where(F.col("variance") > selection.threshold).select("var_id")

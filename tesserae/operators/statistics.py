@@ -34,6 +34,12 @@ def total(data: ExprData, direction: Direction, mask: Column | None = None) -> D
     return _filled(data, direction, found, [F.coalesce("total", F.lit(0.0)).alias("total")])
 
 
+def count_and_total(data: ExprData, direction: Direction, mask: Column | None = None) -> DataFrame:
+    """n and total by one aggregate."""
+    found = masked(data, direction, mask).groupBy(direction.key).agg(F.count_if(F.col("value") != 0).alias("n"), F.sum("value").alias("total"))
+    return _filled(data, direction, found, [F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total")])
+
+
 def variance_of(n: int | Column, sums: Column, squares: Column) -> Column:
     """Sample variance from sums over an axis of n; null below two."""
     length = n if isinstance(n, Column) else F.lit(float(n))

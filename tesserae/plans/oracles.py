@@ -76,8 +76,8 @@ k as (select grp, var_id, coalesce(segment = grp, false) as mine, value from {{o
 _SUMS = ", ".join(r(f"coalesce(sum({v}) filter ({'' if mine else 'not '}mine), 0)", f"{c}{'' if mine else '_ref'}") for mine in (True, False) for c, v in (("n", "1"), ("s", "value"), ("q", "value * value")))
 
 
-def _stat(t: str, df: str) -> str:
-    return f"""{_GROUPED.format(base=BASE, of='d')},
+def _stat(t: str, df: str, pairs: str = _GROUPED.format(base=BASE, of="d")) -> str:
+    return f"""{pairs},
 s as (select grp, var_id, count(*) filter (mine) as n, count(*) filter (not mine) as m, avg(value) filter (mine) as a, avg(value) filter (not mine) as b,
       var_samp(value) filter (mine) as v, var_samp(value) filter (not mine) as w from k group by 1, 2)
 select grp as "group", var_id, {r(f"case when a = 0 and b = 0 then 0 else {t} end", 't')}, {r(df, 'df')} from s"""
@@ -101,6 +101,65 @@ _REFERENCE = f"""with {BASE},
 g as (select distinct segment as grp from obs),
 k as (select grp, var_id, true as mine, value from d join g on segment = grp union all select grp, var_id, false, value from d cross join g where segment = 'BUILDING')"""
 
+#: The customers' segments, which are the columns of wide tables.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+#: Nodes within 0..1 and weights of the Gauss-Legendre rule of eight points.
+_NODES = ((0.1834346424956498, 0.3626837833783620), (0.5255324099163290, 0.3137066458778873), (0.7966664774136267, 0.2223810344533745), (0.9602898564975363, 0.1012285362903763))
+_AT = ", ".join(f"{0.5 + sign * x / 2!r}::double" for x, _ in _NODES for sign in (1, -1))
+_WEIGHT = ", ".join(f"{w / 2!r}::double" for _, w in _NODES for _ in (1, -1))
+
+
+def _tail(density: str, low: str, high: str, panels: int = 20) -> str:
+    """The integral of a density of u from low to high, by the rule on equal panels."""
+    u = f"({low} + ({high} - {low}) * ((i // 8) + ([{_AT}])[i % 8 + 1]) / {panels}.0::double)"
+    return f"list_sum(list_transform(range({8 * panels}), lambda i: ([{_WEIGHT}])[i % 8 + 1] * {density.replace('{u}', u)})) * ({high} - {low}) / {panels}.0::double"
+
+
+#: Two tails of a normal and of a Student variable, each to where the density is exp(-40) of its start.
+_NORMAL_P = "2 * " + _tail("exp(-{u} * {u} / 2) / sqrt(2 * pi())", "abs(z)", "sqrt(z * z + 80)")
+_STUDENT_P = "2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * " + _tail("pow(1 + {u} * {u} / df, -(df + 1) / 2)", "abs(t)", "sqrt((df + t * t) * exp(80 / (df + 1)) - df)")
+
+_LOGGED_PAIRS = _GROUPED.format(base=LOGGED, of="e")
+_FOLD = "case when a = 0 and b = 0 then 0 else log2(exp(a)) + log2((1 - exp(-a) + exp(-a)) / exp(b)) end"
+_SIDES = """s as (select grp, var_id, count(*) filter (mine) as n, count(*) filter (not mine) as m, avg(value) filter (mine) as a, avg(value) filter (not mine) as b,
+      var_samp(value) filter (mine) as v, var_samp(value) filter (not mine) as w from k group by 1, 2)"""
+
+
+def _welch_tested(pairs: str) -> str:
+    return f"""{pairs}, {_SIDES},
+w as (select grp, var_id, a = 0 and b = 0 as silent, case when a = 0 and b = 0 then 0 else (a - b) / sqrt(v / n + w / m) end as t, {_WELCH_DF} as df, {_FOLD} as fold from s),
+tested as (select grp, var_id, t as score, case when silent then 1 else {_STUDENT_P} end as p, fold from w)"""
+
+
+_WELCH_TESTED = _welch_tested(_LOGGED_PAIRS)
+_MANN_WHITNEY_TESTED = f"""{_LOGGED_PAIRS},
+c as (select grp, var_id, mine, cast(rank() over o as double) + (count(*) over (partition by grp, var_id, value) - 1) / 2.0::double as rk, cast(count(*) over (partition by grp, var_id, value) as double) as t, count(*) over (partition by grp, var_id) as total, value
+      from k window o as (partition by grp, var_id order by value)),
+s as (select grp, var_id, cast(count(*) filter (mine) as double) as n, cast(count(*) filter (not mine) as double) as m, avg(value) filter (mine) as a, avg(value) filter (not mine) as b, sum(rk) filter (mine) as rs, sum(t * t - 1) as ties, cast(any_value(total) as double) as total from c group by 1, 2),
+w as (select *, rs - n * (n + 1) / 2 as u, n * m / 12.0::double * (total + 1 - ties / (total * (total - 1))) as sd2 from s),
+x2 as (select *, case when sd2 > 0 then sign(u - n * m / 2.0::double) * greatest(abs(u - n * m / 2.0::double) - 0.5::double, 0) / sqrt(sd2) else 0 end as z from w),
+tested as (select grp, var_id, case when a = 0 and b = 0 then 0 else u end as score, case when a = 0 and b = 0 then 1 else {_NORMAL_P} end as p, {_FOLD} as fold from x2)"""
+
+
+def _in_order(tested: str) -> str:
+    """Tests with p adjusted by group after Benjamini and Hochberg, and their rank."""
+    return f"""{tested},
+o as (select *, cast(row_number() over (partition by grp order by p, var_id) as double) as i, cast(count(*) over (partition by grp) as double) as m from tested),
+h as (select *, least(1.0::double, min(m * p / i) over (partition by grp order by i desc rows between unbounded preceding and current row)) as adj from o),
+f as (select *, row_number() over (partition by grp order by adj, p, var_id) as place from h)"""
+
+
+def _ranked(tested: str, most: int | None = None) -> str:
+    columns = ", ".join(r(e, n) for e, n in (("score", "score"), ("p", "pval"), ("adj", "pval_adj"), ("fold", "logfoldchange")))
+    return f"""{_in_order(tested)}
+select grp as "group", 'rest' as reference, p_name as gene, {columns}, cast(place as int) as rank from f join part on p_partkey = var_id{f' where place <= {most}' if most else ''}"""
+
+
+_LOGGED_REFERENCE = _REFERENCE.replace(BASE, LOGGED).replace("from d join g", "from e join g").replace("from d cross join g", "from e cross join g").replace("distinct segment as grp from obs", "distinct segment as grp from obs where segment in ('AUTOMOBILE', 'MACHINERY')")
+_STORED = f"""{_in_order(_welch_tested(_LOGGED_REFERENCE))}
+select cast(place as int) as rank, {', '.join(f"max(p_name) filter (grp = '{g}') as \"{g}\", {r(f"max(score) filter (grp = '{g}')", f'score_{g}')}" for g in ('AUTOMOBILE', 'MACHINERY'))}
+from f join part on p_partkey = var_id where place <= 40 group by place"""
+
 _P = "p as (select p_brand as family, cast(p_partkey as bigint) as test, cast(p_partkey * 7919 % 1009 as double) / 1009.0::double as p from part), o as (select *, cast(row_number() over (partition by family order by p, test) as double) as i, cast(count(*) over (partition by family) as double) as m from p)"
 
 
@@ -118,6 +177,9 @@ ORACLES: dict[str, str] = {
     "obs_nonzero_sum": _axis(_COUNT_SUM, "obs_id"),
     "var_nonzero_sum": _axis(_COUNT_SUM, "var_id"),
     "masked_nonzero_sum": _axis(_MASKED, "obs_id"),
+    "masked_var_nonzero_sum": _axis(_MASKED.replace("small", "segment = 'BUILDING'"), "var_id"),
+    "obs_nonzero": _axis("count(*) filter (value <> 0) as n", "obs_id"),
+    "var_total": _axis(r("sum(value)", "total"), "var_id"),
     "obs_variance": _axis(r("var_samp(value)", "variance"), "obs_id"),
     "var_variance": _axis(r("var_samp(value)", "variance"), "var_id"),
     "obs_min_max": _axis(f"{r('min(value)', 'min')}, {r('max(value)', 'max')}", "obs_id"),
@@ -128,6 +190,8 @@ ORACLES: dict[str, str] = {
     "var_top_segment_proportions": _shares("var_id"),
     "qc_obs": _qc_obs(),
     "qc_var": _qc_var(),
+    "qc_calculate_inplace": f"with q as ({_qc_obs()}) select q.*, c_mktsegment as segment from q join customer on c_custkey = obs_id",
+    "qc_mitochondrial": _qc_obs().replace("counts_small", "counts_mito"),
     "filter_cells": _axis("count(*) filter (value <> 0) >= 10 and sum(value) <= 1500 and count(*) filter (value <> 0) / cast(count(*) as double) >= 0.01::double as keep", "obs_id"),
     "filter_genes": _axis("count(*) filter (value <> 0) >= 20 and sum(value) >= 500 and count(*) filter (value <> 0) / cast(count(*) as double) <= 0.5::double as keep", "var_id"),
     "select_obs": f"with {BASE} select obs_id, var_id, value from d where value <> 0 and segment = 'BUILDING'",
@@ -138,24 +202,37 @@ ORACLES: dict[str, str] = {
 o as (select obs_id, row_number() over (order by obs_id) - 1 as i from obs), v as (select var_id, row_number() over (order by var_id) - 1 as j from var),
 w as (select * from (values (0, 4), (1, 0), (2, 4), (3, 9), (4, 150)) t(c, j) join v using (j))
 select cast(i // 3 as bigint) as position, o.obs_id, string_agg(format('{{:.1f}}', d.value), ',' order by c) as "row" from o cross join w join d on d.obs_id = o.obs_id and d.var_id = w.var_id where i < 100 and i % 3 = 0 group by 1, 2""",
-    "densify": f"with {BASE}, v as (select var_id, row_number() over (order by var_id) as j from var) select obs_id, count(*) as n, {r('sum(value)', 'total')}, {r('sum(value * j)', 'weighted')} from d join v using (var_id) group by obs_id",
+    "densify": f"with {BASE}, v as (select var_id, row_number() over (order by var_id) as j from var) select obs_id, count(*) as n, {r('sum(value)', 'total')}, {r('sum(value * j)', 'weighted')}, {r('sum(value * ((j - 1) * 7919 % 1009))', 'mixed')} from d join v using (var_id) group by obs_id",
     "feature_selection_full": "select cast(p_partkey as bigint) as var_id from part",
     "feature_selection_hvg": "select cast(p_partkey as bigint) as var_id from part where p_size <= 10",
-    "feature_selection_random": "select cast(50 as bigint) as n, cast(50 as bigint) as distinct_n",
+    "feature_selection_random": "select cast(p_partkey as bigint) as var_id from part order by md5('42-' || cast(p_partkey as varchar)), p_partkey limit 50",
     "feature_selection_variance": f"with {BASE} select var_id from d group by var_id having var_samp(value) > 30",
     "normalize_row": f"with {BASE} select obs_id, var_id, {r('value * 10000.0::double / sum(value) over (partition by obs_id)', 'value')} from x",
     "normalize_col": f"with {BASE} select obs_id, var_id, {r('value * 10000.0::double / sum(value) over (partition by var_id)', 'value')} from x",
+    "convert_to_single": f"with {BASE} select obs_id, var_id, {r('cast(value / 3.0::double as float)', 'value')} from x",
+    "convert_array": f"""with {BASE},
+o as (select obs_id, row_number() over (order by obs_id) - 1 as i from obs), v as (select var_id, row_number() over (order by var_id) - 1 as j from var)
+select cast(i // 3 as bigint) as position, {', '.join(r(f'cast(max(value) filter (j = {j}) / 3.0::double as float)', f'c{i}') for i, j in enumerate((4, 0, 4, 9)))}
+from o join d using (obs_id) join v using (var_id) where i < 100 and i % 3 = 0 group by 1""",
+    "wide_frame": f"with {BASE} select var_id, {', '.join(r(f"coalesce(sum(value) filter (segment = '{g}'), 0)", g) for g in SEGMENTS)} from d group by var_id",
     "log1p": f"with {BASE} select obs_id, var_id, {r('ln(1 + value)', 'value')} from x",
     "hvg_seurat_cutoff": _HVG + "means > 0.0125 and means < 100 and coalesce(norm, 0) > 0.5 as highly_variable from z",
     "hvg_seurat_topn": _HVG + "norm is not null and rank() over (order by round(norm, 9) desc nulls last) <= 50 as highly_variable from z",
     "hvg_by_batch": _BATCHED,
-    "hvg_equal_frequency_bins": f"{_MEANS}, b as (select *, ntile(7) over (order by round(means, 12), var_id) - 1 as bin from l) select cast(bin as int) as bin, count(*) as n, {r('min(means)', 'low')}, {r('max(means)', 'high')} from b group by bin",
+    "hvg_equal_frequency_bins": f"{_MEANS}, b as (select *, ntile(7) over (order by round(means, 12), var_id) - 1 as bin from l) select var_id, {r('means', 'means')}, cast(bin as int) as bin from b",
+    "hvg_dispatch": f"with q as ({_HVG} norm is not null and rank() over (order by round(norm, 9) desc nulls last) <= 50 as highly_variable from z) select q.*, p_name as var_name from q join part on p_partkey = var_id",
     "de_group_sums": f"{_GROUPED.format(base=BASE, of='d')} select grp as \"group\", var_id, {_SUMS} from k group by 1, 2",
     "de_logfc": f"""{_GROUPED.format(base=LOGGED, of='e')},
 s as (select grp, var_id, avg(value) filter (mine) as a, avg(value) filter (not mine) as b from k group by 1, 2)
 select grp as "group", var_id, {r('case when a = 0 and b = 0 then 0 else log2(exp(a)) + log2((1 - exp(-a) + exp(-a)) / exp(b)) end', 'logfoldchange')} from s""",
     "de_welch_stat": _stat("(a - b) / sqrt(v / n + w / m)", _WELCH_DF),
     "de_student_stat": _stat("(a - b) / sqrt(((n - 1) * v + (m - 1) * w) / (n + m - 2) * (1.0::double / n + 1.0::double / m))", "n + m - 2"),
+    "de_welch_reference": _stat("(a - b) / sqrt(v / n + w / m)", _WELCH_DF, _REFERENCE),
+    "de_some_groups": _stat("(a - b) / sqrt(v / n + w / m)", _WELCH_DF, _GROUPED.format(base=BASE, of="d").replace("distinct segment as grp from obs", "distinct segment as grp from obs where segment in ('MACHINERY', 'FURNITURE')")),
+    "de_group_members": "select cast(c_custkey as bigint) as obs_id from customer where c_mktsegment = 'BUILDING'",
+    "de_pvalues": _ranked(_WELCH_TESTED),
+    "rank_gene_groups": _ranked(_MANN_WHITNEY_TESTED, 25),
+    "rank_gene_groups_stored": _STORED,
     "de_mannwhitney_u": _ranks(_GROUPED.format(base=BASE, of="d"), "rest"),
     "de_mannwhitney_reference": _ranks(_REFERENCE, "pair"),
     "correct_bonferroni": f"with {_P} select family, test, round(p, 9) + 0.0::double as p, {r('least(1.0::double, m * p)', 'pval_adj', 9)} from o",

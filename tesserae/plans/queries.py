@@ -39,10 +39,10 @@ def logged(spark: SparkSession, sf_dir: str) -> ExprData:
 
 
 def embedding_matrix(spark: SparkSession, sf_dir: str) -> ExprData:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("obs_id"), F.posexplode("embedding").alias("var_id", "value"))
-    width = rows.select(F.max("var_id")).first()[0]
-    obs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("obs_id"))
-    return ExprData.from_frames(rows, obs, spark.range((-1 if width is None else width) + 1).select(F.col("id").alias("var_id")))
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = table.select(F.col("vec_id").alias("obs_id"), F.posexplode("embedding").alias("var_id", "value"))
+    width = table.select(F.max(F.size("embedding"))).first()[0]
+    return ExprData.from_frames(rows, table.select(F.col("vec_id").alias("obs_id")), spark.range(max(0, width or 0)).select(F.col("id").alias("var_id")))
 
 
 def rounded(rows: DataFrame, places: int = 6) -> DataFrame:
@@ -58,10 +58,6 @@ def _both(f: Callable[[ExprData, Direction], DataFrame], direction: Direction) -
     return _matrix(lambda data: f(data, direction))
 
 
-def _count_and_sum(data: ExprData, direction: Direction, mask: Column | None = None) -> DataFrame:
-    return statistics.nonzero(data, direction, mask).join(statistics.total(data, direction, mask), direction.key)
-
-
 def _p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in column of p-values: a test for each part within its brand, with ties."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -110,7 +106,25 @@ def _hvg(**options: object) -> Query:
 def _row_sums(rows: DataFrame) -> DataFrame:
     """What tells dense rows apart without writing them out: their length, sum, and sum weighted by place."""
     each = rows.select("obs_id", F.posexplode("row").alias("at", "value"))
-    return each.groupBy("obs_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("at") + 1)).alias("weighted"))
+    return each.groupBy("obs_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("at") + 1)).alias("weighted"), F.sum(F.col("value") * (F.col("at") * 7919 % 1009)).alias("mixed"))
+
+
+def _qc_inplace(data: ExprData) -> DataFrame:
+    return qc.calculate_qc_metrics(data, qc_vars=["small"], percent_top=TOP, inplace=True, log1p=True).obs.drop("obs_name", "nation")
+
+
+def _qc_mito(data: ExprData) -> DataFrame:
+    """Small parts by names that begin as mitochondrial genes do."""
+    named = data.var.withColumn("var_name", F.when(F.col("small"), F.concat(F.lit("MT-"), "var_name")).otherwise(F.col("var_name")))
+    return qc.qc_metrics(data.with_(var=named), TOP).obs.drop("obs_name", "nation", "segment")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and scores of the wide tables of a test against one group, a column for each group and table."""
+    uns = diffexp.rank_gene_groups(logged(spark, sf_dir), "segment", "BUILDING", ["AUTOMOBILE", "MACHINERY"], key_added="q", n_genes=40).uns
+    names, scores = (uns[f"rank_genes_groups_q_{what}"] for what in ("names", "scores"))
+    both = names.join(scores.withColumnsRenamed({"AUTOMOBILE": "score_AUTOMOBILE", "MACHINERY": "score_MACHINERY"}), "rank")
+    return rounded(both)
 
 
 def _features(data: ExprData, chosen: selection.FeatureSelection) -> DataFrame:
@@ -118,9 +132,12 @@ def _features(data: ExprData, chosen: selection.FeatureSelection) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "obs_nonzero_sum": _both(_count_and_sum, ROW),
-    "var_nonzero_sum": _both(_count_and_sum, COLUMN),
-    "masked_nonzero_sum": _matrix(lambda d: _count_and_sum(d, ROW, F.col("small"))),
+    "obs_nonzero_sum": _both(statistics.count_and_total, ROW),
+    "var_nonzero_sum": _both(statistics.count_and_total, COLUMN),
+    "masked_nonzero_sum": _matrix(lambda d: statistics.count_and_total(d, ROW, F.col("small"))),
+    "masked_var_nonzero_sum": _matrix(lambda d: statistics.count_and_total(d, COLUMN, F.col("segment") == "BUILDING")),
+    "obs_nonzero": _both(statistics.nonzero, ROW),
+    "var_total": _both(statistics.total, COLUMN),
     "obs_variance": _both(statistics.variance, ROW),
     "var_variance": _both(statistics.variance, COLUMN),
     "obs_min_max": _both(statistics.min_max, ROW),
@@ -131,6 +148,8 @@ QUERIES: dict[str, Query] = {
     "var_top_segment_proportions": _matrix(lambda d: statistics.top_segment_proportions(d, COLUMN, TOP)),
     "qc_obs": _matrix(lambda d: qc.describe_obs(d, "counts", "genes", ["small"], TOP, True)),
     "qc_var": _matrix(lambda d: qc.describe_var(d, "counts", True)),
+    "qc_calculate_inplace": _matrix(_qc_inplace),
+    "qc_mitochondrial": _matrix(_qc_mito),
     "filter_cells": _matrix(lambda d: filtering.mark_filter_cells(d, min_genes=10, max_counts=1500, min_fraction=0.01)),
     "filter_genes": _matrix(lambda d: filtering.mark_filter_genes(d, min_cells=20, min_counts=500, max_fraction=0.5)),
     "select_obs": _matrix(lambda d: selection.get_select_info_obs(d, F.col("segment") == "BUILDING").x),
@@ -141,24 +160,32 @@ QUERIES: dict[str, Query] = {
     "densify": _matrix(lambda d: _row_sums(selection.densify(d))),
     "feature_selection_full": _matrix(lambda d: _features(d, selection.FeatureSelection())),
     "feature_selection_hvg": _matrix(lambda d: _features(d, selection.FeatureSelection(selection.Method.HIGHLY_VARIABLE, column="small"))),
-    "feature_selection_random": _matrix(lambda d: _features(d, selection.FeatureSelection(selection.Method.RANDOM, count=50)).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("var_id").alias("distinct_n"))),
+    "feature_selection_random": _matrix(lambda d: _features(d, selection.FeatureSelection(selection.Method.RANDOM, count=50))),
     "feature_selection_variance": _matrix(lambda d: _features(d, selection.FeatureSelection(selection.Method.VARIANCE, threshold=30.0))),
     "normalize_row": _matrix(lambda d: transform.normalize_expression(d, 10_000, ROW).x),
     "normalize_col": _matrix(lambda d: transform.normalize_expression(d, 10_000, COLUMN).x),
+    "convert_to_single": _matrix(lambda d: transform.convert_to_float(d.x.select("obs_id", "var_id", (F.col("value") / 3.0).alias("value")), "single").withColumn("value", F.col("value").cast("double"))),
+    "convert_array": _matrix(lambda d: selection.densify_selected(d, selection.Slice(0, 100, 3), [4, 0, 4, 9]).select("position", F.transform(transform.convert_array(F.transform("row", lambda v: v / 3.0), "single"), lambda v: v.cast("double")).alias("row")).select("position", *(F.get("row", i).alias(f"c{i}") for i in range(4)))),
+    "wide_frame": _matrix(lambda d: transform.frame_from_groups(diffexp.group_sums(d, _groups(d)), "var_id", "group", "s", _groups(d).tested)),
     "log1p": _matrix(lambda d: transform.log1p_expression(d).x),
     "hvg_seurat_cutoff": _hvg(max_mean=100.0),
     "hvg_seurat_topn": _hvg(n_top_genes=50),
     "hvg_by_batch": _matrix(lambda d: hvg.normalized_by_batch(hvg.dispersions(hvg.moments(d)).join(d.var.select("var_id", "brand"), "var_id"), 5, "brand").select("var_id", "dispersions_norm")),
-    "hvg_equal_frequency_bins": _matrix(lambda d: hvg.equal_frequency_bins(hvg.dispersions(hvg.moments(d)), 7).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("means").alias("low"), F.max("means").alias("high"))),
+    "hvg_equal_frequency_bins": _matrix(lambda d: hvg.equal_frequency_bins(hvg.dispersions(hvg.moments(d)), 7).select("var_id", "means", "bin")),
+    "hvg_dispatch": _matrix(lambda d: hvg.compute_highly_variable_genes(d, hvg.HVGParams(n_top_genes=50)).var.select("var_id", "var_name", "means", "dispersions", "dispersions_norm", "highly_variable")),
     "hvg_svr": _matrix(lambda d: hvg.svr(d, hvg.HVGParams(n_top_genes=200, flavor=hvg.Flavor.SVR))),
     "de_group_sums": _matrix(lambda d: diffexp.group_sums(d, _groups(d))),
     "de_logfc": _matrix(lambda d: diffexp.log_fold_change(diffexp.group_sums(d, _groups(d))).select("group", "var_id", "logfoldchange"), logged),
     "de_welch_stat": _t(diffexp.TestMethod.WELCH),
     "de_student_stat": _t(diffexp.TestMethod.STUDENT),
+    "de_welch_reference": _matrix(lambda d: diffexp.t_statistics(diffexp.group_sums(d, _groups(d, "BUILDING")), diffexp.TestMethod.WELCH).select("group", "var_id", "t", "df")),
+    "de_some_groups": _matrix(lambda d: diffexp.t_statistics(diffexp.group_sums(d, diffexp.resolve(d, "segment", None, ["MACHINERY", "FURNITURE"])), diffexp.TestMethod.WELCH).select("group", "var_id", "t", "df")),
+    "de_group_members": _matrix(lambda d: diffexp.obs_of_group(d, "segment", "BUILDING")),
     "de_mannwhitney_u": _matrix(lambda d: diffexp.mann_whitney(d, _groups(d))),
     "de_mannwhitney_reference": _matrix(lambda d: diffexp.mann_whitney(d, _groups(d, "BUILDING"))),
     "de_pvalues": _tests(diffexp.TestMethod.WELCH, None),
     "rank_gene_groups": _tests(diffexp.TestMethod.MANN_WHITNEY, 25),
+    "rank_gene_groups_stored": _stored,
     "correct_bonferroni": _corrected(Correction.BONFERRONI),
     "correct_bh": _corrected(Correction.BENJAMINI_HOCHBERG),
     "correct_by": _corrected(Correction.BENJAMINI_YEKUTIELI),

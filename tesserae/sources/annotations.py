@@ -12,6 +12,8 @@ from tesserae.sources.csv import frame_from_csv_bytes
 
 #: Licences that a resource can be asked for.
 LICENSES = ("academic", "commercial", "nonprofit")
+#: Fixed value: the name of the resource of cell types.
+PANGLAODB = "panglaodb"
 #: The columns that are reshaped, and those that are dropped if they are there.
 KEYS, LABEL, VALUE, DROPPED = ("genesymbol", "record_id"), "label", "value", ("record_id", "entity_type", "_entity_type")
 
@@ -51,3 +53,8 @@ def network(rows: DataFrame, source: str = "cell_type", target: str = "genesymbo
         pairs = pairs.join(features.select(F.col("var_name").alias("target")).distinct(), "target", "left_semi")
     enough = pairs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= tmin).select("source")
     return pairs.join(enough, "source", "left_semi").select("source", "target", F.lit(1.0).alias("weight"))
+
+
+def panglaodb_network(spark: SparkSession, url: str, license: str, tax_id: str | None = None, features: DataFrame | None = None, tmin: int = 0) -> DataFrame:
+    """The network of cell types and their marker genes from the resource of that name, in one call."""
+    return network(load_resource(spark, url, PANGLAODB, license, tax_id), "cell_type", "genesymbol", features, tmin)

@@ -2,37 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _options(sep: str, has_header: bool) -> dict[str, object]:
+    return {"sep": sep, "header": has_header, "quote": '"', "escape": '"', "nullValue": "NA", "inferSchema": True}
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", has_header: bool = True) -> DataFrame:
-    """Types are inferred, double quotes enclose, and NA is null in every column."""
-    return spark.read.csv(path, sep=sep, header=has_header, quote='"', nullValue="NA", inferSchema=True)
+    """Types are inferred, double quotes enclose (two are one of them), and NA is null in every column."""
+    return spark.read.csv(path, **_options(sep, has_header))
 
 
-def frame_from_csv_bytes(spark: SparkSession, data: bytes, sep: str = ",", has_header: bool = True) -> DataFrame:
-    """The same for bytes that the driver holds, such as a downloaded annotation."""
-    import csv
-    import io
+def _records(text: str) -> Iterator[str]:
+    """Lines, with those joined that a line break within quotes parts."""
+    held = ""
+    for line in text.splitlines():
+        held = f"{held}\n{line}" if held else line
+        if held.count('"') % 2 == 0:
+            if held.strip():
+                yield held
+            held = ""
+    if held:
+        yield held
+
 
-    rows = list(csv.reader(io.StringIO(data.decode("utf-8")), delimiter=sep, quotechar='"'))
-    if not rows:
+def frame_from_csv_bytes(spark: SparkSession, data: bytes, sep: str = ",", has_header: bool = True) -> DataFrame:
+    """The same for bytes that the driver holds, such as a downloaded annotation; Spark parses the lines and infers the types."""
+    records = list(_records(data.decode("utf-8-sig")))
+    if not records:
         raise ValueError("there is no line")
-    names = rows.pop(0) if has_header else [f"_c{i}" for i in range(len(rows[0]))]
-    cells = [[None if c in ("", "NA") else c for c in r] + [None] * (len(names) - len(r)) for r in rows]
-
-    def kind(column: int) -> type:
-        for to in (int, float):
-            try:
-                for r in cells:
-                    if r[column] is not None:
-                        to(r[column])
-                return to
-            except ValueError:
-                continue
-        return str
-
-    kinds = [kind(i) for i in range(len(names))]
-    types = {int: "bigint", float: "double", str: "string"}
-    typed = [[None if c is None else k(c) for c, k in zip(r, kinds, strict=False)] for r in cells]
-    return spark.createDataFrame(typed, ", ".join(f"`{n}` {types[k]}" for n, k in zip(names, kinds, strict=True)))
+    return spark.read.csv(spark.sparkContext.parallelize(records), **_options(sep, has_header))

@@ -7,7 +7,7 @@ import pytest
 from tesserae.plans.registry import queries
 
 #: Queries that have a Python part by design.
-PYTHON = {"hvg_svr", "de_pvalues", "rank_gene_groups", "pca_scores", "pca_variance"}
+PYTHON = {"hvg_svr", "de_pvalues", "rank_gene_groups", "rank_gene_groups_stored", "pca_scores", "pca_variance"}
 
 
 def plan(df):
