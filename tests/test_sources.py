@@ -1,7 +1,7 @@
 import pytest
 
 from tesserae.plans.data import Direction, ExprData
-from tesserae.sources.annotations import check_license, download_resource, network, reshape
+from tesserae.sources.annotations import check_license, download_resource, network, panglaodb_network, reshape
 from tesserae.sources.csv import frame_from_csv_bytes, read_csv
 from tesserae.sources.h5ad import FileScope, read_h5ad, read_h5ad_memory
 from tesserae.streaming.totals import running_totals
@@ -69,3 +69,19 @@ def test_running_totals(spark, tmp_path):
     query = running_totals(stream, Direction.ROW).writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(map(tuple, spark.table("totals").collect())) == [(0, 1, 1.0), (1, 2, 5.0)]
+
+
+def test_csv_bytes_are_typed_by_spark(spark):
+    """Digits with an underscore are text, as are words that Python takes for numbers; large integers and quotes stay whole."""
+    rows = frame_from_csv_bytes(spark, b'a,b,c,d\n1_0,nan,99999999999999999999,"x ""y"""\n2_3,inf,1,"two\nlines"\n')
+    assert [tuple(r)[:2] for r in rows.collect()] == [("1_0", "nan"), ("2_3", "inf")]
+    assert [str(r["c"]) for r in rows.collect()] == ["99999999999999999999", "1"] and [r["d"] for r in rows.collect()] == ['x "y"', "two\nlines"]
+
+
+def test_panglaodb_in_one_call(spark, tmp_path):
+    folder = tmp_path / "academic"
+    folder.mkdir()
+    lines = ["genesymbol\trecord_id\tlabel\tvalue", "G1\t1\tcell_type\tB", "G1\t1\tncbi_tax_id\t9606", "G2\t2\tcell_type\tB", "G2\t2\tncbi_tax_id\t10090", "G3\t3\tcell_type\tT", "G3\t3\tncbi_tax_id\t9606"]
+    (folder / "panglaodb").write_text("\n".join(lines) + "\n")
+    edges = panglaodb_network(spark, f"{tmp_path.as_uri()}/{{license}}/{{name}}", "Academic", "9606")
+    assert sorted(tuple(r) for r in edges.collect()) == [("B", "G1", 1.0), ("T", "G3", 1.0)]
