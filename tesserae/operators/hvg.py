@@ -170,8 +170,8 @@ def _trend(rows: pd.DataFrame) -> pd.DataFrame:
 def svr(data: ExprData, params: HVGParams) -> DataFrame:
     """var_id, means, variances, residuals, highly_variable, residuals_standardized and mean_variance_trend.
 
-    Variables without a finite ln of mean and variance stay out of the fit and are never chosen by number. Sweeps depend on
-    the order of variables and run in one task, so more than MOST variables are an error."""
+    Variables without a finite ln of mean and variance stay out of the fit and are never chosen by number, for which residuals
+    count to nine places. Sweeps depend on the order of variables and run in one task, so more than MOST variables are an error."""
     n = data.length(Direction.COLUMN)
     if n > MOST:
         raise ValueError(f"{n} variables are more than the {MOST} that a trend is fitted on; choose some first")
@@ -179,7 +179,7 @@ def svr(data: ExprData, params: HVGParams) -> DataFrame:
     rows = moments(data).withColumn("whole", F.lit(True)).groupBy("whole").applyInPandas(_trend, shape)
     inside = (F.col("means") >= params.min_mean) & (F.col("means") <= params.max_mean)
     if params.n_top_genes is not None:
-        order = Window.partitionBy(F.lit(0)).orderBy(F.desc("fits"), F.desc("residuals_standardized"), "var_id")
+        order = Window.partitionBy(F.lit(0)).orderBy(F.desc("fits"), F.round("residuals_standardized", 9).desc(), "var_id")
         rows = rows.withColumn("rank", F.row_number().over(order))
         mark = F.col("fits") & (F.col("rank") <= params.n_top_genes) & inside
     else:

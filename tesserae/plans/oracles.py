@@ -173,6 +173,43 @@ _BH = "min(b.m * b.p / b.i)"
 _HARMONIC = "(select sum(1.0::double / c.i) from o c where c.family = a.family)"
 _PI0 = "least(1.0::double, (select count(*) from o c where c.family = a.family and c.p > 0.5) / (a.m * 0.5::double))"
 
+#: Squarings of a matrix, after which nothing but its first component is left, and components.
+_SQUARINGS, _COMPONENTS = 24, 10
+_SQUARED = "list_transform(range(1, w + 1), lambda i: list_transform(range(1, w + 1), lambda j: list_inner_product(a[i], a[j])))"
+_COMPONENT = f"""with recursive e as (select cast(vec_id as bigint) as obs_id, cast(embedding as double[]) as v from embeddings),
+l as (select obs_id, i, v[i] as x from e, unnest(range(1, len(v) + 1)) t(i)),
+c as materialized (select obs_id, i, x - avg(x) over (partition by i) as x from l),
+g as (select a.i, b.i as j, sum(a.x * b.x) as s from c a join c b using (obs_id) group by 1, 2),
+rows as (select i, list(s order by j) as line from g group by i),
+step as (select 1 as k, 0 as s, m, m as a, len(m) as w from (select list(line order by i) as m from rows) union all
+  select if(s < {_SQUARINGS}, k, k + 1), if(s < {_SQUARINGS}, s + 1, 0), if(s < {_SQUARINGS}, m, less),
+         if(s < {_SQUARINGS}, list_transform(q, lambda u: list_transform(u, lambda x: x / list_sum(list_transform(range(1, w + 1), lambda i: q[i][i])))), less), w
+  from (select *, list_transform(range(1, w + 1), lambda i: list_transform(range(1, w + 1), lambda j: m[i][j] - value * a[i][j])) as less from
+        (select *, {_SQUARED} as q, list_sum(list_transform(range(1, w + 1), lambda i: list_inner_product(m[i], a[i]))) as value from step where k <= {_COMPONENTS}))),
+found as (select k - 1 as component, w, list_sum(list_transform(range(1, w + 1), lambda i: list_inner_product(m[i], a[i]))) as value, list_transform(range(1, w + 1), lambda i: a[i][i]) as own, a from step where s = {_SQUARINGS} and k <= {_COMPONENTS}),
+vectors as (select component, list_transform(a[list_position(own, list_max(own))], lambda x: x / sqrt(list_max(own))) as v from found)"""
+_VARIANCE = f"""{_COMPONENT}, z as (select component, value, (select sum(s) from g where i = j) as total, (select count(*) from e) as n from found)
+select cast(component as int) as component, {r('value / (n - 1)', 'explained_variance')}, {r('value / total', 'ratio')}, {r('sum(value / total) over (order by component)', 'cumulative')} from z"""
+_SCORES = f"""{_COMPONENT}, y as (select obs_id, list(x order by i) as x from c group by 1)
+select obs_id, {', '.join(r(f'max(list_inner_product(x, v)) filter (component = {i})', f'c{i}') for i in range(_COMPONENTS))} from y cross join vectors group by 1"""
+_LOADINGS = f"""{_COMPONENT}, y as (select component, i - 1 as var_id, v[i] as x from vectors, unnest(range(1, len(v) + 1)) t(i))
+select cast(var_id as bigint) as var_id, {', '.join(r(f'max(x) filter (component = {i})', f'c{i}') for i in range(_COMPONENTS))} from y group by 1"""
+
+#: The trend by the whole kernel: a sweep renews one weight after another, each from all weights as they are then.
+_TREND = f"""with recursive {BASE},
+m as (select var_id, avg(value) as mean, var_samp(value) as var from d group by 1),
+f as (select var_id, ln(mean) as lx, ln(var) as y from m where mean > 0 and var > 0),
+p as (select row_number() over (order by var_id) as i, var_id, y, (lx - min(lx) over ()) / (max(lx) over () - min(lx) over ()) as x, count(*) over () as n from f),
+k as (select a.i, any_value(a.y) as y, list(exp(-(a.x - b.x) * (a.x - b.x) / a.n) order by b.i) as line from p a cross join p b group by a.i),
+e as materialized (select list(list_concat([cast(i as double), y], line) order by i) as lines, count(*) as n from k),
+w as (select 0 as sweep, list_transform(range(n), lambda i: 0.0::double) as v from e union all
+  select sweep + 1, list_reduce(lines, lambda v, l: list_concat(v[:cast(l[1] as bigint) - 1], [(l[2] - list_inner_product(l[3:], v) + v[cast(l[1] as bigint)]) / 2.0::double], v[cast(l[1] as bigint) + 1:]), v) from w, e where sweep < 100),
+t as (select unnest(range(1, n + 1)) as i, unnest(list_transform(lines, lambda l: list_inner_product(l[3:], v))) as trend from w, e where sweep = 100),
+u as (select var_id, mean, var, trend, y - trend as residual from m left join (p join t using (i)) using (var_id)),
+z as (select *, coalesce((residual - avg(residual) over ()) / stddev_samp(residual) over (), 0) as standardized from u)
+select var_id, {r('mean', 'means')}, {r('var', 'variances')}, {r('residual', 'residuals')}, {r('standardized', 'residuals_standardized')}, {r('trend', 'mean_variance_trend')},
+       residual is not null and mean between 0.0125 and 3 and row_number() over (order by residual is not null desc, round(standardized, 9) desc, var_id) <= 200 as highly_variable from z"""
+
 ORACLES: dict[str, str] = {
     "obs_nonzero_sum": _axis(_COUNT_SUM, "obs_id"),
     "var_nonzero_sum": _axis(_COUNT_SUM, "var_id"),
@@ -221,6 +258,10 @@ from o join d using (obs_id) join v using (var_id) where i < 100 and i % 3 = 0 g
     "hvg_by_batch": _BATCHED,
     "hvg_equal_frequency_bins": f"{_MEANS}, b as (select *, ntile(7) over (order by round(means, 12), var_id) - 1 as bin from l) select var_id, {r('means', 'means')}, cast(bin as int) as bin from b",
     "hvg_dispatch": f"with q as ({_HVG} norm is not null and rank() over (order by round(norm, 9) desc nulls last) <= 50 as highly_variable from z) select q.*, p_name as var_name from q join part on p_partkey = var_id",
+    "hvg_svr": _TREND,
+    "pca_variance": _VARIANCE,
+    "pca_scores": _SCORES,
+    "pca_loadings": _LOADINGS,
     "de_group_sums": f"{_GROUPED.format(base=BASE, of='d')} select grp as \"group\", var_id, {_SUMS} from k group by 1, 2",
     "de_logfc": f"""{_GROUPED.format(base=LOGGED, of='e')},
 s as (select grp, var_id, avg(value) filter (mine) as a, avg(value) filter (not mine) as b from k group by 1, 2)

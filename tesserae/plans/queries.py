@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.corrections import Correction, apply_correction
 from tesserae.operators import diffexp, filtering, hvg, qc, selection, statistics, transform
-from tesserae.operators.pca import run_pca
+from tesserae.operators.pca import PCAResult, run_pca
 from tesserae.plans.data import Direction, ExprData, with_index
 from tesserae.sources.annotations import network, reshape
 
@@ -127,6 +127,16 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both)
 
 
+def _components(of: Callable[[PCAResult], DataFrame], key: str = "", values: str = "") -> Query:
+    """Ten components of the embeddings; arrays as a column for each component."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = of(run_pca(embedding_matrix(spark, sf_dir), selection.FeatureSelection(), True, 10))
+        return rounded(rows.select(key, *(F.get(values, F.lit(i)).alias(f"c{i}") for i in range(10))) if values else rows)
+
+    return run
+
+
 def _features(data: ExprData, chosen: selection.FeatureSelection) -> DataFrame:
     return selection.select_features(data, chosen)
 
@@ -192,8 +202,9 @@ QUERIES: dict[str, Query] = {
     "correct_holm": _corrected(Correction.HOLM),
     "correct_hochberg": _corrected(Correction.HOCHBERG),
     "correct_storey": _corrected(Correction.STOREY),
-    "pca_scores": lambda spark, sf_dir: run_pca(embedding_matrix(spark, sf_dir), selection.FeatureSelection(), True, 10).scores,
-    "pca_variance": lambda spark, sf_dir: rounded(run_pca(embedding_matrix(spark, sf_dir), selection.FeatureSelection(), True, 10).variance),
+    "pca_scores": _components(lambda found: found.scores, "obs_id", "score"),
+    "pca_variance": _components(lambda found: found.variance),
+    "pca_loadings": _components(lambda found: found.loadings, "var_id", "loading"),
     "annotation_pivot": annotation_pivot,
     "network": annotation_network,
 }
