@@ -1,13 +1,15 @@
 """Principal components of a sparse matrix over chosen variables.
 
 The Gram matrix of the chosen variables is added up from blocks of observations, so what is moved grows with blocks and the
-square of the variables, not with observations; its eigenvectors are found on the driver, which bounds the variables.
+square of the variables, not with observations; its eigenvectors are found on the driver, which bounds the variables. More
+variables than that go by subspace iteration (`subspace.py`), whose tables are distributed on both axes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from enum import Enum
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.selection import FeatureSelection, Method, select_features
+from tesserae.operators.subspace import SPREAD, leading_components, sum_lines
 from tesserae.plans.data import Direction, ExprData
 
-#: Most variables, observations of a block, lines of a batch, and partial sums of a line.
-MOST, BLOCK, LINES, SPREAD = 5000, 4096, 256, 32
+#: Most variables of a Gram matrix, observations of a block, and lines of a batch.
+MOST, BLOCK, LINES = 5000, 4096, 256
+
+
+class SVDMethod(Enum):
+    """GRAM is exact and has at most MOST variables; RANDOMIZED has any number, and is near where eigenvalues part."""
+
+    GRAM = "gram"
+    RANDOMIZED = "randomized"
 
 
 @dataclass(frozen=True)
@@ -44,17 +54,6 @@ def _dense(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, out
 
 
-def _sum_lines(lines: DataFrame, by: list[str]) -> DataFrame:
-    """Arrays of each line added up."""
-
-    def add(key: tuple, rows: pa.Table) -> pa.Table:
-        sums = rows.column("sums").combine_chunks()
-        total = sums.flatten().to_numpy().reshape(len(sums), -1).sum(axis=0)
-        return pa.table({"line": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total], pa.list_(pa.float64()))})
-
-    return lines.groupBy(*by).applyInArrow(add, "line int, sums array<double>")
-
-
 def gram(blocks: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The sum of products of each pair of variables, and the sum of each.
 
@@ -89,23 +88,47 @@ def gram(blocks: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     ordered = blocks.repartition("block").sortWithinPartitions("block", "obs_id")
     lines = ordered.mapInArrow(part, "line int, sums array<double>").withColumn("task", F.spark_partition_id() % SPREAD)
-    found = _sum_lines(_sum_lines(lines, ["line", "task"]), ["line"]).collect()  # width + 1 lines of width numbers
+    found = sum_lines(sum_lines(lines, ["line", "task"]), ["line"]).collect()  # width + 1 lines of width numbers
     out = np.zeros((width + 1, width))
     for r in found:
         out[r["line"]] = r["sums"]
     return out[:-1], out[-1]
 
 
-def run_pca(data: ExprData, selection: FeatureSelection | None = None, center: bool = False, n_components: int = 50, seed: int = 42) -> PCAResult:
+def _variance(data: ExprData, lines: list[tuple[float, float]], n_obs: int) -> DataFrame:
+    """A line for each component from its eigenvalue and share of the whole."""
+    shares = np.cumsum([share for _, share in lines])
+    rows = [(i, value / max(1, n_obs - 1), share, float(c)) for i, ((value, share), c) in enumerate(zip(lines, shares, strict=True))]
+    return data.x.sparkSession.createDataFrame(rows, "component int, explained_variance double, ratio double, cumulative double")
+
+
+def run_pca(
+    data: ExprData,
+    selection: FeatureSelection | None = None,
+    center: bool = False,
+    n_components: int = 50,
+    seed: int = 42,
+    svd_method: SVDMethod | None = None,
+    alpha: float = 1.0,
+    verbose: bool = False,
+) -> PCAResult:
     """Components of the chosen variables, by default 1000 at random and without centering.
 
-    There are at most as many components as variables or observations. Explained variance is a component's eigenvalue over
-    n - 1, and its ratio is to the sum over all components."""
+    There are at most as many components as variables or observations, and by RANDOMIZED at most as many as the rank. Explained
+    variance is a component's eigenvalue over n - 1, and its ratio is to the sum over all components. Without a method, it is
+    GRAM for up to MOST variables and else RANDOMIZED. alpha and verbose are accepted and have no effect."""
     if selection is None:
         selection = FeatureSelection(Method.RANDOM, count=1000, seed=seed)
-    ids = sorted(r["var_id"] for r in select_features(data, selection).limit(MOST + 1).collect())
-    if not ids or len(ids) > MOST:
-        raise ValueError(f"between 1 and {MOST} variables can be chosen")
+    features = select_features(data, selection).select("var_id")
+    ids = sorted(r["var_id"] for r in features.limit(MOST + 1).collect())
+    if not ids:
+        raise ValueError("no variable is chosen")
+    if svd_method is SVDMethod.RANDOMIZED or (svd_method is None and len(ids) > MOST):
+        n_obs = data.length(Direction.ROW)
+        scores, lines, loadings = leading_components(data.x.join(features, "var_id", "left_semi"), data.obs, features, n_obs, features.count(), center, n_components, seed)
+        return PCAResult(scores, _variance(data, lines, n_obs), loadings)
+    if len(ids) > MOST:
+        raise ValueError(f"{svd_method} takes at most {MOST} variables")
     width, n_obs = len(ids), data.length(Direction.ROW)
     blocks = _blocks(data, {v: i for i, v in enumerate(ids)}, n_obs)
     products, sums = gram(blocks, width)
@@ -124,9 +147,7 @@ def run_pca(data: ExprData, selection: FeatureSelection | None = None, center: b
     found = blocks.groupBy("block").applyInArrow(project, "obs_id long, score array<double>")
     nothing = F.array(*(F.lit(float(v)) for v in -offset))
     scores = data.obs.select("obs_id").join(found, "obs_id", "left").select("obs_id", F.coalesce("score", nothing).alias("score"))
-    spark, total = data.x.sparkSession, values.sum()
-    ratio = values[:k] / total if total > 0 else np.zeros(k)
-    lines = [(i, float(v) / max(1, n_obs - 1), float(r), float(c)) for i, (v, r, c) in enumerate(zip(values[:k], ratio, ratio.cumsum(), strict=True))]
-    variance = spark.createDataFrame(lines, "component int, explained_variance double, ratio double, cumulative double")
-    loadings = spark.createDataFrame([(int(v), [float(w) for w in row]) for v, row in zip(ids, vectors, strict=True)], "var_id long, loading array<double>")
+    total = values.sum()
+    variance = _variance(data, [(float(v), float(v / total) if total > 0 else 0.0) for v in values[:k]], n_obs)
+    loadings = data.x.sparkSession.createDataFrame([(int(v), [float(w) for w in row]) for v, row in zip(ids, vectors, strict=True)], "var_id long, loading array<double>")
     return PCAResult(scores, variance, loadings)

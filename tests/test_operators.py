@@ -198,6 +198,37 @@ def test_components_equal_decomposition(spark):
         assert np.array(column(found.loadings, "var_id", "loading")) == pytest.approx(vt.T, abs=1e-8)
 
 
+def test_components_of_many_variables(spark, monkeypatch):
+    """By subspace iteration, as where there are more variables than a Gram matrix may have; one observation and one variable are empty."""
+    rng = np.random.default_rng(2)
+    dense = np.where(rng.random((60, 30)) < 0.5, 0.0, 1.0 + rng.normal(size=(60, 30)) * 1.3 ** -np.arange(30.0))
+    dense[7], dense[:, 4] = 0, 0
+    data = container(spark, dense)
+    assert pca.run_pca(data, selection.FeatureSelection(), True, 3, svd_method=pca.SVDMethod.GRAM).loadings.count() == 30
+    monkeypatch.setattr(pca, "MOST", 20)
+    with pytest.raises(ValueError, match="at most 20"):
+        pca.run_pca(data, selection.FeatureSelection(), True, 3, svd_method=pca.SVDMethod.GRAM)
+    found = pca.run_pca(data, selection.FeatureSelection(), True, 3)
+    moved = dense - dense.mean(axis=0)
+    _, s, vt = np.linalg.svd(moved, full_matrices=False)
+    vt = vt[:3] * np.sign(vt[np.arange(3), np.abs(vt[:3]).argmax(axis=1)])[:, None]
+    lines = found.variance.orderBy("component").collect()
+    assert [r["explained_variance"] for r in lines] == pytest.approx((s[:3] ** 2 / 59).tolist(), rel=1e-6)
+    assert lines[-1]["cumulative"] == pytest.approx((s[:3] ** 2).sum() / (s**2).sum(), rel=1e-6)
+    assert np.array(column(found.scores, "obs_id", "score")) == pytest.approx(moved @ vt.T.copy(), abs=1e-3)
+    assert np.array(column(found.loadings, "var_id", "loading")) == pytest.approx(vt.T, abs=1e-3)
+
+
+def test_components_of_low_rank_and_of_nothing(spark):
+    randomized = {"svd_method": pca.SVDMethod.RANDOMIZED, "n_components": 5}
+    dense = np.outer(np.arange(1.0, 7), [1.0, 2.0, 0.0, 2.0])
+    found = pca.run_pca(container(spark, dense), selection.FeatureSelection(), **randomized)
+    assert [r["ratio"] for r in found.variance.collect()] == pytest.approx([1.0])
+    assert np.array(column(found.loadings, "var_id", "loading")) == pytest.approx(np.array([[1], [2], [0], [2]]) / 3.0)
+    nothing = pca.run_pca(container(spark, dense).with_(x=container(spark, dense).x.limit(0)), selection.FeatureSelection(), **randomized)
+    assert nothing.variance.count() == 0 and [r["score"] for r in nothing.scores.collect()] == [[]] * 6
+
+
 def test_multi_group_shape(spark):
     dense, labels = three_groups()
     data = diffexp.rank_gene_groups(container(spark, dense, labels), "segment", method=diffexp.TestMethod.STUDENT, n_genes=3)
