@@ -2,8 +2,8 @@
 
 The prompt is the longest common prefix of turns of the chosen and the rejected conversation, rendered once; completions
 are what follows on either side. A completion's mask lists the spans of characters that count for the loss, which are the
-contents and ends of assistant turns. A conversation is gathered into one row, as its rendering is one anyway; sides meet
-by an equi-join on the pair.
+contents and ends of assistant turns. A conversation is gathered into one row, as its rendering is one anyway; those of a
+pair are gathered together, by one shuffle.
 """
 
 from __future__ import annotations
@@ -16,12 +16,20 @@ START, BREAK, END = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED = "assistant"
 
 
+def _gathered(turns: DataFrame, key: Column) -> DataFrame:
+    """key and every turn of it with its conv_id, in order of conv_id, turn, role and text."""
+    own = F.struct("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return turns.where("conv_id is not null").groupBy(key).agg(F.sort_array(F.collect_list(own)).alias("turns"))
+
+
+def _bare(turns: Column) -> Column:
+    return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+
+
 def conversations(turns: DataFrame) -> DataFrame:
     """conv_id and turns, an array of role and text in order of turn. Null roles and texts are empty, null turns come first,
     equal numbers are ordered by role and text, and turns without a conv_id are left out."""
-    own = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = turns.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(own)).alias("turns"))
-    return rows.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    return _gathered(turns, F.col("conv_id")).select("conv_id", _bare(F.col("turns")).alias("turns"))
 
 
 def _rendered(turns: Column) -> Column:
@@ -57,10 +65,13 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 def swapped_pairs(turns: DataFrame) -> DataFrame:
     """A pair for each conversation: chosen is the conversation, and rejected has the last assistant turn of its neighbour in
     place of its own. Neighbours are the ids 2n and 2n + 1; without a neighbour's turn, rejected ends before it."""
-    every = conversations(turns)
-    last = F.expr(f"element_at(filter(turns, t -> t.role = '{TRAINED}'), -1)")
-    answers = every.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.when(F.exists("turns", lambda t: t["role"] == TRAINED), last).alias("other"))
-    both = every.withColumnRenamed("conv_id", "pair_id").join(answers, "pair_id", "left")
+    two = _gathered(turns, F.shiftright("conv_id", 1).alias("two")).withColumn("pair_id", F.explode(F.array_distinct("turns.conv_id")))
+
+    def of(conv_id: Column) -> Column:
+        return _bare(F.filter("turns", lambda t: t["conv_id"] == conv_id))
+
+    both = two.select("pair_id", of(F.col("pair_id")).alias("turns"), of(F.col("pair_id").bitwiseXOR(F.lit(1))).alias("theirs"))
+    both = both.withColumn("other", F.try_element_at(F.filter("theirs", lambda t: t["role"] == TRAINED), F.lit(-1)))
     place = F.coalesce(F.expr(f"array_max(transform(turns, (t, i) -> if(t.role = '{TRAINED}', i, -1)))"), F.lit(-1))
     begin = F.slice("turns", 1, F.when(place >= 0, place).otherwise(F.size("turns")))
     rejected = F.when(F.col("other").isNull(), begin).otherwise(F.concat(begin, F.array("other")))
