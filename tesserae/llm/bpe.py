@@ -10,6 +10,7 @@ the left side, the window and the right side each vouch for, so the result is th
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -59,6 +60,7 @@ class Codec:
         self.odd = regex.compile(PLAIN)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")")
+        self.begin = os.path.commonprefix(list(self.special))
         self.symbol = byte_symbols()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token = [""] * (max(vocab.values()) + 1)
@@ -125,7 +127,7 @@ class Codec:
         out: list[int] = []
         if not text:
             return out
-        if "<|" not in text:
+        if not self.special or self.begin not in text:
             self.part(text, out)
             return out
         for i, part in enumerate(self.cut.split(text)):

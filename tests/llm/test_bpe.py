@@ -1,5 +1,7 @@
 import hashlib
+import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -61,6 +63,17 @@ def test_a_full_store_of_pieces_is_emptied(both, monkeypatch):
     same((bpe.Codec(PATH), both[1]), "one two three four five six one two")
 
 
+def test_special_tokens_of_other_kinds(tmp_path):
+    """One that begins as none of the file's own does."""
+    spec = json.loads(Path(PATH).read_text())
+    spec["added_tokens"].append({**spec["added_tokens"][-1], "content": "[TURN]", "id": max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1})
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps(spec))
+    own, library = bpe.Codec(str(path)), Tokenizer.from_file(str(path))
+    for text in ("one [TURN] two", "[TURN][TURN]x", "a [TUR] b"):
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_frames(spark, both):
     rows = [(1, "Some text", "x"), (1, "Some text", "y"), (2, None, "z"), (None, "", None), (3, "word " * 2000, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
