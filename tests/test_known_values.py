@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tesserae.operators import diffexp
-from tests.fixtures import container
+from tests.fixtures import container, three_groups
 
 #: Rows are observations c1..c10, five of A and five of B.
 VALUES = [
@@ -57,10 +57,25 @@ def test_ranking(data):
         assert (r["pval"], r["pval_adj"]) == pytest.approx(WANT[j][2:4], abs=1e-5)
 
 
-@pytest.mark.parametrize(("n", "options"), [(6, {"key_added": "test_result", "reference": "B"}), (5, {"method": diffexp.TestMethod.MANN_WHITNEY, "correction": diffexp.Correction.BONFERRONI, "pseudocount": 0.5}), (None, {"reference": "B", "groups": ["A"]})])
-def test_stored_results(data, n, options):
-    found = diffexp.rank_gene_groups(data, "segment", n_genes=n, **options)
-    base = "rank_genes_groups" + (f"_{options['key_added']}" if "key_added" in options else "")
-    assert {k.removeprefix(base + "_") for k in found.uns} == {"scores", "pvals", "pvals_adj", "logfoldchanges", "names", "params_reference", "params_method", "params_groupby", "groups"}
-    assert found.uns[f"{base}_names"].count() == (n or 12)
-    assert "method" not in options or "MannWhitney" in found.uns[f"{base}_params_method"]
+@pytest.mark.parametrize(
+    "options",
+    [
+        {"groups": ["C", "A"], "reference": "B", "n_genes": 4, "key_added": "pairs"},
+        {"method": diffexp.TestMethod.MANN_WHITNEY, "correction": diffexp.Correction.HOLM, "n_genes": 2},
+        {"method": diffexp.TestMethod.STUDENT, "compute_logfoldchanges": False},
+    ],
+)
+def test_stored_results_are_those_of_the_long_rows(spark, options):
+    """Each wide table has a group's column of the long rows, in order of rank."""
+    dense, labels = three_groups()
+    data = container(spark, dense, labels)
+    uns = diffexp.rank_gene_groups(data, "segment", **options).uns
+    base = f"rank_genes_groups_{options['key_added']}_" if "key_added" in options else "rank_genes_groups_"
+    rows = diffexp.rank_gene_groups_dataframe(data, "segment", **{k: v for k, v in options.items() if k != "key_added"}).orderBy("rank").toPandas()
+    for name, column in {"scores": "score", "pvals": "pval", "pvals_adj": "pval_adj", "logfoldchanges": "logfoldchange", "names": "gene"}.items():
+        wide = uns[base + name].orderBy("rank").toPandas()
+        assert wide.columns.tolist() == ["rank", *options.get("groups", ["A", "B", "C"])]
+        for group in wide.columns[1:]:
+            assert wide[group].tolist() == rows.loc[rows["group"] == group, column].tolist()
+    assert uns[base + "params_reference"] == options.get("reference", "rest") and uns[base + "params_groupby"] == "segment"
+    assert uns[base + "params_method"] == options.get("method", diffexp.TestMethod.WELCH).value
