@@ -23,6 +23,8 @@ from tesserae.llm.scratch import Scratch
 
 #: Lines of a run that is found for sure, and of a fingerprint.
 RUN, GRAM = 3, 2
+#: Words from which on a repeated run of fewer lines goes too, in op5_lines and the pipeline.
+PASSAGE = 50
 #: Keys with more than this part of all rows are joined apart.
 HOT = 1000
 #: Characters of lines that don't count.
@@ -149,22 +151,27 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, words: int | Non
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = remove_repeated_lines(spark, docs)
+    found = remove_repeated_lines(spark, docs, PASSAGE)
     return found.select("doc_id", F.col("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 QUERIES = {"op5_lines": op5_lines}
 
-#: All strings of three lines, not only those at fingerprints, and lines themselves instead of hashes.
+#: All strings of three lines and of one or two with 50 words, not only those at fingerprints, and lines themselves instead of hashes.
 ORACLES = {
-    "op5_lines": """
+    "op5_lines": r"""
 with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
-line as (select doc_id, i, lines[i] as line, translate(lines[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12), '') <> '' as counts
+line as (select doc_id, i, lines[i] as line, translate(lines[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12), '') <> '' as counts,
+                len(regexp_extract_all(lines[i], '[^ \t\r\x0b\x0c]+')) as words
          from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from split)),
-own as (select doc_id, i, line, row_number() over (partition by doc_id order by i) as j from line where counts),
-three as (select doc_id, j, line as a, lead(line, 1) over (partition by doc_id order by j) as b, lead(line, 2) over (partition by doc_id order by j) as c from own),
-later as (select doc_id, j from (select *, row_number() over (partition by a, b, c order by doc_id, j) as n from three where c is not null) where n > 1),
-gone as (select distinct doc_id, j + k as j from later, (select unnest(range(3)) as k)),
+own as (select doc_id, i, line, words, row_number() over (partition by doc_id order by i) as j from line where counts),
+next as (select doc_id, j, line as a, words, lead(line, 1) over w as b, lead(words, 1) over w as more, lead(line, 2) over w as c
+         from own window w as (partition by doc_id order by j)),
+string as (select doc_id, j, 1 as n, a, null as b, null as c from next where words >= 50
+           union all select doc_id, j, 2, a, b, null from next where b is not null and words + more >= 50
+           union all select doc_id, j, 3, a, b, c from next where c is not null),
+later as (select doc_id, j, n from (select *, row_number() over (partition by n, a, b, c order by doc_id, j) as k from string) where k > 1),
+gone as (select distinct doc_id, j + k as j from (select doc_id, j, unnest(range(n)) as k from later)),
 marked as (select line.doc_id, line.i, line.line, gone.j is not null as gone
            from line left join own on own.doc_id = line.doc_id and own.i = line.i left join gone on gone.doc_id = own.doc_id and gone.j = own.j)
 select doc_id, count(*) filter (gone) as n_removed, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
