@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.columns import free, named
-from tesserae.llm.lines import remove_repeated_lines
+from tesserae.llm.lines import PASSAGE, remove_repeated_lines
 from tesserae.llm.minhash import near_duplicates
 from tesserae.llm.packing import pack_documents
 from tesserae.llm.scratch import Scratch
@@ -21,8 +21,6 @@ from tesserae.llm.toxicity import fit, score
 
 #: Documents with a score of so much or more go.
 TOXIC = 0.5
-#: Words from which on a repeated run of fewer than three lines goes too.
-PASSAGE = 50
 
 
 def _cut(docs: DataFrame, removed: Column, columns: list[str]) -> DataFrame:
