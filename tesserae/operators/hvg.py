@@ -5,18 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.statistics import variance_of
+from tesserae.operators.trend import kernel_trend
 from tesserae.plans.data import Direction, ExprData
 
 #: What stands for a mean of zero, and what lies beyond the last bin.
 LEAST_MEAN, BEYOND = 1e-12, 1e-10
-#: Sweeps and ridge of the trend, and the most variables that it is fitted on, as its sweeps are one after another in one task.
-SWEEPS, RIDGE, MOST = 100, 1.0, 200_000
 
 
 class Flavor(Enum):
@@ -96,6 +93,7 @@ def equal_frequency_bins(rows: DataFrame, n_bins: int) -> DataFrame:
 
 def chosen(score: str, n: int) -> Column:
     """A condition for scores not below the n-th largest: ties may exceed n, nulls never pass, and n of 0 chooses none.
+    Variables are few, so one task orders them.
 
     Scores count to nine places: sums that engines add up in another order differ in their last bits, and all bins of two
     variables have the same scores."""
@@ -113,78 +111,34 @@ def seurat(data: ExprData, params: HVGParams) -> DataFrame:
     return rows.select("var_id", "means", "dispersions", "dispersions_norm", F.coalesce(mark, F.lit(False)).alias("highly_variable"))
 
 
-def kernel_features(x: np.ndarray, gamma: float) -> np.ndarray:
-    """Rows whose products are exp(-gamma (a - b)^2) to the precision of doubles, for x within 0..1.
-
-    The kernel is exp(-gamma a^2) exp(-gamma b^2) times the sum of (2 gamma a b)^k / k!, whose terms vanish fast."""
-    columns, term, k = [], np.exp(-gamma * x * x), 0
-    while np.abs(term).max(initial=0.0) > 1e-10:
-        columns.append(term)
-        k += 1
-        term = term * x * np.sqrt(2.0 * gamma / k)
-    return np.column_stack(columns) if columns else np.zeros((len(x), 1))
-
-
-def fit_trend(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Predictions of a Gaussian-kernel ridge regression whose weights are SWEEPS rounds of Gauss-Seidel from zero, in the order given.
-
-    The kernel is never laid out: it is a product of a few features, and what a weight needs of all others is their sum."""
-    n = len(x)
-    span = x.max() - x.min() if n else 0.0
-    rows = kernel_features((x - x.min()) / span if span > 0 else np.zeros(n), 1.0 / max(1, n))
-    own = (rows**2).sum(axis=1).tolist()
-    weights, total, lines, wanted = [0.0] * n, np.zeros(rows.shape[1]), list(rows), y.tolist()
-    for _ in range(SWEEPS):
-        for i, line in enumerate(lines):
-            new = (wanted[i] - (float(line @ total) - own[i] * weights[i])) / (own[i] + RIDGE)
-            total += line * (new - weights[i])
-            weights[i] = new
-    return rows @ total
-
-
-def standardize(values: np.ndarray) -> np.ndarray:
-    """In deviations (n - 1) from the mean of the finite ones; 0 for others, and for all where there is no deviation."""
-    finite = np.isfinite(values)
-    if finite.sum() <= 1:
-        return np.zeros(len(values))
-    sd = values[finite].std(ddof=1)
-    if not np.isfinite(sd) or sd <= 0:
-        return np.zeros(len(values))
-    return np.where(finite, (np.where(finite, values, 0.0) - values[finite].mean()) / sd, 0.0)
-
-
-def _trend(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("var_id", ignore_index=True)
-    mean, var = rows["mean"].to_numpy(dtype=float), rows["variance"].to_numpy(dtype=float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x, y = np.log(mean), np.log(var)
-    fits = np.isfinite(x) & np.isfinite(y)
-    trend, left = np.full(len(rows), np.nan), np.full(len(rows), np.nan)
-    if fits.any():
-        trend[fits] = fit_trend(x[fits], y[fits])
-        left[fits] = y[fits] - trend[fits]
-    nothing = lambda v: [None if np.isnan(a) else float(a) for a in v]
-    return pd.DataFrame({"var_id": rows["var_id"], "means": mean, "variances": var, "residuals": nothing(left), "residuals_standardized": standardize(left), "mean_variance_trend": nothing(trend), "fits": fits})
+def standardized(rows: DataFrame, value: str) -> Column:
+    """value in deviations (n - 1) from the mean of the finite ones; 0 for others, and for all where there is no deviation."""
+    finite = F.coalesce(F.abs(value) < float("inf"), F.lit(False))
+    mean, sd = rows.where(finite).agg(F.avg(value), F.stddev_samp(value)).first()
+    if not sd:
+        return F.lit(0.0)
+    return F.when(finite, (F.col(value) - F.lit(mean)) / F.lit(sd)).otherwise(0.0)
 
 
 def svr(data: ExprData, params: HVGParams) -> DataFrame:
     """var_id, means, variances, residuals, highly_variable, residuals_standardized and mean_variance_trend.
 
     Variables without a finite ln of mean and variance stay out of the fit and are never chosen by number, for which residuals
-    count to nine places. Sweeps depend on the order of variables and run in one task, so more than MOST variables are an error."""
-    n = data.length(Direction.COLUMN)
-    if n > MOST:
-        raise ValueError(f"{n} variables are more than the {MOST} that a trend is fitted on; choose some first")
-    shape = "var_id long, means double, variances double, residuals double, residuals_standardized double, mean_variance_trend double, fits boolean"
-    rows = moments(data).withColumn("whole", F.lit(True)).groupBy("whole").applyInPandas(_trend, shape)
-    inside = (F.col("means") >= params.min_mean) & (F.col("means") <= params.max_mean)
+    count to nine places, ties to smaller var_id. The fit runs at once; it keeps the moments, a row for each variable."""
+    rows = moments(data).persist().withColumns({"x": F.log("mean"), "y": F.log("variance")})
+    rows = rows.withColumn("fits", F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False)))
+    trend = kernel_trend(rows.where("fits"), "var_id", "x", "y")
+    rows = rows.withColumn("trend", F.when(F.col("fits"), trend)).withColumn("residuals", F.col("y") - F.col("trend"))
+    rows = rows.withColumn("standardized", standardized(rows, "residuals"))
+    mark = (F.col("mean") >= params.min_mean) & (F.col("mean") <= params.max_mean)
     if params.n_top_genes is not None:
-        order = Window.partitionBy(F.lit(0)).orderBy(F.desc("fits"), F.round("residuals_standardized", 9).desc(), "var_id")
-        rows = rows.withColumn("rank", F.row_number().over(order))
-        mark = F.col("fits") & (F.col("rank") <= params.n_top_genes) & inside
+        best = rows.where("fits").orderBy(F.round("standardized", 9).desc(), "var_id").limit(params.n_top_genes)
+        rows = rows.join(best.select("var_id", F.lit(True).alias("best")), "var_id", "left")
+        mark = mark & F.coalesce("best", F.lit(False))
     else:
-        mark = inside & (F.coalesce("residuals", F.lit(float("-inf"))) > params.min_dispersion)
-    return rows.select("var_id", "means", "variances", "residuals", mark.alias("highly_variable"), "residuals_standardized", "mean_variance_trend")
+        mark = mark & (F.coalesce("residuals", F.lit(float("-inf"))) > params.min_dispersion)
+    shown = {"means": "mean", "variances": "variance", "residuals": "residuals"}
+    return rows.select("var_id", *(F.col(c).alias(n) for n, c in shown.items()), mark.alias("highly_variable"), F.col("standardized").alias("residuals_standardized"), F.col("trend").alias("mean_variance_trend"))
 
 
 def compute_highly_variable_genes(data: ExprData, params: HVGParams | None = None) -> ExprData:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import diffexp, filtering, hvg, pca, qc, selection, statistics, transform
+from tesserae.operators import diffexp, filtering, hvg, pca, qc, selection, statistics, transform, trend
 from tesserae.plans.data import Direction, ExprData, with_index
 from tests.fixtures import container, three_groups
 
@@ -181,6 +181,25 @@ def test_trend_equals_plain_sweeps_and_spares_silent_variables(spark):
     assert rows[4]["residuals"] is None and rows[4]["residuals_standardized"] == 0.0
 
 
+def test_trend_in_blocks_equals_plain_sweeps(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=60) * 2, rng.normal(size=60) + 3
+    monkeypatch.setattr(trend, "BLOCK", 9)
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "var_id long, a double, b double")
+    found = rows.select("var_id", trend.kernel_trend(rows, "var_id", "a", "b").alias("t")).orderBy("var_id").collect()
+    want = plain_trend(x, y)
+    assert [r["t"] for r in found] == pytest.approx(want.tolist(), abs=1e-9)
+    monkeypatch.setattr(trend, "STEP", 5)
+    s, k = (x - x.min()) / (x.max() - x.min()), len(trend.scales(1 / 60))
+    total = trend.chain([trend.responses(s[at : at + 17], y[at : at + 17], 1 / 60) for at in range(0, 60, 17)])
+    features = np.exp(-s * s / 60)[:, None] * s[:, None] ** np.arange(k) * np.array(trend.scales(1 / 60))
+    assert (features @ total).tolist() == pytest.approx(want.tolist(), abs=1e-9)
+    one = rows.where("var_id = 0")
+    assert one.select(trend.kernel_trend(one, "var_id", "a", "b")).first()[0] == pytest.approx(y[0] / 2, abs=1e-9)
+    none = rows.where("false")
+    assert rows.select(trend.kernel_trend(none, "var_id", "a", "b")).first()[0] is None
+
+
 def test_components_equal_decomposition(spark):
     rng = np.random.default_rng(1)
     dense = np.where(rng.random((40, 8)) < 0.4, 0.0, rng.normal(size=(40, 8)) * np.arange(1, 9))
