@@ -282,6 +282,6 @@ select grp as "group", var_id, {r('case when a = 0 and b = 0 then 0 else log2(ex
     "correct_holm": _adjusted("max((b.m - b.i + 1) * b.p)").format(side=_BELOW),
     "correct_hochberg": _adjusted("min((b.m - b.i + 1) * b.p)").format(side=_ABOVE),
     "correct_storey": _adjusted(_BH, _PI0).format(side=_ABOVE),
-    "annotation_pivot": "select * from (values ('G1', 'B', '9606'), ('G3', 'T', '9606'), ('G4', null, '9606')) t(genesymbol, cell_type, ncbi_tax_id)",
+    "annotation_pivot": "select p_name as genesymbol, case when p_size > 5 then p_brand end as cell_type, '9606' as ncbi_tax_id from part where p_size <= 25",
     "network": "with p as (select distinct p_brand as source, p_name as target from part where p_brand is not null and p_name in (select p_name from part where p_size <= 25)) select source, target, 1.0::double as weight from p where source in (select source from p group by source having count(*) >= 2)",
 }

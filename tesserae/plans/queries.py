@@ -68,13 +68,15 @@ def _corrected(method: Correction) -> Query:
     return lambda spark, sf_dir: rounded(apply_correction(_p_values(spark, sf_dir), "family", "p", "test", method), 9)
 
 
-def _annotations(spark: SparkSession) -> DataFrame:
-    rows = [("G1", 1, "cell_type", "B"), ("G1", 1, "ncbi_tax_id", "9606"), ("G2", 2, "cell_type", "B"), ("G2", 2, "ncbi_tax_id", "10090"), ("G3", 3, "cell_type", "T"), ("G3", 3, "ncbi_tax_id", "9606"), ("G4", 4, "ncbi_tax_id", "9606")]
-    return spark.createDataFrame(rows, "genesymbol string, record_id long, label string, value string")
+def _annotations(part: DataFrame) -> DataFrame:
+    """Parts as annotated genes, a row for each label: all have a species, and those above a size a cell type too."""
+    labels = F.map_from_arrays(F.array(F.lit("cell_type"), F.lit("ncbi_tax_id")), F.array(F.when(F.col("p_size") > 5, F.col("p_brand")), F.when(F.col("p_size") <= 25, "9606").otherwise("10090")))
+    rows = part.select(F.col("p_name").alias("genesymbol"), F.col("p_partkey").alias("record_id"), F.explode(labels).alias("label", "value"))
+    return rows.where("value is not null")
 
 
 def annotation_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape(_annotations(spark), "9606", ["cell_type", "ncbi_tax_id"])
+    return reshape(_annotations(spark.read.parquet(f"{sf_dir}/part.parquet")), "9606", ["cell_type", "ncbi_tax_id"])
 
 
 def annotation_network(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,14 @@ import pytest
 from tesserae.plans.registry import queries
 
 #: Queries that have a Python part by design.
-PYTHON = {"hvg_svr", "de_pvalues", "rank_gene_groups", "rank_gene_groups_stored", "pca_scores", "pca_variance", "pca_loadings"}
+PYTHON = {"de_pvalues", "rank_gene_groups", "rank_gene_groups_stored", "pca_scores", "pca_variance", "pca_loadings"}
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - {"pca_variance", "pca_loadings", "annotation_pivot"}))
+@pytest.mark.parametrize("name", sorted(set(queries()) - {"pca_variance", "pca_loadings"}))
 def test_no_products_and_no_python(spark, sf_dir, name):
     text = plan(queries()[name](spark, sf_dir))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", text)
