@@ -76,6 +76,8 @@ def test_stored_results_are_those_of_the_long_rows(spark, options):
         wide = uns[base + name].orderBy("rank").toPandas()
         assert wide.columns.tolist() == ["rank", *options.get("groups", ["A", "B", "C"])]
         for group in wide.columns[1:]:
-            assert wide[group].tolist() == rows.loc[rows["group"] == group, column].tolist()
+            got, want = wide[group].tolist(), rows.loc[rows["group"] == group, column].tolist()
+            # Two runs may add doubles in another order.
+            assert got == want if name == "names" else got == pytest.approx(want, rel=1e-9, abs=1e-12)
     assert uns[base + "params_reference"] == options.get("reference", "rest") and uns[base + "params_groupby"] == "segment"
     assert uns[base + "params_method"] == options.get("method", diffexp.TestMethod.WELCH).value
