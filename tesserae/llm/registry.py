@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lines", "bpe", "chat", "minhash", "mtree", "neighbours", "packing", "suffixes", "toxicity", "warc")
+MODULES = ("audit", "lines", "bpe", "chat", "minhash", "mtree", "neighbours", "packing", "suffixes", "toxicity", "warc")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
