@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("audit", "lines", "bpe", "chat", "minhash", "mtree", "neighbours", "packing", "suffixes", "toxicity", "trie", "warc")
+MODULES = ("audit", "lines", "bpe", "chat", "minhash", "mtree", "neighbours", "packing", "suffixes", "toxicity", "trie", "warc", "windows")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
