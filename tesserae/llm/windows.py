@@ -43,8 +43,8 @@ ROWS_OF_SKETCH = 2
 LEAST_BYTES, MOST_BYTES, SHARE = 6 << 20, 64 << 20, 2048
 #: Windows that are hashed at once.
 STEP = 1 << 19
-#: Kinds of rows: windows for a bucket, runs that go for sure, runs that wait for a bucket's answer, the buckets of these windows, and answers.
-KEYS, SURE, WAITING, BUCKETS, ANSWER = range(5)
+#: Kinds of rows: windows for a bucket, runs that go for sure, runs that wait for a bucket's answer, the buckets of these windows, and answers; a whole copy.
+KEYS, SURE, WAITING, BUCKETS, ANSWER, COPY = *range(5), -1
 SPANS = "array<struct<start: long, end: long>>"
 
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)
@@ -161,24 +161,26 @@ def _cells(planes: dict[str, np.ndarray]) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.stack([planes[f"b{k}"] for k in range(4)], axis=1)).view("<u4").ravel().astype(np.int64))
 
 
-def _group(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, Windows]:
-    """doc, rank and windows of a group's documents (part, doc, rank, text) in order."""
+def _group(docs: pa.Table, told: pa.Table) -> tuple[np.ndarray, np.ndarray, Windows]:
+    """doc, rank and windows of a group's documents (part, doc, rank, text) in order, without those that told (part, kind, data) has as copies."""
     doc, rank = docs.column("doc").to_numpy(), docs.column("rank").to_numpy()
+    copies = [int(x.as_py()) for x, k in zip(told.column("data"), told.column("kind").to_pylist(), strict=True) if k == COPY]
     order = np.lexsort((doc, rank))
+    order = order[~np.isin(doc[order], np.array(copies, np.int64))]
     text = docs.column("text")
     return doc[order], rank[order], Windows([text[int(i)].as_py().encode("utf-8") for i in order])
 
 
-def find_cells(docs: DataFrame, n_parts: int, width: int) -> DataFrame:
-    """Partition sketches of groups (part, doc, rank, text), by segment; kind is the group and the row."""
+def find_cells(docs: DataFrame, copies: DataFrame, n_parts: int, width: int) -> DataFrame:
+    """Partition sketches of groups (part, doc, rank, text) without copies, by segment; kind is the group and the row."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        home, (_, ranks, windows) = key[0].as_py(), _group(rows)
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        home, (_, ranks, windows) = key[0].as_py(), _group(left, right)
         hashes, many, _ = distinct(windows, ranks)
         found = sketch(hashes, many, n_parts, width)
         return pa.Table.from_batches([blob_rows([(segment, home * ROWS_OF_SKETCH + row, pack(**_planes(cells), twice=twice)) for segment, row, cells, twice, _, _ in found])])
 
-    return docs.groupBy("part").applyInArrow(run, ROWS)
+    return docs.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(run, ROWS)
 
 
 def settle_cells(found: DataFrame, width: int) -> DataFrame:
@@ -221,7 +223,7 @@ def find_windows(docs: DataFrame, answers: DataFrame, n_parts: int, width: int)
         if not len(left):
             return pa.Table.from_batches([blob_rows(out)])
         part = key[0].as_py()
-        ids, ranks, windows = _group(left)
+        ids, ranks, windows = _group(left, right)
         bits = dict(zip(right.column("kind").to_pylist(), right.column("data").to_pylist(), strict=True))
         own, many, number = distinct(windows, ranks)
         estimate = np.ones(len(own), bool)
@@ -376,15 +378,15 @@ def remove_repeated_windows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     long = docs.where(F.octet_length("text") >= LEAST_TEXT)
     keyed = room.keep(long.select("doc", "rank", F.octet_length("text").cast("long").alias("n"), _digest(F.col("text")).alias("digest")), "digests")
     firsts = keyed.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
-    copies = room.keep(keyed.join(firsts, "digest").where("rank > first").select("doc"), "copies")
     total = keyed.agg(F.sum("n")).first()[0] or 0
     n_parts = max(1, -(-total // min(MOST_BYTES, max(LEAST_BYTES, math.isqrt(total * SHARE)))))
     width = 1 << max(10, (total // n_parts).bit_length())
     part = F.pmod(F.xxhash64("doc"), F.lit(n_parts)).cast("int").alias("part")
-    fresh = long.join(copies, "doc", "left_anti").select(part, "doc", "rank", "text")
+    copies = room.keep(keyed.join(firsts, "digest").where("rank > first").select(part, F.lit(COPY).alias("kind"), F.col("doc").cast("string").cast("binary").alias("data"), "doc"), "copies")
+    grouped, told = long.select(part, "doc", "rank", "text"), copies.drop("doc")
 
-    answers = room.keep(settle_cells(find_cells(fresh, n_parts, width), width), "answers")
-    found = room.keep(settle_windows(find_windows(fresh, answers, n_parts, width), n_parts), "found")
+    answers = room.keep(settle_cells(find_cells(grouped, told, n_parts, width), width), "answers")
+    found = room.keep(settle_windows(find_windows(grouped, answers.unionByName(told), n_parts, width), n_parts), "found")
     room.drop("answers")
     none = F.lit(None).cast(SPANS).alias("spans")
     of_doc = removed_words(found).withColumn("copy", F.lit(False)).unionByName(copies.select("doc", none, F.lit(True).alias("copy")))
