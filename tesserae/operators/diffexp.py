@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.corrections import Correction, apply_correction
-from tesserae.functions.special import normal_p, student_p
+from tesserae.functions.special import exact_rank_p, normal_p, student_p
 from tesserae.plans.data import ExprData
 
 
@@ -30,6 +30,8 @@ class TestMethod(Enum):
 REST = "rest"
 #: More than eight times the largest binary exponent of a double.
 BANDS = 10_000
+#: Pairs of observations, one of a group and one of what it is compared with, up to which Mann-Whitney's p is counted out.
+EXACT_PAIRS = 400
 
 
 @dataclass(frozen=True)
@@ -124,21 +126,24 @@ def t_statistics(sums: DataFrame, method: TestMethod) -> DataFrame:
     return sums.withColumns({"t": F.when(enough, t), "df": F.when(enough, df)})
 
 
-def mann_whitney(data: ExprData, who: Comparison, continuity: bool = True) -> DataFrame:
-    """group, var_id, u (pairs where the group's value is larger, ties half) and z, by the normal form with ties."""
+def _tied(data: ExprData, who: Comparison) -> tuple[DataFrame, list[str], Column]:
+    """How many observations have each stored value that isn't zero: t in all, and mine in the group or at by label; the columns that tell the
+    compared observations apart, and how many these are."""
     labels = data.obs.select("obs_id", who.label.alias("label"))
     counts = data.x.where("value <> 0").join(labels, "obs_id").groupBy("var_id", "value", "label").agg(F.count(F.lit(1)).alias("c"))
     if who.reference is None:
         each = counts.groupBy("var_id", "value").agg(F.sum("c").alias("t"), F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "c")))).alias("at"))
-        base, keys = each, ["var_id"]
-        n_all = F.lit(float(who.n_obs))
-    else:
-        tested = F.array(*map(F.lit, who.tested)) if who.tested else F.array().cast("array<string>")
-        both = counts.withColumn("group", F.explode(F.when(F.col("label") == who.reference, tested).otherwise(F.filter(tested, lambda g: g == F.col("label")))))
-        own, ref = F.sum(F.when(F.col("label") == F.col("group"), F.col("c")).otherwise(0)), F.sum(F.when(F.col("label") == who.reference, F.col("c")).otherwise(0))
-        base = both.groupBy("var_id", "group", "value").agg((own + ref).alias("t"), own.alias("mine"))
-        keys = ["var_id", "group"]
-        n_all = _long(who.sizes, F.col("group")) + F.lit(float(who.sizes[who.reference]))
+        return each, ["var_id"], F.lit(float(who.n_obs))
+    tested = F.array(*map(F.lit, who.tested)) if who.tested else F.array().cast("array<string>")
+    both = counts.withColumn("group", F.explode(F.when(F.col("label") == who.reference, tested).otherwise(F.filter(tested, lambda g: g == F.col("label")))))
+    own, ref = F.sum(F.when(F.col("label") == F.col("group"), F.col("c")).otherwise(0)), F.sum(F.when(F.col("label") == who.reference, F.col("c")).otherwise(0))
+    base = both.groupBy("var_id", "group", "value").agg((own + ref).alias("t"), own.alias("mine"))
+    return base, ["var_id", "group"], _long(who.sizes, F.col("group")) + F.lit(float(who.sizes[who.reference]))
+
+
+def mann_whitney(data: ExprData, who: Comparison, continuity: bool = True) -> DataFrame:
+    """group, var_id, u (pairs where the group's value is larger, ties half) and z, by the normal form with ties."""
+    base, keys, n_all = _tied(data, who)
     # A key's values are cut into bands of nearly equal ones, so that no task has to order all values of a variable; what
     # is summed over a whole key has a row for each band, of which there are at most a few thousand for any doubles.
     level = F.floor(F.log2(F.abs(F.col("value"))) * 8.0)
@@ -178,6 +183,34 @@ def mann_whitney(data: ExprData, who: Comparison, continuity: bool = True) -> Da
     return every.select("group", "var_id", F.when((n > 0) & (m > 0), u).alias("u"), z.alias("z"))
 
 
+def mann_whitney_p(data: ExprData, who: Comparison, pairs: int = EXACT_PAIRS, continuity: bool = True) -> DataFrame:
+    """group, var_id, u, z, pval and exact: whether pval is from the distribution of u itself, over all ways to choose the group
+    among the observed values, ties included.
+
+    It is where a group and what it is compared with make at most so many pairs, and else from the normal form; null without a
+    pair. A variable's ties are then a few hundred numbers at most, as so many pairs have no more than pairs + 1 observations, and
+    groups of the same size and ties share the counting. A group that is the reference too is in the normal form."""
+    scores = mann_whitney(data, who, continuity)
+    other = {g: who.n_obs - who.sizes[g] if who.reference is None else who.sizes[who.reference] for g in who.tested}
+    small = [g for g in who.tested if 0 < who.sizes[g] * other[g] <= pairs and g != who.reference]
+    if not small:
+        return scores.select("*", normal_p(F.col("z")).alias("pval"), F.lit(False).alias("exact"))
+    base, keys, n_all = _tied(data, who)
+    if who.reference is not None:
+        base = base.where(F.col("group").isin(small))
+    own = F.sort_array(F.collect_list(F.struct("value", "t")))
+    blocks = base.groupBy(*keys).agg(own.alias("own"))  # one for each value, of at most pairs + 1 observations
+    zeros = (n_all - F.aggregate("own", F.lit(0.0), lambda n, b: n + b["t"])).cast("long")
+    sides = [F.transform(F.filter("own", side), lambda b: b["t"]) for side in (lambda b: b["value"] < 0, lambda b: b["value"] > 0)]
+    blocks = blocks.select(*keys, F.concat(sides[0], F.when(zeros > 0, F.array(zeros)).otherwise(F.array().cast("array<long>")), sides[1]).alias("blocks"))
+    rows = scores.join(blocks, keys, "left").withColumn("exact", F.col("group").isin(small))
+    n, m = _long(who.sizes, F.col("group")), _long(other, F.col("group"))
+    # A variable without entries is one block of zeros.
+    rows = rows.withColumn("blocks", F.when(F.col("exact"), F.coalesce("blocks", F.array((n + m).cast("long")))))
+    p = F.when(F.col("exact"), exact_rank_p(n, m, F.col("u"), F.col("blocks"))).otherwise(normal_p(F.col("z")))
+    return rows.select("group", "var_id", "u", "z", p.alias("pval"), "exact")
+
+
 def rank_gene_groups_dataframe(
     data: ExprData,
     groupby: str,
@@ -188,9 +221,11 @@ def rank_gene_groups_dataframe(
     correction: Correction = Correction.BENJAMINI_HOCHBERG,
     compute_logfoldchanges: bool = True,
     pseudocount: float = 1.0,
+    exact_pairs: int = 0,
 ) -> DataFrame:
     """group, reference, gene, score, pval, pval_adj, logfoldchange and rank (from 1): the n_genes best of each group, by
-    adjusted p, p and order of variables. The correction is over all variables, whatever n_genes is."""
+    adjusted p, p and order of variables. The correction is over all variables, whatever n_genes is. Mann-Whitney's p is exact for
+    groups with at most exact_pairs pairs of observations (mann_whitney_p)."""
     if not isinstance(method, TestMethod):
         raise ValueError(f"no test {method}")
     who = resolve(data, groupby, reference, groups)
@@ -198,8 +233,8 @@ def rank_gene_groups_dataframe(
     sums = log_fold_change(sums, pseudocount) if compute_logfoldchanges else sums.withColumn("logfoldchange", F.lit(0.0))
     silent = (_mean("") == 0) & (_mean("_ref") == 0)
     if method is TestMethod.MANN_WHITNEY:
-        tested = sums.join(mann_whitney(data, who), ["group", "var_id"])
-        score, p = F.col("u"), normal_p(F.col("z"))
+        tested = sums.join(mann_whitney_p(data, who, exact_pairs), ["group", "var_id"])
+        score, p = F.col("u"), F.col("pval")
     else:
         tested = t_statistics(sums, method)
         score, p = F.col("t"), student_p(F.col("t"), F.col("df"))

@@ -101,6 +101,28 @@ _REFERENCE = f"""with {BASE},
 g as (select distinct segment as grp from obs),
 k as (select grp, var_id, true as mine, value from d join g on segment = grp union all select grp, var_id, false, value from d cross join g where segment = 'BUILDING')"""
 
+_NATIONS = """recursive x as (select c_nationkey as obs_id, l_partkey as var_id, cast(sum(l_quantity) as double) as value from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey group by 1, 2),
+d as materialized (select n_nationkey as obs_id, cast(p_partkey as bigint) as var_id, cast(n_regionkey as varchar) as region, coalesce(value, 0) as value from nation cross join part left join x on x.obs_id = n_nationkey and x.var_id = p_partkey)"""
+
+
+def _counted(pairs: str) -> str:
+    """u and its p over grp, var_id, mine and value: ways to take k observations with a doubled rank sum s, one observation after another."""
+    return f"""with {_NATIONS},
+{pairs},
+item as materialized (select *, cast(2 * rank() over (partition by pool, var_id order by value) + count(*) over (partition by pool, var_id, value) - 1 as int) as r2,
+                      row_number() over (partition by pool, var_id order by value, obs_id) as i, count(*) over (partition by pool, var_id) as total from pooled),
+ways as (select pool, var_id, 0 as i, 0 as k, 0 as s, 1.0::double as w from (select distinct pool, var_id from pooled) union all
+  select pool, var_id, i, k, s, sum(w) from (select ways.pool, ways.var_id, item.i, k + take as k, s + take * r2 as s, w
+    from ways join item on item.pool = ways.pool and item.var_id = ways.var_id and item.i = ways.i + 1 cross join (values (0), (1)) t(take) where k + take <= 5) group by 1, 2, 3, 4, 5),
+done as (select ways.* from ways join (select pool, var_id, max(i) as i from item group by 1, 2) using (pool, var_id, i)),
+own as (select pool, grp, var_id, sum(r2) as s, count(*) as n from item join mine using (pool, obs_id) group by 1, 2, 3),
+tail as (select grp, var_id, any_value(own.s - n * (n + 1)) / 2.0::double as u, least(1.0::double, 2 * least(sum(w) filter (done.s <= own.s), sum(w) filter (done.s >= own.s)) / sum(w)) as p
+         from own join done using (pool, var_id) where done.k = n group by 1, 2)"""
+
+
+_EXACT = _counted("pooled as (select 'all' as pool, obs_id, var_id, value from d), mine as (select 'all' as pool, n_nationkey as obs_id, cast(n_regionkey as varchar) as grp from nation)")
+_EXACT_REFERENCE = _counted("""g as (select distinct region as pool from d where region <> '1'), pooled as (select pool, obs_id, var_id, value from d join g on region = pool or region = '1'),
+mine as (select region as pool, obs_id, region as grp from (select distinct obs_id, region from d where region <> '1'))""")
 #: The customers' segments, which are the columns of wide tables.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 #: Nodes within 0..1 and weights of the Gauss-Legendre rule of eight points.
@@ -149,6 +171,10 @@ h as (select *, least(1.0::double, min(m * p / i) over (partition by grp order b
 f as (select *, row_number() over (partition by grp order by adj, p, var_id) as place from h)"""
 
 
+_EXACT_RANKED = _in_order(f"""{_EXACT}, mean as (select grp, var_id, avg(value) filter (region = grp) as a, avg(value) filter (region <> grp) as b from d cross join (select distinct grp from tail) group by 1, 2),
+tested as (select grp, var_id, case when a = 0 and b = 0 then 0 else u end as score, p from tail join mean using (grp, var_id))""")
+
+
 def _ranked(tested: str, most: int | None = None) -> str:
     columns = ", ".join(r(e, n) for e, n in (("score", "score"), ("p", "pval"), ("adj", "pval_adj"), ("fold", "logfoldchange")))
     return f"""{_in_order(tested)}
@@ -271,6 +297,9 @@ select grp as "group", var_id, {r('case when a = 0 and b = 0 then 0 else log2(ex
     "de_welch_reference": _stat("(a - b) / sqrt(v / n + w / m)", _WELCH_DF, _REFERENCE),
     "de_some_groups": _stat("(a - b) / sqrt(v / n + w / m)", _WELCH_DF, _GROUPED.format(base=BASE, of="d").replace("distinct segment as grp from obs", "distinct segment as grp from obs where segment in ('MACHINERY', 'FURNITURE')")),
     "de_group_members": "select cast(c_custkey as bigint) as obs_id from customer where c_mktsegment = 'BUILDING'",
+    "de_mannwhitney_exact": f"{_EXACT} select grp as \"group\", var_id, {r('u', 'u')}, {r('p', 'pval')} from tail",
+    "de_mannwhitney_exact_reference": f"{_EXACT_REFERENCE} select grp as \"group\", var_id, {r('u', 'u')}, {r('p', 'pval')} from tail",
+    "rank_gene_groups_exact": f"{_EXACT_RANKED} select grp as \"group\", p_name as gene, {r('score', 'score')}, {r('p', 'pval')}, {r('adj', 'pval_adj')} from f join part on p_partkey = var_id",
     "de_pvalues": _ranked(_WELCH_TESTED),
     "rank_gene_groups": _ranked(_MANN_WHITNEY_TESTED, 25),
     "rank_gene_groups_stored": _STORED,

@@ -45,6 +45,14 @@ def embedding_matrix(spark: SparkSession, sf_dir: str) -> ExprData:
     return ExprData.from_frames(rows, table.select(F.col("vec_id").alias("obs_id")), spark.range(max(0, width or 0)).select(F.col("id").alias("var_id")))
 
 
+def nations_matrix(spark: SparkSession, sf_dir: str) -> ExprData:
+    """Parts ordered from each nation; nations are observations in groups of five by region."""
+    data = orders_matrix(spark, sf_dir)
+    x = data.x.join(data.obs.select("obs_id", "nation"), "obs_id").select(F.col("nation").cast("long").alias("obs_id"), "var_id", "value")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return ExprData.from_frames(x, nation.select(F.col("n_nationkey").cast("long").alias("obs_id"), F.col("n_regionkey").cast("string").alias("region")), data.var)
+
+
 def rounded(rows: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to some places, with a zero that has no sign."""
     return rows.select(*((F.round(F.col(f"`{n}`"), places) + F.lit(0.0)).alias(n) if kind == "double" else F.col(f"`{n}`") for n, kind in rows.dtypes))
@@ -97,6 +105,13 @@ def _tests(method: diffexp.TestMethod, n_genes: int | None) -> Query:
     return _matrix(lambda d: diffexp.rank_gene_groups_dataframe(d, "segment", method=method, n_genes=n_genes), logged)
 
 
+def _exact(reference: str | None) -> Query:
+    def run(data: ExprData) -> DataFrame:
+        return diffexp.mann_whitney_p(data, diffexp.resolve(data, "region", reference)).where(F.col("exact")).select("group", "var_id", "u", "pval")
+
+    return _matrix(run, nations_matrix)
+
+
 def _indexed(data: ExprData) -> ExprData:
     return data.with_(obs=with_index(data.obs, "obs_id", "obs_idx"), var=with_index(data.var, "var_id", "var_idx"))
 
@@ -195,6 +210,9 @@ QUERIES: dict[str, Query] = {
     "de_group_members": _matrix(lambda d: diffexp.obs_of_group(d, "segment", "BUILDING")),
     "de_mannwhitney_u": _matrix(lambda d: diffexp.mann_whitney(d, _groups(d))),
     "de_mannwhitney_reference": _matrix(lambda d: diffexp.mann_whitney(d, _groups(d, "BUILDING"))),
+    "de_mannwhitney_exact": _exact(None),
+    "de_mannwhitney_exact_reference": _exact("1"),
+    "rank_gene_groups_exact": _matrix(lambda d: diffexp.rank_gene_groups_dataframe(d, "region", method=diffexp.TestMethod.MANN_WHITNEY, exact_pairs=diffexp.EXACT_PAIRS).select("group", "gene", "score", "pval", "pval_adj"), nations_matrix),
     "de_pvalues": _tests(diffexp.TestMethod.WELCH, None),
     "rank_gene_groups": _tests(diffexp.TestMethod.MANN_WHITNEY, 25),
     "rank_gene_groups_stored": _stored,

@@ -21,9 +21,8 @@ def container(spark, dense, labels=None, names=None):
 
 
 def three_groups():
-    """15 observations in groups of five, 9 variables of which three are raised in each group."""
-    dense = np.empty((15, 9))
-    for i in range(15):
-        for j in range(9):
-            dense[i, j] = 5.0 + 0.5 * (j % 3) + 0.1 * i if i // 5 == j // 3 else 1.0 + 0.05 * i
-    return dense, ["A"] * 5 + ["B"] * 5 + ["C"] * 5
+    """Groups of 6, 8 and 7 observations and 10 variables, drawn by a seed; variable j is raised in group j modulo 3."""
+    groups = np.repeat([0, 1, 2], [6, 8, 7])
+    dense = np.random.default_rng(31).gamma(9.0, 0.2, size=(len(groups), 10))
+    dense[groups[:, None] == np.arange(10) % 3] *= 4.0
+    return dense, ["ABC"[g] for g in groups]

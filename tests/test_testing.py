@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ import pytest
 from tesserae.functions import special
 from tesserae.functions.corrections import Correction, apply_correction
 from tesserae.operators import diffexp
+from tesserae.plans.data import ExprData
 from tests.fixtures import container, three_groups
 
 
@@ -40,18 +42,21 @@ def test_ranks_with_zeros_negatives_ties_and_null_labels(spark, reference):
 
 def test_t_statistics_and_p_values(spark):
     dense, labels = three_groups()
-    dense[:, 8] = 0
+    dense[:, 9] = 0
     data = container(spark, dense, labels)
     for method in (diffexp.TestMethod.WELCH, diffexp.TestMethod.STUDENT):
         who = diffexp.resolve(data, "segment", "B", ["A"])
         rows = diffexp.t_statistics(diffexp.group_sums(data, who), method).orderBy("var_id").collect()
-        for j, r in enumerate(rows[:8]):
-            a, b = dense[:5, j], dense[5:10, j]
+        for j, r in enumerate(rows[:9]):
+            a, b = dense[:6, j], dense[6:14, j]
             v, w = a.var(ddof=1), b.var(ddof=1)
-            se = math.sqrt(v / 5 + w / 5)
+            if method is diffexp.TestMethod.WELCH:
+                se, df = math.sqrt(v / 6 + w / 8), (v / 6 + w / 8) ** 2 / ((v / 6) ** 2 / 5 + (w / 8) ** 2 / 7)
+            else:
+                se, df = math.sqrt((5 * v + 7 * w) / 12 * (1 / 6 + 1 / 8)), 12
             assert r["t"] == pytest.approx((a.mean() - b.mean()) / se, rel=1e-6)
-            assert r["df"] == pytest.approx((v / 5 + w / 5) ** 2 / ((v / 5) ** 2 / 4 + (w / 5) ** 2 / 4) if method is diffexp.TestMethod.WELCH else 8, rel=1e-6)
-        assert rows[8]["t"] == 0.0
+            assert r["df"] == pytest.approx(df, rel=1e-6)
+        assert rows[9]["t"] == 0.0
 
 
 def test_tails():
@@ -111,3 +116,59 @@ def test_corrections(spark, method, p):
     found = apply_correction(rows, "g", "p", "i", method).orderBy("i").collect()
     assert [r["pval_adj"] for r in found[:-1]] == pytest.approx(plain_correction(p, method))
     assert found[-1]["pval_adj"] is None
+
+
+def chances(mine, others):
+    """u and twice the smaller tail over every choice of as many of all values."""
+    both = mine + others
+
+    def u(of):
+        rest = [i for i in range(len(both)) if i not in of]
+        return sum((both[i] > both[j]) + (both[i] == both[j]) / 2 for i in of for j in rest)
+
+    own = u(range(len(mine)))
+    every = [u(c) for c in itertools.combinations(range(len(both)), len(mine))]
+    return own, min(1.0, 2 * min(sum(v <= own for v in every), sum(v >= own for v in every)) / len(every))
+
+
+@pytest.mark.parametrize("reference", [None, "b"])
+def test_exact_p_is_that_of_all_choices(spark, reference):
+    rng = random.Random(1)
+    labels = ["a"] * 4 + ["b"] * 3 + ["c"] + [None] * 2
+    values = {v: [rng.choice([0, 0, -1.5, 1, 2, 2.5, 7]) if v else 0 for _ in labels] for v in range(12)}
+    x = spark.createDataFrame([(i, v, float(row[i])) for v, row in values.items() for i in range(len(labels)) if row[i] or (i + v) % 4 == 0], "obs_id long, var_id long, value double")
+    data = ExprData.from_frames(x, spark.createDataFrame(list(enumerate(labels)), "obs_id long, label string"), spark.range(12).withColumnRenamed("id", "var_id"))
+    rows = diffexp.mann_whitney_p(data, diffexp.resolve(data, "label", reference), 21).collect()
+    assert len(rows) == 36
+    for r in rows:
+        own = [values[r["var_id"]][i] for i, k in enumerate(labels) if k == r["group"]]
+        rest = [values[r["var_id"]][i] for i, k in enumerate(labels) if (k != r["group"] if reference is None else k == reference)]
+        if reference == r["group"]:
+            assert not r["exact"]
+        elif len(own) * len(rest) <= 21:
+            assert r["exact"] and (r["u"], pytest.approx(r["pval"], abs=1e-12)) == chances(own, rest)
+        else:
+            assert not r["exact"]
+    assert {r["group"] for r in rows if r["exact"]} == ({"b", "c"} if reference is None else {"a", "c"})
+
+
+def test_exact_p_counts_the_smaller_side():
+    rng = random.Random(2)
+    for _ in range(30):
+        n, m = rng.randrange(1, 6), rng.randrange(1, 6)
+        both = [rng.randrange(4) for _ in range(n + m)]
+        blocks = tuple(both.count(v) for v in sorted(set(both)))
+        u, p = chances(both[:n], both[n:])
+        assert special.exact_two_sided(n, m, u, blocks) == pytest.approx(p, abs=1e-12)
+        assert special.exact_two_sided(m, n, n * m - u, blocks) == pytest.approx(p, abs=1e-12)
+    # Without ties, the least u of five against five has two of the 252 choices at its ends.
+    assert special.exact_two_sided(5, 5, 0.0, (1,) * 10) == pytest.approx(2 / 252)
+
+
+def test_large_groups_keep_the_normal_form(spark):
+    data = container(spark, *three_groups())
+    who = diffexp.resolve(data, "segment")
+    rows = diffexp.mann_whitney_p(data, who, 89).collect()
+    assert not any(r["exact"] for r in rows)
+    assert all(r["pval"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2))) for r in rows)
+    assert all(r["exact"] for r in diffexp.mann_whitney_p(data, who, 104).collect())
