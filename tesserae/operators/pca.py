@@ -2,7 +2,7 @@
 
 The Gram matrix of the chosen variables is added up from blocks of observations, so what is moved grows with blocks and the
 square of the variables, not with observations; its eigenvectors are found on the driver, which bounds the variables. More
-variables than that go by subspace iteration (`subspace.py`), whose tables are distributed on both axes.
+variables than that go by a block Krylov space (`subspace.py`), whose tables are distributed on both axes, to a tolerance.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ MOST, BLOCK, LINES = 5000, 4096, 256
 
 
 class SVDMethod(Enum):
-    """GRAM is exact and has at most MOST variables; RANDOMIZED has any number, and is near where eigenvalues part."""
+    """GRAM has at most MOST variables; RANDOMIZED has any number, begins at random and ends where components are found to a tolerance."""
 
     GRAM = "gram"
     RANDOMIZED = "randomized"

@@ -1,22 +1,32 @@
-"""Leading components of matrices with any number of variables, by subspace iteration with Rayleigh-Ritz at its end.
-
-A subspace is a table with a row for each variable and a column for each direction. A pass joins the stored entries with it and
-adds up by observation, then the same the other way; Spark broadcasts the table where it is small and shuffles both sides where
-it isn't. Centering needs no dense matrix: what it takes off is the mean of the products. Only matrices of direction by
-direction reach the driver.
+"""Leading components of matrices with any number of variables, by a block Krylov space with a tolerance.
+
+A basis is a table with a row for each variable and an array of its directions. A step joins the stored entries with the last
+directions and adds up by observation, then the same the other way; Spark broadcasts that table where it is small and shuffles both sides
+where it isn't. What comes out is made orthogonal to the whole basis twice, and to itself by the triangular factors of its
+blocks of rows, which are joined in a tree (squared matrices would lose half of the digits). Of the basis' products with the matrix the
+driver finds the best components (Rayleigh-Ritz); how far one is from being one is known from the last directions alone. Steps end where
+that is below TOLERANCE of the largest eigenvalue for every component asked for, and where a basis has LONGEST directions it starts again
+from its best ones. Centering needs no dense matrix: what it takes off is the mean of the products, known from the variables' sums.
+Only matrices of direction by direction reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Directions beyond the components asked for, passes, and partial sums of a line.
-MORE, PASSES, SPREAD = 10, 8, 32
+#: Directions of a step beyond the components asked for, those of a basis at most, and partial results that the driver joins.
+MORE, LONGEST, SPREAD = 10, 400, 32
+#: Residuals, as a share of the largest eigenvalue, below which components are found; steps after which they have to be.
+TOLERANCE, MOST_STEPS = 1e-9, 300
+#: New directions below this share of the matrix are left out, as rounding would make a part of them; they count as not found. Eigenvalues below the next are zero.
+FAINT, NOTHING = 1e-8, 1e-11
+SUM, FACTOR = 0, 1
 
 
 def sum_lines(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -62,92 +72,161 @@ def _product(x: DataFrame, table: DataFrame, by: str, to: str, width: int) -> Da
     return x.join(table, by).groupBy(to).agg(*(F.sum(F.col("value") * F.col(c)).alias(c) for c in _names(width)))
 
 
-def _dense(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _names(width)])
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of an array column of equal lengths."""
+    own = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), width)
 
 
-def _gram(table: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Products of columns, and the sums of columns."""
+def _arrays(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_rows = np.zeros((width + 1, width)), False
+
+def _reduced(rows: DataFrame, part: Any, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of what part gives for each batch (a matrix of width columns to add up, and rows whose triangular factor counts), the sum and the factor of all.
+
+    A task has one of each; those of tasks are joined by SPREAD others, and theirs on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, factor = None, np.zeros((0, width))
         for batch in batches:
             if batch.num_rows:
-                own, any_rows = _dense(batch, width), True
-                total[:-1] += own.T @ own
-                total[-1] += own.sum(axis=0)
-        if any_rows:
-            lines = pa.array(np.arange(width + 1), pa.int32())
-            yield pa.RecordBatch.from_arrays([lines, pa.array(list(total), pa.list_(pa.float64()))], ["line", "sums"])
+                own, tall = part(batch)
+                total = own if total is None else total + own
+                factor = np.linalg.qr(np.vstack([factor, tall]), mode="r")
+        if total is not None:
+            yield _lines([(SUM, total), (FACTOR, factor)])
+
+    def join(key: tuple, found: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_lines([(key[0].as_py(), _joined(key[0].as_py(), found.column("sums").to_pylist(), width))])])
+
+    lines = rows.mapInArrow(run, "kind int, sums array<double>").withColumn("task", F.spark_partition_id() % SPREAD)
+    found = lines.groupBy("kind", "task").applyInArrow(join, "kind int, sums array<double>").collect()  # SPREAD of each kind
+    return tuple(_joined(kind, [r["sums"] for r in found if r["kind"] == kind], width) for kind in (SUM, FACTOR))
+
+
+def _lines(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([m.ravel() for _, m in parts], pa.list_(pa.float64()))], ["kind", "sums"])
+
+
+def _joined(kind: int, parts: list[list[float]], width: int) -> np.ndarray:
+    if not parts:
+        return np.zeros((0, width))
+    each = [np.array(p).reshape(-1, width) for p in parts]
+    return sum(each[1:], each[0]) if kind == SUM else np.linalg.qr(np.vstack(each), mode="r")
+
+
+def _extended(rows: DataFrame, at: int, width: int, times: np.ndarray, less: np.ndarray) -> DataFrame:
+    """var_id, s and q: the basis q of `at` directions, and as further ones w times a matrix, less q times another."""
 
-    lines = table.select(*_names(width)).mapInArrow(part, "line int, sums array<double>").withColumn("task", F.spark_partition_id() % SPREAD)
-    out = np.zeros((width + 1, width))
-    for r in sum_lines(sum_lines(lines, ["line", "task"]), ["line"]).collect():  # a line for each direction
-        out[r["line"]] = r["sums"]
-    return out[:-1], out[-1]
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, w = _matrix(batch.column("q"), at), _matrix(batch.column("w"), width)
+            yield pa.RecordBatch.from_arrays([batch.column("var_id"), batch.column("s"), _arrays(np.hstack([q, w @ times - q @ less]))], ["var_id", "s", "q"])
 
+    return rows.select("var_id", "s", "q", "w").mapInArrow(part, "var_id long, s double, q array<double>")
 
-def _times(table: DataFrame, key: str, matrix: np.ndarray, less: np.ndarray | None = None) -> DataFrame:
-    """The table's rows times a matrix of direction by direction, less a row."""
-    width, names = matrix.shape[0], _names(matrix.shape[1])
-    less = np.zeros(len(names)) if less is None else less
+
+def _turned(basis: DataFrame, at: int, turn: np.ndarray) -> DataFrame:
+    """The basis of `at` directions times a matrix."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = _dense(batch, width) @ matrix - less
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c) for c in own.T)], [key, *names])
+            yield pa.RecordBatch.from_arrays([batch.column("var_id"), batch.column("s"), _arrays(_matrix(batch.column("q"), at) @ turn)], ["var_id", "s", "q"])
+
+    return basis.select("var_id", "s", "q").mapInArrow(part, "var_id long, s double, q array<double>")
+
+
+def _at(basis: DataFrame, begin: int, width: int) -> DataFrame:
+    """Some directions of the basis as columns."""
+    return basis.select("var_id", *(F.get("q", F.lit(begin + i)).alias(c) for i, c in enumerate(_names(width))))
+
+
+def _independent(factor: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """What turns rows with this triangular factor into orthonormal directions, where they aren't faint beside scale, and all of the rows' directions by size."""
+    _, values, v = np.linalg.svd(factor, full_matrices=False)
+    stay = values > FAINT * max(scale, values.max(initial=0.0))
+    return v[stay].T / values[stay], v * values[:, None]
+
+
+def _new_directions(rows: DataFrame, at: int, width: int, weights: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """rows (var_id, s, q, w) with what w has beside q as new directions of q; the part of w in q, all that it has beside it, largest first, and sums of the new directions weighted by s. weights are those of q."""
+
+    def inside(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        q, w = _matrix(batch.column("q"), at), _matrix(batch.column("w"), width)
+        return q.T @ w, np.zeros((0, width))
+
+    part = _reduced(rows, inside, width)[0] if at else np.zeros((0, width))
+
+    def beside(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        q, w = _matrix(batch.column("q"), at), _matrix(batch.column("w"), width)
+        w = w - q @ part
+        return np.vstack([q.T @ w, batch.column("s").to_numpy() @ w]), w
 
-    return table.mapInArrow(part, f"{key} long, " + ", ".join(f"{c} double" for c in names))
+    sums, factor = _reduced(rows, beside, width)
+    turn, left = _independent(factor, np.linalg.norm(part, 2) if at else 0.0)
+    part = part + sums[:at]
+    own = (sums[at] - weights @ sums[:at]) @ turn
+    return _extended(rows, at, width, turn, part @ turn), part, left, own
 
 
-def _orthonormal(table: DataFrame, width: int, hold: _Held) -> tuple[DataFrame, int]:
-    """The table in orthonormal directions; those that depend on others are left out. Twice, as the first is up to the square of the spread."""
-    for _ in range(2):
-        values, vectors = np.linalg.eigh(_gram(table, width)[0])
-        stay = values > max(values.max(initial=0.0), 0.0) * 1e-14
-        width = int(stay.sum())
-        if width == 0:
-            break
-        table = hold(_times(table, "var_id", vectors[:, stay] / np.sqrt(values[stay])))
-    return table, width
+def _moved(x: DataFrame, basis: DataFrame, begin: int, width: int, mean: np.ndarray) -> DataFrame:
+    """The basis with w: what the matrix and its transpose make of some of its directions, where mean is taken off in between."""
+    scored = _product(x, _at(basis, begin, width), "var_id", "obs_id", width)
+    # Centered products add up to zero, so the mean of the variables has no part in what follows.
+    scored = scored.select("obs_id", *((F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(_names(width), mean, strict=True)))
+    found = _product(x, scored, "obs_id", "var_id", width)
+    w = F.array(*(F.coalesce(c, F.lit(0.0)) for c in _names(width))).alias("w")
+    return basis.join(found, "var_id", "left").select("var_id", "s", "q", w)
 
 
 def leading_components(x: DataFrame, obs: DataFrame, variables: DataFrame, n_obs: int, n_vars: int, center: bool, k: int, seed: int) -> tuple[DataFrame, list[tuple[float, float]], DataFrame]:
     """Scores of each observation, eigenvalues and shares of the whole variance, and loadings of each variable.
 
-    x: entries of the given variables. There are fewer components than k where the matrix has a lower rank."""
+    x: entries of the given variables. There are fewer components than k where the matrix has a lower rank. An eigenvalue is within TOLERANCE
+    of the largest one, and closer where it is apart from others; where MOST_STEPS don't reach that, it is an error."""
     width = min(k + MORE, n_vars, max(1, n_obs))
     x, hold = x.persist(), _Held()
     try:
-        table, width = _orthonormal(hold(_start(variables, width, seed)), width, hold)
-        for _ in range(PASSES):
-            if width == 0:
+        sums = x.groupBy("var_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("squares"))
+        start = _start(variables, width, seed).join(sums, "var_id", "left")
+        none = F.array().cast("array<double>")
+        rows = hold(start.select("var_id", F.coalesce("s", F.lit(0.0)).alias("s"), none.alias("q"), F.array(*_names(width)).alias("w")))
+        more, _, _, weights = _new_directions(rows, 0, width, np.zeros(0))
+        basis, begin, at, small = hold(more), 0, len(weights), np.zeros((0, 0))
+        for _ in range(MOST_STEPS):
+            mean = weights[begin:] / max(1, n_obs) if center else np.zeros(at - begin)
+            rows = hold(_moved(x, basis, begin, at - begin, mean))
+            more, part, left, own = _new_directions(rows, at, at - begin, weights)
+            whole = np.zeros((at, at))
+            whole[:begin, :begin], whole[:, begin:], whole[begin:, :begin] = small, part, part[:begin].T
+            values, vectors = (e[..., ::-1] for e in np.linalg.eigh((whole + whole.T) / 2.0))
+            residuals = np.linalg.norm(left @ vectors[begin:, :k], axis=0)
+            if not len(own) or (residuals <= TOLERANCE * values[0]).all():
                 break
-            scored = hold(_product(x, table, "var_id", "obs_id", width))
-            _, sums = _gram(scored, width)
-            hold.release(table, scored)
-            # Centered products add up to zero, so the mean of the variables has no part in what follows.
-            moved = _times(scored, "obs_id", np.eye(width), sums / max(1, n_obs)) if center else scored
-            table, width = _orthonormal(hold(_product(x, moved, "obs_id", "var_id", width)), width, hold)
-        if width == 0:
-            nothing = F.array().cast("array<double>")
-            return obs.select("obs_id", nothing.alias("score")), [], variables.select("var_id", nothing.alias("loading"))
-        scored = hold(_product(x, table, "var_id", "obs_id", width))
-        products, sums = _gram(scored, width)
-        mean = sums / max(1, n_obs) if center else np.zeros(width)
-        values, vectors = np.linalg.eigh(products - n_obs * np.outer(mean, mean))
-        values, vectors = np.maximum(values[::-1][:k], 0.0), vectors[:, ::-1][:, :k]
-        kept, names = len(values), _names(len(values))
-        ends = _times(table, "var_id", vectors).agg(*(F.max(c) for c in names), *(F.min(c) for c in names)).first()
-        vectors = vectors * np.array([1.0 if ends[i] >= -ends[kept + i] else -1.0 for i in range(kept)])
-        by_var = x.groupBy("var_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-        q, s2 = by_var.agg(F.sum("q"), F.sum(F.col("s") * F.col("s"))).first()
+            if at + len(own) > LONGEST:
+                turn = np.zeros((at + len(own), width + len(own)))
+                turn[:at, :width], turn[at:, width:] = vectors[:, :width], np.eye(len(own))
+                more, whole, weights, at = _turned(more, at + len(own), turn), np.diag(values[:width]), weights @ vectors[:, :width], width
+            basis, small, weights, begin, at = hold(more), whole, np.concatenate([weights, own]), at, at + len(own)
+            hold.release(basis)
+        else:
+            raise RuntimeError(f"components aren't found to {TOLERANCE} in {MOST_STEPS} steps")
+        kept = int((values[:k] > NOTHING * values[0]).sum()) if at else 0
+        values, vectors, names = values[:kept], vectors[:, :kept], _names(kept)
+        table = _at(_turned(basis, at, vectors), 0, kept)
+        if kept:
+            ends = table.agg(*(F.max(c) for c in names), *(F.min(c) for c in names)).first()
+            vectors = vectors * np.array([1.0 if ends[i] >= -ends[kept + i] else -1.0 for i in range(kept)])
+        table = hold(_at(_turned(basis, at, vectors), 0, kept))
+        offset = weights @ vectors / max(1, n_obs) if center else np.zeros(kept)
+        scored = hold(_product(x, table, "var_id", "obs_id", kept)) if kept else x.select("obs_id").limit(0)
+        q, s2 = sums.agg(F.sum("squares"), F.sum(F.col("s") * F.col("s"))).first()
         total = (q or 0.0) - ((s2 or 0.0) / max(1, n_obs) if center else 0.0)
         hold.release(table, scored)
     finally:
         x.unpersist()
-    offset = mean @ vectors
-    loadings = variables.select("var_id").join(_times(table, "var_id", vectors), "var_id", "left").select("var_id", F.array(*(F.coalesce(c, F.lit(0.0)) for c in names)).alias("loading"))
-    scores = obs.select("obs_id").join(_times(scored, "obs_id", vectors, offset), "obs_id", "left")
-    scores = scores.select("obs_id", F.array(*(F.coalesce(F.col(c), F.lit(float(-o))) for c, o in zip(names, offset, strict=True))).alias("score"))
+    loadings = variables.select("var_id").join(table, "var_id", "left").select("var_id", F.array(*(F.coalesce(c, F.lit(0.0)) for c in names)).cast("array<double>").alias("loading"))
+    scores = obs.select("obs_id").join(scored, "obs_id", "left")
+    scores = scores.select("obs_id", F.array(*(F.coalesce(c, F.lit(0.0)) - F.lit(float(o)) for c, o in zip(names, offset, strict=True))).cast("array<double>").alias("score"))
     return scores, [(float(v), float(v) / total if total > 0 else 0.0) for v in values], loadings

@@ -200,20 +200,30 @@ _HARMONIC = "(select sum(1.0::double / c.i) from o c where c.family = a.family)"
 _PI0 = "least(1.0::double, (select count(*) from o c where c.family = a.family and c.p > 0.5) / (a.m * 0.5::double))"
 
 #: Squarings of a matrix, after which nothing but its first component is left, and components.
-_SQUARINGS, _COMPONENTS = 24, 10
+_SQUARINGS, _COMPONENTS, _SPACE_COMPONENTS = 24, 10, 5
 _SQUARED = "list_transform(range(1, w + 1), lambda i: list_transform(range(1, w + 1), lambda j: list_inner_product(a[i], a[j])))"
-_COMPONENT = f"""with recursive e as (select cast(vec_id as bigint) as obs_id, cast(embedding as double[]) as v from embeddings),
-l as (select obs_id, i, v[i] as x from e, unnest(range(1, len(v) + 1)) t(i)),
-c as materialized (select obs_id, i, x - avg(x) over (partition by i) as x from l),
-g as (select a.i, b.i as j, sum(a.x * b.x) as s from c a join c b using (obs_id) group by 1, 2),
-rows as (select i, list(s order by j) as line from g group by i),
+
+
+def _squared(head: str, k: int) -> str:
+    """found and vectors: the k first components of a matrix, which head has as rows (i, line)."""
+    return f"""with recursive {head},
 step as (select 1 as k, 0 as s, m, m as a, len(m) as w from (select list(line order by i) as m from rows) union all
   select if(s < {_SQUARINGS}, k, k + 1), if(s < {_SQUARINGS}, s + 1, 0), if(s < {_SQUARINGS}, m, less),
          if(s < {_SQUARINGS}, list_transform(q, lambda u: list_transform(u, lambda x: x / list_sum(list_transform(range(1, w + 1), lambda i: q[i][i])))), less), w
   from (select *, list_transform(range(1, w + 1), lambda i: list_transform(range(1, w + 1), lambda j: m[i][j] - value * a[i][j])) as less from
-        (select *, {_SQUARED} as q, list_sum(list_transform(range(1, w + 1), lambda i: list_inner_product(m[i], a[i]))) as value from step where k <= {_COMPONENTS}))),
-found as (select k - 1 as component, w, list_sum(list_transform(range(1, w + 1), lambda i: list_inner_product(m[i], a[i]))) as value, list_transform(range(1, w + 1), lambda i: a[i][i]) as own, a from step where s = {_SQUARINGS} and k <= {_COMPONENTS}),
+        (select *, {_SQUARED} as q, list_sum(list_transform(range(1, w + 1), lambda i: list_inner_product(m[i], a[i]))) as value from step where k <= {k}))),
+found as (select k - 1 as component, w, list_sum(list_transform(range(1, w + 1), lambda i: list_inner_product(m[i], a[i]))) as value, list_transform(range(1, w + 1), lambda i: a[i][i]) as own, a from step where s = {_SQUARINGS} and k <= {k}),
 vectors as (select component, list_transform(a[list_position(own, list_max(own))], lambda x: x / sqrt(list_max(own))) as v from found)"""
+
+
+_COMPONENT = _squared(
+    """e as (select cast(vec_id as bigint) as obs_id, cast(embedding as double[]) as v from embeddings),
+l as (select obs_id, i, v[i] as x from e, unnest(range(1, len(v) + 1)) t(i)),
+c as materialized (select obs_id, i, x - avg(x) over (partition by i) as x from l),
+g as (select a.i, b.i as j, sum(a.x * b.x) as s from c a join c b using (obs_id) group by 1, 2),
+rows as (select i, list(s order by j) as line from g group by i)""",
+    _COMPONENTS,
+)
 _VARIANCE = f"""{_COMPONENT}, z as (select component, value, (select sum(s) from g where i = j) as total, (select count(*) from e) as n from found)
 select cast(component as int) as component, {r('value / (n - 1)', 'explained_variance')}, {r('value / total', 'ratio')}, {r('sum(value / total) over (order by component)', 'cumulative')} from z"""
 _SCORES = f"""{_COMPONENT}, y as (select obs_id, list(x order by i) as x from c group by 1)
@@ -221,6 +231,22 @@ select obs_id, {', '.join(r(f'max(list_inner_product(x, v)) filter (component =
 _LOADINGS = f"""{_COMPONENT}, y as (select component, i - 1 as var_id, v[i] as x from vectors, unnest(range(1, len(v) + 1)) t(i))
 select cast(var_id as bigint) as var_id, {', '.join(r(f'max(x) filter (component = {i})', f'c{i}') for i in range(_COMPONENTS))} from y group by 1"""
 
+#: By products of observations, of which there are fewer; a component of variables is what the matrix makes of one of observations.
+_SPACE = _squared(
+    """x as (select c_nationkey as nation, c_mktsegment as segment, l_partkey as var_id, cast(sum(l_quantity) as double) as value from lineitem join orders on l_orderkey = o_orderkey join customer on c_custkey = o_custkey group by 1, 2, 3),
+o as (select nation, segment, row_number() over (order by nation, segment) as i from (select distinct c_nationkey as nation, c_mktsegment as segment from customer)),
+d as (select i, cast(p_partkey as bigint) as var_id, coalesce(value, 0) as x from o cross join part left join x on x.nation = o.nation and x.segment = o.segment and x.var_id = p_partkey),
+c as materialized (select i, var_id, x - avg(x) over (partition by var_id) as x from d),
+lines as materialized (select i, list(x order by var_id) as line from c group by i),
+rows as (select a.i, list(list_inner_product(a.line, b.line) order by b.i) as line from lines a cross join lines b group by a.i)""",
+    _SPACE_COMPONENTS,
+)
+_SPACE_VARIANCE = f"""{_SPACE}, z as (select component, value, (select sum(x * x) from c) as total, (select count(*) from o) as n from found)
+select cast(component as int) as component, {r('value / (n - 1)', 'explained_variance')}, {r('value / total', 'ratio')}, {r('sum(value / total) over (order by component)', 'cumulative')} from z"""
+_SPACE_LOADINGS = f"""{_SPACE}, y as (select component, var_id, sum(x * v[i]) / sqrt(any_value(value)) as x from vectors join found using (component) cross join c group by 1, 2),
+t as (select *, max(x) over (partition by component) >= -min(x) over (partition by component) as up from y)
+select var_id, {', '.join(r(f'max(if(up, x, -x)) filter (component = {i})', f'c{i}', 4) for i in range(_SPACE_COMPONENTS))} from t group by 1"""
+
 #: The trend by the whole kernel: a sweep renews one weight after another, each from all weights as they are then.
 _TREND = f"""with recursive {BASE},
 m as (select var_id, avg(value) as mean, var_samp(value) as var from d group by 1),
@@ -288,6 +314,8 @@ from o join d using (obs_id) join v using (var_id) where i < 100 and i % 3 = 0 g
     "pca_variance": _VARIANCE,
     "pca_scores": _SCORES,
     "pca_loadings": _LOADINGS,
+    "pca_space_variance": _SPACE_VARIANCE,
+    "pca_space_loadings": _SPACE_LOADINGS,
     "de_group_sums": f"{_GROUPED.format(base=BASE, of='d')} select grp as \"group\", var_id, {_SUMS} from k group by 1, 2",
     "de_logfc": f"""{_GROUPED.format(base=LOGGED, of='e')},
 s as (select grp, var_id, avg(value) filter (mine) as a, avg(value) filter (not mine) as b from k group by 1, 2)

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.corrections import Correction, apply_correction
 from tesserae.operators import diffexp, filtering, hvg, qc, selection, statistics, transform
-from tesserae.operators.pca import PCAResult, run_pca
+from tesserae.operators.pca import PCAResult, SVDMethod, run_pca
 from tesserae.plans.data import Direction, ExprData, with_index
 from tesserae.sources.annotations import network, reshape
 
@@ -53,6 +53,16 @@ def nations_matrix(spark: SparkSession, sf_dir: str) -> ExprData:
     return ExprData.from_frames(x, nation.select(F.col("n_nationkey").cast("long").alias("obs_id"), F.col("n_regionkey").cast("string").alias("region")), data.var)
 
 
+def places_matrix(spark: SparkSession, sf_dir: str) -> ExprData:
+    """Parts ordered from each market segment of each nation."""
+    data = orders_matrix(spark, sf_dir)
+    obs = data.obs.select("nation", "segment").distinct()
+    obs = obs.withColumn("obs_id", F.row_number().over(Window.orderBy("nation", "segment")).cast("long"))  # five segments of each nation
+    places = data.obs.select(F.col("obs_id").alias("customer"), "nation", "segment").join(obs, ["nation", "segment"])
+    x = data.x.join(places, data.x.obs_id == places.customer).select(places.obs_id, "var_id", "value")
+    return ExprData.from_frames(x, obs, data.var)
+
+
 def rounded(rows: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to some places, with a zero that has no sign."""
     return rows.select(*((F.round(F.col(f"`{n}`"), places) + F.lit(0.0)).alias(n) if kind == "double" else F.col(f"`{n}`") for n, kind in rows.dtypes))
@@ -154,6 +164,16 @@ def _components(of: Callable[[PCAResult], DataFrame], key: str = "", values: str
     return run
 
 
+def _space(of: Callable[[PCAResult], DataFrame], key: str = "", values: str = "") -> Query:
+    """Five components of all parts by a Krylov space."""
+
+    def run(data: ExprData) -> DataFrame:
+        rows = of(run_pca(data, selection.FeatureSelection(), True, 5, svd_method=SVDMethod.RANDOMIZED))
+        return rounded(rows.select(key, *(F.get(values, F.lit(i)).alias(f"c{i}") for i in range(5))), 4) if values else rows
+
+    return _matrix(run, places_matrix)
+
+
 def _features(data: ExprData, chosen: selection.FeatureSelection) -> DataFrame:
     return selection.select_features(data, chosen)
 
@@ -225,6 +245,8 @@ QUERIES: dict[str, Query] = {
     "pca_scores": _components(lambda found: found.scores, "obs_id", "score"),
     "pca_variance": _components(lambda found: found.variance),
     "pca_loadings": _components(lambda found: found.loadings, "var_id", "loading"),
+    "pca_space_variance": _space(lambda found: found.variance),
+    "pca_space_loadings": _space(lambda found: found.loadings, "var_id", "loading"),
     "annotation_pivot": annotation_pivot,
     "network": annotation_network,
 }

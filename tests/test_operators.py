@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import diffexp, filtering, hvg, pca, qc, selection, statistics, transform, trend
+from tesserae.operators import diffexp, filtering, hvg, pca, qc, selection, statistics, subspace, transform, trend
 from tesserae.plans.data import Direction, ExprData, with_index
 from tests.fixtures import container, three_groups
 
@@ -218,7 +218,7 @@ def test_components_equal_decomposition(spark):
 
 
 def test_components_of_many_variables(spark, monkeypatch):
-    """By subspace iteration, as where there are more variables than a Gram matrix may have; one observation and one variable are empty."""
+    """By a Krylov space, as where there are more variables than a Gram matrix may have; one observation and one variable are empty."""
     rng = np.random.default_rng(2)
     dense = np.where(rng.random((60, 30)) < 0.5, 0.0, 1.0 + rng.normal(size=(60, 30)) * 1.3 ** -np.arange(30.0))
     dense[7], dense[:, 4] = 0, 0
@@ -232,10 +232,10 @@ def test_components_of_many_variables(spark, monkeypatch):
     _, s, vt = np.linalg.svd(moved, full_matrices=False)
     vt = vt[:3] * np.sign(vt[np.arange(3), np.abs(vt[:3]).argmax(axis=1)])[:, None]
     lines = found.variance.orderBy("component").collect()
-    assert [r["explained_variance"] for r in lines] == pytest.approx((s[:3] ** 2 / 59).tolist(), rel=1e-6)
-    assert lines[-1]["cumulative"] == pytest.approx((s[:3] ** 2).sum() / (s**2).sum(), rel=1e-6)
-    assert np.array(column(found.scores, "obs_id", "score")) == pytest.approx(moved @ vt.T.copy(), abs=1e-3)
-    assert np.array(column(found.loadings, "var_id", "loading")) == pytest.approx(vt.T, abs=1e-3)
+    assert [r["explained_variance"] for r in lines] == pytest.approx((s[:3] ** 2 / 59).tolist(), rel=1e-10)
+    assert lines[-1]["cumulative"] == pytest.approx((s[:3] ** 2).sum() / (s**2).sum(), rel=1e-10)
+    assert np.array(column(found.scores, "obs_id", "score")) == pytest.approx(moved @ vt.T.copy(), abs=1e-5)
+    assert np.array(column(found.loadings, "var_id", "loading")) == pytest.approx(vt.T, abs=1e-5)
 
 
 def test_components_of_low_rank_and_of_nothing(spark):
@@ -257,3 +257,16 @@ def test_multi_group_shape(spark):
     assert data.uns["rank_genes_groups_params_reference"] == "rest"
     best = data.uns["rank_genes_groups_names"].toPandas()
     assert set(best["A"]) < {"gene0", "gene3", "gene6", "gene9"} and set(best["C"]) == {"gene2", "gene5", "gene8"}
+
+
+def test_close_components_are_found_and_failure_is_told(spark, monkeypatch):
+    """A matrix of noise, whose eigenvalues lie close together; bases start again, and too few steps are an error."""
+    dense = np.random.default_rng(8).normal(size=(150, 180))
+    data, (_, s, _) = container(spark, dense), np.linalg.svd(dense - dense.mean(axis=0))
+    monkeypatch.setattr(subspace, "LONGEST", 60)
+    options = {"svd_method": pca.SVDMethod.RANDOMIZED, "n_components": 4}
+    lines = pca.run_pca(data, selection.FeatureSelection(), True, **options).variance.orderBy("component").collect()
+    assert [r["explained_variance"] for r in lines] == pytest.approx((s[:4] ** 2 / 149).tolist(), rel=1e-9)
+    monkeypatch.setattr(subspace, "MOST_STEPS", 2)
+    with pytest.raises(RuntimeError, match="2 steps"):
+        pca.run_pca(data, selection.FeatureSelection(), True, **options)
