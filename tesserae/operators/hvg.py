@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from enum import Enum
 
@@ -14,6 +15,10 @@ from tesserae.plans.data import Direction, ExprData
 
 #: What stands for a mean of zero, and what lies beyond the last bin.
 LEAST_MEAN, BEYOND = 1e-12, 1e-10
+#: Fixed value: the median deviation of a normal variable, in its standard deviations.
+MAD_SCALE = 0.6744897501960817
+#: Bands of values from one to its double, and more of them than any double has.
+BANDS_PER_DOUBLING, BEYOND_BANDS = 64.0, 100_000
 
 
 class Flavor(Enum):
@@ -24,7 +29,7 @@ class Flavor(Enum):
 
 @dataclass(frozen=True)
 class HVGParams:
-    """max_dispersion, span and batch_key are accepted and have no effect."""
+    """span and batch_key are accepted and have no effect; max_dispersion bounds CELL_RANGER only."""
 
     min_mean: float = 0.0125
     max_mean: float = 3.0
@@ -91,6 +96,82 @@ def equal_frequency_bins(rows: DataFrame, n_bins: int) -> DataFrame:
     return rows.withColumn("bin", F.ntile(n_bins).over(Window.partitionBy(F.lit(0)).orderBy("means", "var_id")) - 1)
 
 
+def order_statistics(rows: DataFrame, key: str, value: str, wanted: str) -> DataFrame:
+    """key, place and value: of each key's values in ascending order, those at the places that the array column wanted of any of its rows has, from 1.
+
+    Values are counted in bands of nearly equal ones, pre-aggregated in each task; running counts of a key's bands, of which there
+    are a few thousand at most, tell the band of each place, and only the rows of these bands are put in order. No task holds a key's values."""
+    level = F.floor(F.log2(F.abs(value)) * BANDS_PER_DOUBLING)
+    band = F.when(F.col(value) > 0, level + BEYOND_BANDS).when(F.col(value) < 0, -level - BEYOND_BANDS).otherwise(0)
+    each = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("value"), band.alias("band"))
+    bands = each.groupBy(key, "band").agg(F.count(F.lit(1)).alias("held"))
+    along = Window.partitionBy(key).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.withColumn("ahead", F.coalesce(F.sum("held").over(along), F.lit(0)))
+    places = rows.groupBy(key).agg(F.first(wanted).alias("wanted")).select(key, F.explode(F.array_distinct("wanted")).alias("place"))
+    inside = bands.join(places, key).where((F.col("place") > F.col("ahead")) & (F.col("place") <= F.col("ahead") + F.col("held")))
+    inside = inside.groupBy(key, "band").agg(F.first("ahead").alias("ahead"), F.collect_set("place").alias("places"))
+    counted = each.join(inside, [key, "band"]).groupBy(key, "band", "value").agg(F.count(F.lit(1)).alias("n"), F.first("ahead").alias("ahead"), F.first("places").alias("places"))
+    up = F.sum("n").over(Window.partitionBy(key, "band").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = counted.withColumn("upto", F.col("ahead") + up)
+    hit = F.filter("places", lambda p: (p <= F.col("upto")) & (p > F.col("upto") - F.col("n")))
+    return counted.select(key, "value", F.explode(hit).alias("place")).select(key, "place", "value")
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key and median: the middle one of each key's values, or the mean of the two; null values don't count, and a key without others has no row."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    half = F.floor((F.col("__n") + 1) / 2).cast("long"), F.floor(F.col("__n") / 2 + 1).cast("long")
+    told = rows.join(F.broadcast(counts), key).withColumn("__wanted", F.array(*half))  # a row for each bin
+    return order_statistics(told, key, value, "__wanted").groupBy(key).agg(F.avg("value").alias("median"))
+
+
+def quantiles(rows: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Values at shares of the way from the smallest to the largest, between two neighbours in proportion."""
+    n = rows.where(F.col(value).isNotNull()).count()
+    if not n:
+        raise ValueError("no variable has a mean")
+    at = [share * (n - 1) for share in shares]
+    wanted = sorted({p for x in at for p in (math.floor(x) + 1, min(math.floor(x) + 2, n))})
+    told = rows.select(F.lit(0).alias("__all"), F.col(value), F.array(*(F.lit(p).cast("long") for p in wanted)).alias("__wanted"))
+    found = {r["place"]: r["value"] for r in order_statistics(told, "__all", value, "__wanted").collect()}  # two for each share
+    low = [math.floor(x) + 1 for x in at]
+    return [found[p] + (found[min(p + 1, n)] - found[p]) * (x + 1 - p) for p, x in zip(low, at, strict=True)]
+
+
+def percentile_bins(rows: DataFrame, n_bins: int) -> DataFrame:
+    """rows with bin: means between every (100 / n_bins)-th percentile of all means, from the first on, the ends open. A bin holds its right edge,
+    and edges that are equal make one."""
+    edges = sorted(set(quantiles(rows, "means", [i / n_bins for i in range(1, n_bins)])))
+    below = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("means"))) if edges else F.lit(0)
+    return rows.withColumn("bin", F.when(F.col("means").isNotNull(), below))
+
+
+def percentile(data: ExprData, params: HVGParams) -> DataFrame:
+    """var_id, means, dispersions, dispersions_norm, bin and highly_variable, with bins by percentiles of the mean and distances from a bin's median in its median
+    deviations (times MAD_SCALE).
+
+    Means and dispersions are those of the values themselves, without logarithms. A mean of zero counts as LEAST_MEAN, and a dispersion of zero as none. A bin
+    whose median deviation is zero gives null, which is never chosen. With n_top_genes, variables not below the n-th largest distance are chosen, of those within the bounds
+    of mean; else those within the bounds of mean and dispersion, ends excluded."""
+    rows = moments(data)
+    mean = F.when(F.col("mean") == 0, LEAST_MEAN).otherwise(F.col("mean"))
+    ratio = F.col("variance") / mean
+    rows = rows.select("var_id", mean.alias("means"), F.when(ratio != 0, ratio).alias("dispersions"))
+    rows = percentile_bins(rows, params.n_bins)
+    center = medians(rows, "bin", "dispersions").withColumnRenamed("median", "center")
+    rows = rows.join(F.broadcast(center), "bin", "left").withColumn("off", F.col("dispersions") - F.col("center"))  # a row for each bin
+    spread = medians(rows.withColumn("off", F.abs("off")), "bin", "off").select("bin", (F.col("median") / MAD_SCALE).alias("spread"))
+    rows = rows.join(F.broadcast(spread), "bin", "left").withColumn("dispersions_norm", F.when(F.col("spread") > 0, F.col("off") / F.col("spread")))
+    within = (F.col("means") > params.min_mean) & (F.col("means") < params.max_mean)
+    score = F.col("dispersions_norm")
+    if params.n_top_genes is not None:
+        best = rows.where(within & score.isNotNull()).select(F.round(score, 9).alias("score")).orderBy(F.desc("score")).limit(params.n_top_genes).agg(F.min("score")).first()[0]
+        mark = within & (F.round(score, 9) >= best) if best is not None else F.lit(False)
+    else:
+        mark = within & (score > params.min_dispersion) & (score < params.max_dispersion)
+    return rows.select("var_id", "means", "dispersions", "dispersions_norm", F.col("bin").cast("int").alias("bin"), F.coalesce(mark, F.lit(False)).alias("highly_variable"))
+
+
 def chosen(score: str, n: int) -> Column:
     """A condition for scores not below the n-th largest: ties may exceed n, nulls never pass, and n of 0 chooses none.
     Variables are few, so one task orders them.
@@ -144,7 +225,5 @@ def svr(data: ExprData, params: HVGParams) -> DataFrame:
 def compute_highly_variable_genes(data: ExprData, params: HVGParams | None = None) -> ExprData:
     """The container with the flavor's columns in its variables."""
     params = params or HVGParams()
-    if params.flavor is Flavor.CELL_RANGER:
-        raise NotImplementedError("this flavor has no definition to follow")
-    found = seurat(data, params) if params.flavor is Flavor.SEURAT else svr(data, params)
+    found = {Flavor.SEURAT: seurat, Flavor.SVR: svr, Flavor.CELL_RANGER: percentile}[params.flavor](data, params)
     return data.annotate(Direction.COLUMN, found)

@@ -70,6 +70,19 @@ k as (select l.*, brand, case when means = hi then 4 else cast(floor((means - lo
 s as (select brand, bin, avg(disp) as am, stddev_samp(disp) as sd from k group by 1, 2)
 select var_id, {r('case when sd > 0 then coalesce((disp - am) / sd, 0) else 0 end', 'dispersions_norm')} from k join s using (brand, bin)"""
 
+def _percentile(n_bins: int, within: str, mark: str) -> str:
+    return f"""with {BASE},
+m as (select var_id, avg(value) as mean, var_samp(value) as var from d group by 1),
+l as (select var_id, case when mean = 0 then 1e-12::double else mean end as means, nullif(var / case when mean = 0 then 1e-12::double else mean end, 0) as disp from m),
+e as (select distinct unnest(quantile_cont(means, [{', '.join(f'{i} / {n_bins}.0::double' for i in range(1, n_bins))}])) as edge from l),
+k as (select *, (select count(*) from e where edge < means)::int as bin from l),
+c as (select *, median(disp) over (partition by bin) as center from k),
+s as (select *, disp - center as off, median(abs(disp - center)) over (partition by bin) / 0.6744897501960817::double as spread from c),
+z as (select *, case when spread > 0 then off / spread end as norm from s),
+t as (select *, {within} as inside, case when {within} and norm is not null then rank() over (partition by {within} and norm is not null order by round(norm, 9) desc) end as place from z)
+select var_id, {r('means', 'means')}, {r('disp', 'dispersions')}, {r('norm', 'dispersions_norm')}, bin, coalesce({mark}, false) as highly_variable from t"""
+
+
 _GROUPED = f"""with {{base}},
 g as (select distinct segment as grp from obs),
 k as (select grp, var_id, coalesce(segment = grp, false) as mine, value from {{of}} cross join g)"""
@@ -310,6 +323,8 @@ from o join d using (obs_id) join v using (var_id) where i < 100 and i % 3 = 0 g
     "hvg_by_batch": _BATCHED,
     "hvg_equal_frequency_bins": f"{_MEANS}, b as (select *, ntile(7) over (order by round(means, 12), var_id) - 1 as bin from l) select var_id, {r('means', 'means')}, cast(bin as int) as bin from b",
     "hvg_dispatch": f"with q as ({_HVG} norm is not null and rank() over (order by round(norm, 9) desc nulls last) <= 50 as highly_variable from z) select q.*, p_name as var_name from q join part on p_partkey = var_id",
+    "hvg_percentile": _percentile(20, "means > 0.3 and means < 6", "inside and norm > 0.5"),
+    "hvg_percentile_topn": _percentile(7, "means > -1", "place <= 40"),
     "hvg_svr": _TREND,
     "pca_variance": _VARIANCE,
     "pca_scores": _SCORES,

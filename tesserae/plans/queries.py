@@ -130,6 +130,10 @@ def _hvg(**options: object) -> Query:
     return _matrix(lambda d: hvg.seurat(d, hvg.HVGParams(**options)))
 
 
+def _percentile(**options: object) -> Query:
+    return _matrix(lambda d: hvg.percentile(d, hvg.HVGParams(flavor=hvg.Flavor.CELL_RANGER, **options)))
+
+
 def _row_sums(rows: DataFrame) -> DataFrame:
     """What tells dense rows apart without writing them out: their length, sum, and sum weighted by place."""
     each = rows.select("obs_id", F.posexplode("row").alias("at", "value"))
@@ -220,6 +224,8 @@ QUERIES: dict[str, Query] = {
     "hvg_by_batch": _matrix(lambda d: hvg.normalized_by_batch(hvg.dispersions(hvg.moments(d)).join(d.var.select("var_id", "brand"), "var_id"), 5, "brand").select("var_id", "dispersions_norm")),
     "hvg_equal_frequency_bins": _matrix(lambda d: hvg.equal_frequency_bins(hvg.dispersions(hvg.moments(d)), 7).select("var_id", "means", "bin")),
     "hvg_dispatch": _matrix(lambda d: hvg.compute_highly_variable_genes(d, hvg.HVGParams(n_top_genes=50)).var.select("var_id", "var_name", "means", "dispersions", "dispersions_norm", "highly_variable")),
+    "hvg_percentile": _percentile(min_mean=0.3, max_mean=6.0),
+    "hvg_percentile_topn": _percentile(n_bins=7, n_top_genes=40, min_mean=-1.0, max_mean=float("inf")),
     "hvg_svr": _matrix(lambda d: hvg.svr(d, hvg.HVGParams(n_top_genes=200, flavor=hvg.Flavor.SVR))),
     "de_group_sums": _matrix(lambda d: diffexp.group_sums(d, _groups(d))),
     "de_logfc": _matrix(lambda d: diffexp.log_fold_change(diffexp.group_sums(d, _groups(d))).select("group", "var_id", "logfoldchange"), logged),

@@ -149,10 +149,6 @@ def test_hvg_bins_of_one_of_equals_and_ties(spark):
     third = sorted((w for w in want if w is not None), reverse=True)[2]
     assert [r["highly_variable"] for r in rows] == [w is not None and w >= third - 1e-9 for w in want]
     assert not any(column(hvg.seurat(data, hvg.HVGParams(n_top_genes=0)), "var_id", "highly_variable"))
-    with pytest.raises(NotImplementedError):
-        hvg.compute_highly_variable_genes(data, hvg.HVGParams(flavor=hvg.Flavor.CELL_RANGER))
-
-
 def plain_trend(x, y):
     n = len(x)
     s = (x - x.min()) / (x.max() - x.min())
@@ -270,3 +266,44 @@ def test_close_components_are_found_and_failure_is_told(spark, monkeypatch):
     monkeypatch.setattr(subspace, "MOST_STEPS", 2)
     with pytest.raises(RuntimeError, match="2 steps"):
         pca.run_pca(data, selection.FeatureSelection(), True, **options)
+
+
+def test_order_statistics_and_medians(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, float(v)) for k, n in (("a", 41), ("b", 40), ("c", 1), ("d", 2)) for v in rng.choice([-3.5, -1e-300, 0.0, 0.25, 2.0, 2.0000001, 1e200, 7.0], n)]
+    rows += [("a", None), ("e", None), (None, 1.0)] + [("hot", float(v)) for v in np.repeat([1.0, 5.0, 1.5], [300, 299, 1])]
+    df = spark.createDataFrame(rows, "k string, v double")
+    found = {r["k"]: r["median"] for r in hvg.medians(df.where("k is not null"), "k", "v").collect()}
+    assert found == {k: float(np.median([v for key, v in rows if key == k and v is not None])) for k in ("a", "b", "c", "d", "hot")}
+    own = sorted(v for k, v in rows if k == "a" and v is not None)
+    told = df.where("k = 'a'").selectExpr("k", "v", "array(1L, 7L, 7L, 41L, 99L) as w")
+    assert sorted((r["place"], r["value"]) for r in hvg.order_statistics(told, "k", "v", "w").collect()) == [(1, own[0]), (7, own[6]), (41, own[40])]
+    every = [v for _, v in rows if v is not None and abs(v) < 1e100]
+    shares = [0.0, 0.13, 0.5, 0.77, 1.0]
+    assert hvg.quantiles(df.where("abs(v) < 1e100"), "v", shares) == pytest.approx(np.quantile(every, shares).tolist(), abs=1e-12)
+    plan = hvg.medians(df, "k", "v")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Percentile" not in plan
+
+
+def test_percentile_flavor(spark):
+    rng = np.random.default_rng(6)
+    dense = np.where(rng.random((30, 40)) < 0.4, 0.0, rng.gamma(2.0, 1.0 + np.arange(40) % 7, size=(30, 40)))
+    dense[:, 5], dense[:, 6] = 0, 3.0
+    data = container(spark, dense)
+    mean, var = dense.mean(axis=0), dense.var(axis=0, ddof=1)
+    mean[mean == 0] = 1e-12
+    disp = np.where(var == 0, np.nan, var / mean)
+    bins = np.searchsorted(np.unique(np.percentile(mean, [20, 40, 60, 80])), mean, side="left")
+    norm = np.full(40, np.nan)
+    for b in set(bins):
+        own = disp[bins == b]
+        center = np.nanmedian(own)
+        norm[bins == b] = (own - center) / (np.nanmedian(np.abs(own - center)) / 0.6744897501960817)
+    params = hvg.HVGParams(flavor=hvg.Flavor.CELL_RANGER, n_bins=5, min_mean=0.0, max_mean=9.0, max_dispersion=2.0)
+    rows = hvg.compute_highly_variable_genes(data, params).var.orderBy("var_id").collect()
+    assert [r["bin"] for r in rows] == bins.tolist()
+    assert [np.nan if r["dispersions_norm"] is None else r["dispersions_norm"] for r in rows] == pytest.approx(norm.tolist(), nan_ok=True, rel=1e-6)
+    assert [r["highly_variable"] for r in rows] == [bool(0 < m < 9 and 0.5 < n < 2) for m, n in zip(mean, norm)]
+    best = hvg.compute_highly_variable_genes(data, hvg.HVGParams(flavor=hvg.Flavor.CELL_RANGER, n_bins=5, n_top_genes=3, max_mean=99.0)).var.where("highly_variable").orderBy("var_id")
+    assert [r["var_id"] for r in best.collect()] == sorted(np.argsort(-np.nan_to_num(norm, nan=-9))[:3].tolist())
+    assert hvg.percentile(data, hvg.HVGParams(n_top_genes=0)).where("highly_variable").count() == 0
