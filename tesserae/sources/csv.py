@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +18,21 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", has_header: bool =
 
 
 def _records(text: str) -> Iterator[str]:
-    """Lines, with those joined that a line break within quotes parts."""
-    held = ""
-    for line in text.splitlines():
-        held = f"{held}\n{line}" if held else line
-        if held.count('"') % 2 == 0:
-            if held.strip():
-                yield held
-            held = ""
+    """Lines, which CR LF, LF or CR end; within quotes these are part of a record, as they are. Empty lines are none, and one of blanks is a field."""
+    held, inside = [], False
+    parts = re.split("(\r\n|\n|\r)", text)
+    for line, end in zip(parts[::2], [*parts[1::2], ""], strict=True):
+        held.append(line)
+        inside ^= line.count('"') % 2 == 1
+        if inside:
+            held.append(end)
+            continue
+        record = "".join(held)
+        if record:
+            yield record if record.strip() else f'"{record}"'
+        held = []
     if held:
-        yield held
+        yield "".join(held)
 
 
 def frame_from_csv_bytes(spark: SparkSession, data: bytes, sep: str = ",", has_header: bool = True) -> DataFrame:
@@ -34,4 +40,4 @@ def frame_from_csv_bytes(spark: SparkSession, data: bytes, sep: str = ",", has_h
     records = list(_records(data.decode("utf-8-sig")))
     if not records:
         raise ValueError("there is no line")
-    return spark.read.csv(spark.sparkContext.parallelize(records), **_options(sep, has_header))
+    return spark.read.csv(spark.sparkContext.parallelize(records), **_options(sep, has_header), multiLine=True)

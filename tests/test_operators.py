@@ -149,6 +149,8 @@ def test_hvg_bins_of_one_of_equals_and_ties(spark):
     third = sorted((w for w in want if w is not None), reverse=True)[2]
     assert [r["highly_variable"] for r in rows] == [w is not None and w >= third - 1e-9 for w in want]
     assert not any(column(hvg.seurat(data, hvg.HVGParams(n_top_genes=0)), "var_id", "highly_variable"))
+
+
 def plain_trend(x, y):
     n = len(x)
     s = (x - x.min()) / (x.max() - x.min())

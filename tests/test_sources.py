@@ -85,3 +85,11 @@ def test_panglaodb_in_one_call(spark, tmp_path):
     (folder / "panglaodb").write_text("\n".join(lines) + "\n")
     edges = panglaodb_network(spark, f"{tmp_path.as_uri()}/{{license}}/{{name}}", "Academic", "9606")
     assert sorted(tuple(r) for r in edges.collect()) == [("B", "G1", 1.0), ("T", "G3", 1.0)]
+
+
+def test_csv_bytes_are_cut_at_line_ends_only(spark):
+    text = 'a,b\r\nx\u2028y,1\nf\x0cg\x0bh\x85i,2\r"p\r\nq","3\n4"\r\n\n"r ""s"",\nt",5\n'
+    rows = frame_from_csv_bytes(spark, text.encode()).collect()
+    assert sorted(map(tuple, rows)) == sorted([("x\u2028y", "1"), ("f\x0cg\x0bh\x85i", "2"), ("p\r\nq", "3\n4"), ('r "s",\nt', "5")])
+    assert [r[0] for r in frame_from_csv_bytes(spark, b"a\nx\n  \n\ny").collect()] == ["x", "  ", "y"]
+    assert frame_from_csv_bytes(spark, b"a,b\n1,2\n3,4").dtypes == [("a", "int"), ("b", "int")]
