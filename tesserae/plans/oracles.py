@@ -212,6 +212,18 @@ _BH = "min(b.m * b.p / b.i)"
 _HARMONIC = "(select sum(1.0::double / c.i) from o c where c.family = a.family)"
 _PI0 = "least(1.0::double, (select count(*) from o c where c.family = a.family and c.p > 0.5) / (a.m * 0.5::double))"
 
+
+
+def _together(each: str, running: str, factor: str = "1.0::double") -> str:
+    """All tests as one family, put in order whole."""
+    return f"""with p as (select cast(p_partkey as bigint) as test, cast(p_partkey * 7919 % 1009 as double) / 1009.0::double as p from part),
+o as (select *, cast(row_number() over (order by p, test) as double) as i, cast(count(*) over () as double) as m from p),
+h as (select *, {running.replace('{}', each)} as best, (select sum(1.0::double / i) from o) as harmonic, (select count(*) from o where p > 0.5) as above from o)
+select test, round(p, 9) + 0.0::double as p, {r(f'least(1.0::double, best * {factor})', 'pval_adj', 9)} from h"""
+
+
+_FROM_END = "min({}) over (order by i desc rows between unbounded preceding and current row)"
+
 #: Squarings of a matrix, after which nothing but its first component is left, and components.
 _SQUARINGS, _COMPONENTS, _SPACE_COMPONENTS = 24, 10, 5
 _SQUARED = "list_transform(range(1, w + 1), lambda i: list_transform(range(1, w + 1), lambda j: list_inner_product(a[i], a[j])))"
@@ -354,6 +366,12 @@ select grp as "group", var_id, {r('case when a = 0 and b = 0 then 0 else log2(ex
     "correct_holm": _adjusted("max((b.m - b.i + 1) * b.p)").format(side=_BELOW),
     "correct_hochberg": _adjusted("min((b.m - b.i + 1) * b.p)").format(side=_ABOVE),
     "correct_storey": _adjusted(_BH, _PI0).format(side=_ABOVE),
+    "correct_bonferroni_split": _together("m * p", "{}"),
+    "correct_bh_split": _together("m * p / i", _FROM_END),
+    "correct_by_split": _together("m * p / i", _FROM_END, "harmonic"),
+    "correct_holm_split": _together("(m - i + 1) * p", "max({}) over (order by i rows between unbounded preceding and current row)"),
+    "correct_hochberg_split": _together("(m - i + 1) * p", _FROM_END),
+    "correct_storey_split": _together("m * p / i", _FROM_END, "least(1.0::double, above / (m * 0.5::double))"),
     "annotation_pivot": "select p_name as genesymbol, case when p_size > 5 then p_brand end as cell_type, '9606' as ncbi_tax_id from part where p_size <= 25",
     "network": "with p as (select distinct p_brand as source, p_name as target from part where p_brand is not null and p_name in (select p_name from part where p_size <= 25)) select source, target, 1.0::double as weight from p where source in (select source from p group by source having count(*) >= 2)",
 }

@@ -86,6 +86,16 @@ def _corrected(method: Correction) -> Query:
     return lambda spark, sf_dir: rounded(apply_correction(_p_values(spark, sf_dir), "family", "p", "test", method), 9)
 
 
+def _corrected_together(method: Correction) -> Query:
+    """All parts as one family."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tests = _p_values(spark, sf_dir).withColumn("family", F.lit("all"))
+        return rounded(apply_correction(tests, "family", "p", "test", method, split=True).select("test", "p", "pval_adj"), 9)
+
+    return run
+
+
 def _annotations(part: DataFrame) -> DataFrame:
     """Parts as annotated genes, a row for each label: all have a species, and those above a size a cell type too."""
     labels = F.map_from_arrays(F.array(F.lit("cell_type"), F.lit("ncbi_tax_id")), F.array(F.when(F.col("p_size") > 5, F.col("p_brand")), F.when(F.col("p_size") <= 25, "9606").otherwise("10090")))
@@ -248,6 +258,12 @@ QUERIES: dict[str, Query] = {
     "correct_holm": _corrected(Correction.HOLM),
     "correct_hochberg": _corrected(Correction.HOCHBERG),
     "correct_storey": _corrected(Correction.STOREY),
+    "correct_bonferroni_split": _corrected_together(Correction.BONFERRONI),
+    "correct_bh_split": _corrected_together(Correction.BENJAMINI_HOCHBERG),
+    "correct_by_split": _corrected_together(Correction.BENJAMINI_YEKUTIELI),
+    "correct_holm_split": _corrected_together(Correction.HOLM),
+    "correct_hochberg_split": _corrected_together(Correction.HOCHBERG),
+    "correct_storey_split": _corrected_together(Correction.STOREY),
     "pca_scores": _components(lambda found: found.scores, "obs_id", "score"),
     "pca_variance": _components(lambda found: found.variance),
     "pca_loadings": _components(lambda found: found.loadings, "var_id", "loading"),

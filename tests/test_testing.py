@@ -172,3 +172,19 @@ def test_large_groups_keep_the_normal_form(spark):
     assert not any(r["exact"] for r in rows)
     assert all(r["pval"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2))) for r in rows)
     assert all(r["exact"] for r in diffexp.mann_whitney_p(data, who, 104).collect())
+
+
+@pytest.mark.parametrize("method", list(Correction))
+def test_split_corrections_are_those_of_whole_families(spark, method):
+    rng = random.Random(9)
+    rows = [(g, i, rng.choice([0.0, 1.0, 1e-300, 0.05, rng.random(), rng.random() ** 9, None])) for i, g in enumerate(["a"] * 150 + ["b"] * 70 + [None] * 40 + ["c"])]
+    tests = spark.createDataFrame(rows, "g string, i long, p double").selectExpr("*", "0 as m", "'x' as band")
+    split = apply_correction(tests, "g", "p", "i", method, split=True)
+    whole = apply_correction(tests, "g", "p", "i", method)
+    assert split.columns == whole.columns
+    got, want = ({r["i"]: r["pval_adj"] for r in df.collect()} for df in (split, whole))
+    assert len(got) == len(rows) and got.keys() == want.keys()
+    assert all((got[i] is None) == (want[i] is None) and (want[i] is None or got[i] == pytest.approx(want[i], rel=1e-12)) for i in want)
+    windows = [line for line in split._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Window [" in line or line.startswith("Window [")]
+    # Over bands, or within one of them.
+    assert windows and all("band" in line or "held" in line or "above" in line for line in windows)
