@@ -185,6 +185,6 @@ def test_split_corrections_are_those_of_whole_families(spark, method):
     got, want = ({r["i"]: r["pval_adj"] for r in df.collect()} for df in (split, whole))
     assert len(got) == len(rows) and got.keys() == want.keys()
     assert all((got[i] is None) == (want[i] is None) and (want[i] is None or got[i] == pytest.approx(want[i], rel=1e-12)) for i in want)
-    windows = [line for line in split._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Window [" in line or line.startswith("Window [")]
-    # Over bands, or within one of them.
-    assert windows and all("band" in line or "held" in line or "above" in line for line in windows)
+    # Values are put in order within bands only.
+    windows = [line for line in split._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert windows and all("[p#" not in line or "band#" in line for line in windows)
