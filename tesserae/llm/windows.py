@@ -395,7 +395,7 @@ def remove_repeated_windows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     taken = list(whole.columns)
     if names is None:
         own = [free(taken, c) for c in ("doc", "spans", "copy")]
-        both = whole.join(of_doc.toDF(*own), F.col("doc_id").cast("long") == F.col(own[0]), "left")
+        both = whole.join(of_doc.toDF(*own).hint("merge"), F.col("doc_id").cast("long") == F.col(own[0]), "left")
     else:
         own = [free(taken, c) for c in ("id", "digest", "spans", "copy")]
         of_row = names.join(of_doc, "doc").select("id", "digest", "spans", "copy").toDF(*own)
