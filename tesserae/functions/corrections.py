@@ -72,10 +72,11 @@ def _adjusted(values: DataFrame, method: Correction, lam: float) -> DataFrame:
 
 
 def _split(tests: DataFrame, group: str, p: str, method: Correction, name: str, lam: float) -> DataFrame:
-    values = tests.where(F.col(p).isNotNull()).groupBy(F.col(group).alias("group"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    # A null group is one too: structs of null are equal.
+    values = tests.where(F.col(p).isNotNull()).groupBy(F.struct(F.col(group).alias("group")).alias("group"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     found = _adjusted(values, method, lam).toDF("__group", "__p", name)
     tests = tests.drop(name)
-    both = tests.join(found, tests[group].eqNullSafe(found["__group"]) & (tests[p] == found["__p"]), "left")
+    both = tests.join(found, (F.struct(tests[group].alias("group")) == found["__group"]) & (tests[p] == found["__p"]), "left")
     return both.drop("__group", "__p")
 
 
