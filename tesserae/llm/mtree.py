@@ -33,9 +33,12 @@ from tesserae.llm.scratch import Scratch
 K, SCALE, PAGE, FANOUT, SHARD, ASKED = 5, 256, 512, 16, 8192, 512
 #: Most pivots of a width, and most bytes of them.
 PIVOTS, PIVOT_BYTES = 4096, 1 << 24
-#: Slack of distances against rounding, relative to the largest one.
-SLACK = 1e-9
-EXACT = float(1 << 53)
+#: Slack of distances against rounding, relative to the largest one: where squared lengths are exact doubles, and where not.
+SLACK, WIDE_SLACK = 1e-9, 1e-6
+#: Integers below EXACT are exact doubles; components up to LARGEST have squares that are doubles.
+EXACT, LARGEST = float(1 << 53), 1e150
+#: What stands for scores that are beyond 64 bits.
+TOO_SMALL, TOO_LARGE = -(1 << 63), (1 << 63) - 1
 
 
 def usable(vector: Column) -> Column:
@@ -44,22 +47,41 @@ def usable(vector: Column) -> Column:
 
 
 def scaled(vectors: list[list[float]] | np.ndarray) -> np.ndarray:
-    """Components as floor(SCALE * x); ValueError where they are beyond exact doubles."""
+    """Components as floor(SCALE * x), which are integers however large; ValueError where their squares are beyond doubles."""
     x = np.array(vectors, dtype=np.float64)
     x = np.floor(SCALE * (x if x.ndim == 2 else x.reshape(len(vectors), -1)))
-    if x.size and np.abs(x).max() > EXACT:
-        raise ValueError("a component is too large for an exact integer score")
+    if x.size and np.abs(x).max() > LARGEST:
+        raise ValueError("a component is too large for distances in doubles")
     return x
 
 
-def products(x: np.ndarray, q: np.ndarray, largest: float | None = None) -> np.ndarray:
-    """Exact inner products of the rows of x with q; in doubles where these are exact. largest bounds the components of x."""
+def products(x: np.ndarray, q: np.ndarray, largest: float | None = None, strict: bool = True) -> np.ndarray:
+    """Exact inner products of the rows of x with q. largest bounds the components of x.
+
+    A sum whose terms have a total size below EXACT is exact in doubles, and one below 64 bits in integers; others are added up in
+    Python's integers, row by row. Those that don't fit in 64 bits are a ValueError, or where not strict TOO_SMALL or TOO_LARGE."""
     if not x.size:
         return np.zeros(len(x), np.int64)
-    bound = (np.abs(x).max() if largest is None else largest) * np.abs(q).max() * x.shape[1]
-    if bound >= float(1 << 62):
-        raise ValueError("an inner product is too large for 64 bits")
-    return (x @ q).astype(np.int64) if bound < EXACT else x.astype(np.int64) @ q.astype(np.int64)
+    if (np.abs(x).max() if largest is None else largest) * np.abs(q).max() * x.shape[1] < EXACT:
+        return (x @ q).astype(np.int64)
+    size = (np.abs(x) @ np.abs(q)) * (1 + 1e-15 * (x.shape[1] + 2))
+    out = np.zeros(len(x), np.int64)
+    doubles, longs = size < EXACT, (size >= EXACT) & (size < float(1 << 63))
+    out[doubles] = (x[doubles] @ q).astype(np.int64)
+    # A component beyond 64 bits meets a zero here, or its row's size were larger.
+    both = np.minimum(np.abs(x[longs]), 2.0**62) * np.sign(x[longs]), np.minimum(np.abs(q), 2.0**62) * np.sign(q)
+    out[longs] = both[0].astype(np.int64) @ both[1].astype(np.int64)
+    whole = [int(v) for v in q.tolist()]
+    for i in np.flatnonzero(~doubles & ~longs).tolist():
+        score = sum(int(a) * b for a, b in zip(x[i].tolist(), whole, strict=True))
+        if strict and not TOO_SMALL <= score <= TOO_LARGE:
+            raise ValueError("an inner product is too large for 64 bits")
+        out[i] = min(max(score, TOO_SMALL), TOO_LARGE)
+    return out
+
+
+def slack_of(longest: float) -> float:
+    return SLACK if longest < EXACT else WIDE_SLACK
 
 
 @dataclass
@@ -103,7 +125,7 @@ def build(x: np.ndarray, extra: np.ndarray, rows: np.ndarray, own: int) -> Node:
 
 def reach_of(length: float, longest: float, score: int) -> float:
     """The distance beyond which no vector has so large a score with a query of that squared length."""
-    return float(np.sqrt(max(length + longest - 2.0 * score, 0.0)) + SLACK * (1.0 + np.sqrt(length + longest)))
+    return float(np.sqrt(max(length + longest - 2.0 * score, 0.0)) + slack_of(longest) * (1.0 + np.sqrt(length + longest)))
 
 
 class Tree:
@@ -125,7 +147,7 @@ class Tree:
     def search(self, q: np.ndarray, own: int | None, k: int = K, bound: int | None = None) -> list[tuple[int, int]]:
         """The k largest scores of ids other than own, as score and id, ties by id; of scores below bound some or none."""
         length = float(q @ q)
-        slack = SLACK * (1.0 + np.sqrt(length + self.longest))
+        slack = slack_of(self.longest) * (1.0 + np.sqrt(length + self.longest))
         best: list[tuple[int, int]] = []
         limit = np.inf if bound is None else reach_of(length, self.longest, bound)
         to_root = float(_distances(self.x[:1], self.extra[:1], q, 0.0)[0])
@@ -139,7 +161,7 @@ class Tree:
             if page.rows is not None:
                 some = np.flatnonzero(reach <= limit)
                 self.computed += len(some)
-                scores = products(page.vectors if len(some) == len(reach) else page.vectors[some], q, self.largest)
+                scores = products(page.vectors if len(some) == len(reach) else page.vectors[some], q, self.largest, strict=False)
                 floor = best[0][0] if len(best) == k else bound
                 if floor is not None:
                     worth = scores >= floor
@@ -204,15 +226,31 @@ def _told(batch: pa.RecordBatch, of: Callable[[pa.RecordBatch, int], tuple[np.nd
         yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(np.full(len(row), w, np.int32)), *more.values()], ["vec_id", "vector", "width", *more])
 
 
+def _floored(x: Column) -> Column:
+    """floor(SCALE * x) as a double; doubles from EXACT on are integers."""
+    y = F.lit(SCALE) * x.cast("double")
+    return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+
 def upper_level(own: DataFrame) -> dict[int, Upper]:
-    """Pivots by width: those rows with the least hash, of at most PIVOT_BYTES."""
-    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.pow(F.floor(F.lit(SCALE) * x.cast("double")).cast("double"), 2))
+    """Pivots by width: those rows with the least hash, of at most PIVOT_BYTES. All widths are looked at in the same two jobs;
+    only rows whose hash is below a bound, some times as many as are wanted, are put in order."""
+    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.pow(_floored(x), 2))
     widths = own.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest")).collect()
-    upper = {}
+    if not widths:
+        return {}
+    bounds = []
     for r in widths:
         most = max(1, min(PIVOTS, PIVOT_BYTES // (8 * max(1, r["width"])), -(-r["n"] // SHARD)))
-        rows = own.where(F.size("vector") == r["width"]).orderBy(F.xxhash64("vec_id"), "vec_id").select("vector").limit(most).collect()
-        x = np.unique(scaled([v["vector"] for v in rows]), axis=0)
+        share = min(1.0, (4 * most + 64) / r["n"])
+        bounds.append((r["width"], most, min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))))
+    hashed = own.select("vec_id", "vector", F.size("vector").alias("width"), F.xxhash64("vec_id", "vector").alias("hash"))
+    near = hashed.join(own.sparkSession.createDataFrame(bounds, "width int, most int, bound long"), "width").where("hash <= bound")
+    place = F.row_number().over(Window.partitionBy("width").orderBy("hash", "vec_id"))
+    rows = near.withColumn("place", place).where("place <= most").select("width", "vector").collect()  # at most PIVOTS of a width
+    upper = {}
+    for r in widths:
+        x = np.unique(scaled([v["vector"] for v in rows if v["width"] == r["width"]]), axis=0)
         upper[r["width"]] = Upper(x, float(r["longest"]), np.zeros(len(x)), np.ones(len(x), np.int64))
     return upper
 
@@ -292,8 +330,8 @@ def largest_products(rows: DataFrame, is_query: Column, counted: Accumulator | N
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without a vec_id. Ties go to the
     smaller vec_id, and a query isn't its own candidate; vectors of another length than a query's aren't either. Other columns are not
-    looked at. Scores are 64-bit integers: a component whose floor is beyond exact doubles, and products that could be beyond
-    64 bits, are a ValueError that says so. counted takes the number of distances that were computed.
+    looked at. Scores are exact 64-bit integers: a score of the result that is beyond them is an error that says so, and so is a
+    component beyond LARGEST. counted takes the number of distances that were computed.
     """
     room = Scratch(rows.sparkSession, "mtree")
     own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -327,7 +365,9 @@ def largest_products(rows: DataFrame, is_query: Column, counted: Accumulator | N
     at_home = room.keep(best(found(queries.withColumn("least", F.lit(None).cast("long")), True)), "home")
     bound = at_home.where(F.col("rank") == K).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
     other = found(queries.join(bound, "vec_id", "left"), False)
-    return best(at_home.drop("rank").select("query_id", "vec_id", "score").union(other))
+    whole = best(at_home.drop("rank").select("query_id", "vec_id", "score").union(other))
+    beyond = F.raise_error(F.lit("an inner product is too large for 64 bits")).cast("long")
+    return whole.withColumn("score", F.when(F.col("score").isin(TOO_SMALL, TOO_LARGE), beyond).otherwise(F.col("score")))
 
 
 def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,37 @@ def test_products_too_large_are_an_error():
         mtree.products(np.array([[2.0**40]]), np.array([2.0**40]))
 
 
+def test_products_that_fit_are_exact_however_large():
+    rng = np.random.default_rng(7)
+    x = np.floor(rng.normal(size=(40, 3)) * 10.0 ** rng.integers(0, 11, size=(40, 3)))
+    x[0], x[1] = [2.0**70, 0, 5], [0, -(2.0**70), 5]
+    for q in ([0.0, 0.0, 3.0], [0.0, 7.0, 2.0**31], [12345678901.0, -(2.0**30), 1.0]):
+        want = [min(max(sum(int(a) * int(b) for a, b in zip(v, q)), mtree.TOO_SMALL), mtree.TOO_LARGE) for v in x.tolist()]
+        assert mtree.products(x, np.array(q), strict=False).tolist() == want
+
+
+def test_outliers_whose_scores_fit_are_no_error(spark):
+    x = [[2e7, 0.0], [0.0, 2e7], *([float(i % 10) - 4, float(i // 10)] for i in range(2, 102)), [-1e30, 0.0]]
+    rows = [(i, v, 0, "") for i, v in enumerate(x)]
+    got = answers(mtree.largest_products(table(spark, rows, "double"), F.expr("vec_id in (0, 1, 58, 99)")))
+    whole = [[int(np.floor(256 * c)) for c in v] for v in x]
+    for q in (0, 1, 58, 99):
+        scores = sorted(((sum(a * b for a, b in zip(v, whole[q])), -i) for i, v in enumerate(whole) if i != q), reverse=True)
+        assert got[q] == [(-i, s) for s, i in scores[:5]]
+    with pytest.raises(Exception, match="too large for 64 bits"):
+        mtree.largest_products(table(spark, [*rows, (200, [2e7, 0.0], 0, "")], "double"), F.expr("vec_id = 0")).collect()
+
+
+def test_pivots_of_a_whole_shard(spark):
+    x = vectors(20000, 0, 5, 8)
+    rows = [(i, v.tolist(), 0, "") for i, v in enumerate(x)]
+    assert len(mtree.upper_level(table(spark, rows).withColumnRenamed("embedding", "vector"))[8].x) == 3
+    got = answers(mtree.largest_products(table(spark, rows), F.expr("vec_id % 1000 = 0")))
+    scaled = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    for q in range(0, 20000, 1000):
+        assert got[q] == [(i, int(s)) for i, s in brute(np.arange(20000), scaled @ scaled[q], q)]
+
+
 @pytest.mark.parametrize("copies", [0, 700])
 def test_recall_and_scores(spark, copies):
     x = vectors(2000, copies, 1, 64)

@@ -191,6 +191,31 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(docs.where("false")).count() == 0
 
 
+def test_rows_without_an_id_and_of_one_id_are_spread(spark):
+    rows = [(None if i < 2000 else 7 if i < 4000 else i, "a b" if i % 2 else f"w{i} x", "s") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    groups = spark.createDataFrame([(7, 7)], "doc_id long, cluster long")
+    for given in (groups, None):
+        placed = packing.pack_documents(docs, shard=100, groups=given)
+        sizes = [r["count"] for r in placed.groupBy(F.shiftright("bin_id", 32)).count().collect()]
+        assert sum(sizes) == 8000 and max(sizes) < 200
+        assert placed.where("doc_id is null").count() == placed.where("doc_id = 7").count() == 2000
+    # Lots of more than one document, more of them than are written out at once, and none lost.
+    alike = spark.createDataFrame([(1, "s", 2, None, 3_000_001), (2, None, 2, "c", 1)], "key long, source string, n long, cluster string, copies long")
+    lots = packing.dealt(alike, 64 * 100, 500)
+    assert {r["key"]: r["sum(copies)"] for r in lots.groupBy("key").sum("copies").collect()} == {1: 3_000_001, 2: 1}
+    assert max(r["sum(copies)"] for r in lots.groupBy("shard").sum("copies").collect()) < 2 * 6000
+
+
+def test_near_copies_without_an_id_share_no_bin(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join([*words, f"end{i}"]), f"s{i}") for i in range(4)] + [(5, " ".join(words), "s9"), (None, "other words here", "s8")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    placed = packing.op7_packing(spark, str(tmp_path)).collect()
+    near = [r["bin_id"] for r in placed if r["n_words"] >= 60]
+    assert len(placed) == 6 and len(near) == len(set(near)) == 5
+
+
 def test_pairs(spark):
     turn = "array<struct<role: string, text: string>>"
     user, good, bad = ("user", "hi"), ("assistant", "yes"), ("assistant", "no")
