@@ -1,4 +1,4 @@
-"""Highly variable variables: dispersions within bins of the mean, or residuals of a smooth trend."""
+"""Highly variable variables: dispersions within bins of the mean, residuals of a smooth trend, or variances by a local regression."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.loess import batches, merged, normalized_variances, places
 from tesserae.operators.statistics import variance_of
 from tesserae.operators.trend import kernel_trend
 from tesserae.plans.data import Direction, ExprData
@@ -25,11 +26,12 @@ class Flavor(Enum):
     SEURAT = "seurat"
     SVR = "svr"
     CELL_RANGER = "cell_ranger"
+    LOESS = "loess"
 
 
 @dataclass(frozen=True)
 class HVGParams:
-    """span and batch_key are accepted and have no effect; max_dispersion bounds CELL_RANGER only."""
+    """span and batch_key are LOESS's, and other flavors don't look at them; max_dispersion bounds CELL_RANGER only."""
 
     min_mean: float = 0.0125
     max_mean: float = 3.0
@@ -222,8 +224,30 @@ def svr(data: ExprData, params: HVGParams) -> DataFrame:
     return rows.select("var_id", *(F.col(c).alias(n) for n, c in shown.items()), mark.alias("highly_variable"), F.col("standardized").alias("residuals_standardized"), F.col("trend").alias("mean_variance_trend"))
 
 
+def loess(data: ExprData, params: HVGParams) -> DataFrame:
+    """var_id, means, variances, variances_norm, highly_variable_rank, highly_variable_nbatches and highly_variable.
+
+    Each batch (a value of the column batch_key of obs; null takes no part) ranks its variables by their clipped variance in variances of a local
+    regression over span of them. With n_top_genes, those are chosen that are first by the median of their ranks among the n_top_genes of
+    a batch, then by the number of such batches, then by var_id; else those within the bounds of mean and with a variances_norm above min_dispersion."""
+    n_batches = batches(data, params.batch_key).select("batch").distinct().count()
+    found = merged(normalized_variances(data, params.span, params.batch_key), n_batches, params.n_top_genes, params.min_dispersion)
+    rows = moments(data).join(found, "var_id", "left")
+    norm, many = F.coalesce("variances_norm", F.lit(0.0)), F.coalesce("highly_variable_nbatches", F.lit(0)).cast("long")
+    rows = rows.withColumns({"variances_norm": norm, "highly_variable_nbatches": many})
+    if params.n_top_genes is not None:
+        # Medians are multiples of a half, so that one number has them and then the number of batches.
+        order = F.col("highly_variable_rank") * (2.0 * (n_batches + 1)) - F.col("highly_variable_nbatches")
+        rows = places(rows.withColumn("batch", F.lit("")), F.coalesce(order, F.lit(1e15)), "place")
+        mark = (F.col("place") < params.n_top_genes) & (F.col("highly_variable_nbatches") > 0)
+    else:
+        mark = (F.col("mean") > params.min_mean) & (F.col("mean") < params.max_mean) & (F.col("variances_norm") > params.min_dispersion)
+    told = ("variances_norm", "highly_variable_rank", "highly_variable_nbatches")
+    return rows.select("var_id", F.col("mean").alias("means"), F.col("variance").alias("variances"), *told, F.coalesce(mark, F.lit(False)).alias("highly_variable"))
+
+
 def compute_highly_variable_genes(data: ExprData, params: HVGParams | None = None) -> ExprData:
     """The container with the flavor's columns in its variables."""
     params = params or HVGParams()
-    found = {Flavor.SEURAT: seurat, Flavor.SVR: svr, Flavor.CELL_RANGER: percentile}[params.flavor](data, params)
+    found = {Flavor.SEURAT: seurat, Flavor.SVR: svr, Flavor.CELL_RANGER: percentile, Flavor.LOESS: loess}[params.flavor](data, params)
     return data.annotate(Direction.COLUMN, found)

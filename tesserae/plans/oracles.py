@@ -70,6 +70,34 @@ k as (select l.*, brand, case when means = hi then 4 else cast(floor((means - lo
 s as (select brand, bin, avg(disp) as am, stddev_samp(disp) as sd from k group by 1, 2)
 select var_id, {r('case when sd > 0 then coalesce((disp - am) / sd, 0) else 0 end', 'dispersions_norm')} from k join s using (brand, bin)"""
 
+def _loess(span: float, batch: str, hit: str, mark: str) -> str:
+    """All pairs of variables of a batch, and normal equations by determinants."""
+
+    def det(a: str, b: str, c: str) -> str:
+        (a0, a1, a2), (b0, b1, b2), (c0, c1, c2) = (v.split() for v in (a, b, c))
+        return f"({a0} * ({b1} * {c2} - {b2} * {c1}) - {b0} * ({a1} * {c2} - {a2} * {c1}) + {c0} * ({a1} * {b2} - {a2} * {b1}))"
+
+    sums = ", ".join([*(f"sum(w * u ** {k}) as m{k}" for k in range(5)), *(f"sum(w * u ** {k} * y) as t{k}" for k in range(3))])
+    fit = f"{det('t0 t1 t2', 'm1 m2 m3', 'm2 m3 m4')} / {det('m0 m1 m2', 'm1 m2 m3', 'm2 m3 m4')}"
+    return f"""with {BASE},
+e as materialized (select {batch} as batch, var_id, value from d),
+m as (select batch, var_id, count(*) as n, avg(value) as mean, var_samp(value) as variance from e group by 1, 2),
+p as materialized (select *, round(log10(mean), 9) as x, round(log10(variance), 9) as y from m where mean > 0 and variance > 1e-12 * mean * mean),
+k as (select batch, greatest(1, floor({span}::double * count(*) + 1e-5)) as near from p group by 1),
+g as materialized (select a.batch, a.var_id, near, b.x - a.x as off, b.y - a.y as y, row_number() over (partition by a.batch, a.var_id order by abs(b.x - a.x)) as rn from p a join p b on a.batch = b.batch join k on k.batch = a.batch),
+h as (select batch, var_id, max(abs(off)) as h from g where rn <= near group by 1, 2),
+w as (select g.batch, g.var_id, off / h as u, y, (1 - abs(off / h) ** 3) ** 3 as w from g join h on g.batch = h.batch and g.var_id = h.var_id where abs(off) < h),
+s as (select batch, var_id, count(distinct u) as kinds, {sums} from w group by 1, 2),
+lv as (select batch, var_id, avg(y) filter (off = 0) as level from g group by 1, 2),
+f as (select p.batch, p.var_id, n, mean, sqrt(10 ** (p.y + case when coalesce(kinds, 0) < 4 then level else {fit} end)) as sd from p join lv on lv.batch = p.batch and lv.var_id = p.var_id left join s on s.batch = p.batch and s.var_id = p.var_id),
+z as (select e.batch, e.var_id, sum((least(value, mean + sd * sqrt(n)) - mean) ** 2) / ((max(n) - 1) * max(sd) ** 2) as norm from e join f on e.batch = f.batch and e.var_id = f.var_id group by 1, 2),
+o as (select *, row_number() over (partition by batch order by round(norm, 9) desc, var_id) - 1 as place from z),
+a as (select var_id, sum(norm) / (select count(distinct batch) from e) as norm, count(*) filter ({hit}) as many, median(place) filter ({hit}) as rank from o group by 1),
+v as (select d.var_id, avg(value) as mean, var_samp(value) as variance from d group by 1),
+b as (select v.*, coalesce(norm, 0) as norm, coalesce(many, 0) as many, rank, row_number() over (order by rank nulls last, many desc, v.var_id) as best from v left join a on a.var_id = v.var_id)
+select var_id, {r('mean', 'means')}, {r('variance', 'variances')}, {r('norm', 'variances_norm')}, cast(many as bigint) as highly_variable_nbatches, {r('rank', 'highly_variable_rank')}, {mark} as highly_variable from b"""
+
+
 def _percentile(n_bins: int, within: str, mark: str) -> str:
     return f"""with {BASE},
 m as (select var_id, avg(value) as mean, var_samp(value) as var from d group by 1),
@@ -337,6 +365,8 @@ from o join d using (obs_id) join v using (var_id) where i < 100 and i % 3 = 0 g
     "hvg_dispatch": f"with q as ({_HVG} norm is not null and rank() over (order by round(norm, 9) desc nulls last) <= 50 as highly_variable from z) select q.*, p_name as var_name from q join part on p_partkey = var_id",
     "hvg_percentile": _percentile(20, "means > 0.3 and means < 6", "inside and norm > 0.5"),
     "hvg_percentile_topn": _percentile(7, "means > -1", "place <= 40"),
+    "hvg_loess": _loess(0.5, "''", "norm > 1", "mean > 0.0125 and mean < 100 and norm > 1"),
+    "hvg_loess_batches": _loess(0.3, "segment", "place < 60", "many > 0 and best <= 60"),
     "hvg_svr": _TREND,
     "pca_variance": _VARIANCE,
     "pca_scores": _SCORES,

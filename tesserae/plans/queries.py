@@ -236,6 +236,8 @@ QUERIES: dict[str, Query] = {
     "hvg_dispatch": _matrix(lambda d: hvg.compute_highly_variable_genes(d, hvg.HVGParams(n_top_genes=50)).var.select("var_id", "var_name", "means", "dispersions", "dispersions_norm", "highly_variable")),
     "hvg_percentile": _percentile(min_mean=0.3, max_mean=6.0),
     "hvg_percentile_topn": _percentile(n_bins=7, n_top_genes=40, min_mean=-1.0, max_mean=float("inf")),
+    "hvg_loess": _matrix(lambda d: hvg.loess(d, hvg.HVGParams(flavor=hvg.Flavor.LOESS, span=0.5, min_dispersion=1.0, max_mean=100.0))),
+    "hvg_loess_batches": _matrix(lambda d: hvg.loess(d, hvg.HVGParams(flavor=hvg.Flavor.LOESS, batch_key="segment", n_top_genes=60))),
     "hvg_svr": _matrix(lambda d: hvg.svr(d, hvg.HVGParams(n_top_genes=200, flavor=hvg.Flavor.SVR))),
     "de_group_sums": _matrix(lambda d: diffexp.group_sums(d, _groups(d))),
     "de_logfc": _matrix(lambda d: diffexp.log_fold_change(diffexp.group_sums(d, _groups(d))).select("group", "var_id", "logfoldchange"), logged),
