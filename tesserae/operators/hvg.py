@@ -9,7 +9,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.loess import batches, merged, normalized_variances, places
+from tesserae.operators.loess import batches, kept, merged, normalized_variances, places
 from tesserae.operators.statistics import variance_of
 from tesserae.operators.trend import kernel_trend
 from tesserae.plans.data import Direction, ExprData
@@ -232,14 +232,17 @@ def loess(data: ExprData, params: HVGParams) -> DataFrame:
     a batch, then by the number of such batches, then by var_id; else those within the bounds of mean and with a variances_norm above min_dispersion."""
     n_batches = batches(data, params.batch_key).select("batch").distinct().count()
     found = merged(normalized_variances(data, params.span, params.batch_key), n_batches, params.n_top_genes, params.min_dispersion)
+    if params.n_top_genes is not None:
+        # Medians are multiples of a half, so that one number has them and then the number of batches.
+        order = F.col("highly_variable_rank") * (2.0 * (n_batches + 1)) - F.col("highly_variable_nbatches")
+        found = kept(found.withColumn("batch", F.lit("")))
+        best = places(found.where("highly_variable_nbatches > 0"), order, "place").select("var_id", "place")
+        found = found.join(best, "var_id", "left")
     rows = moments(data).join(found, "var_id", "left")
     norm, many = F.coalesce("variances_norm", F.lit(0.0)), F.coalesce("highly_variable_nbatches", F.lit(0)).cast("long")
     rows = rows.withColumns({"variances_norm": norm, "highly_variable_nbatches": many})
     if params.n_top_genes is not None:
-        # Medians are multiples of a half, so that one number has them and then the number of batches.
-        order = F.col("highly_variable_rank") * (2.0 * (n_batches + 1)) - F.col("highly_variable_nbatches")
-        rows = places(rows.withColumn("batch", F.lit("")), F.coalesce(order, F.lit(1e15)), "place")
-        mark = (F.col("place") < params.n_top_genes) & (F.col("highly_variable_nbatches") > 0)
+        mark = F.col("place") < params.n_top_genes
     else:
         mark = (F.col("mean") > params.min_mean) & (F.col("mean") < params.max_mean) & (F.col("variances_norm") > params.min_dispersion)
     told = ("variances_norm", "highly_variable_rank", "highly_variable_nbatches")

@@ -1,4 +1,4 @@
-"""A local quadratic regression of ln variance on ln mean, within batches of observations, and variances measured by it.
+"""A local quadratic regression of log10 variance on log10 mean, within batches of observations, and variances measured by it.
 
 The span-th part of a batch's variables that are nearest in x weigh (1 - (d / h)^3)^3, h being the distance of the farthest of
 them. In order of x these are neighbours, so blocks of BLOCK variables are tasks, each with the halo of variables to both sides
@@ -24,6 +24,11 @@ LEAST_VARIANCE = 1e-12
 FITTED = "batch string, var_id long, n long, mean double, trend double"
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows at once, a few for each variable, in the shared folder of checkpoints where there is one and else with the executors."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+
+
 def batches(data: ExprData, batch_key: str | None) -> DataFrame:
     """obs_id and batch of the observations that have one; without a column's name all are one batch."""
     label = F.col(batch_key).cast("string") if batch_key else F.lit("")
@@ -102,8 +107,8 @@ def normalized_variances(data: ExprData, span: float, batch_key: str | None) ->
     """batch, var_id and norm: the variance of a variable's values in a batch, in variances of the regression at its mean, where
     values count up to sqrt(n) of its deviations above the mean.
 
-    Observations whose batch is null take no part. A variable without a positive mean and variance in a batch, or whose batch has one
-    observation, has no row of it."""
+    Observations whose batch is null take no part. Entries are read twice, for moments and for clipped variances. A variable without
+    a positive mean and variance in a batch, or whose batch has one observation, has no row of it."""
     if span <= 0:
         raise ValueError("span must be positive")
     own = batches(data, batch_key)
@@ -114,7 +119,7 @@ def normalized_variances(data: ExprData, span: float, batch_key: str | None) ->
     rows = rows.withColumn("variance", (F.col("q") - F.col("s") * F.col("mean")) / (F.col("n") - 1))
     rows = rows.where((F.col("mean") > 0) & (F.col("variance") > LEAST_VARIANCE * F.col("mean") * F.col("mean")))
     points = rows.select("batch", "var_id", "n", "mean", F.round(F.log10("mean"), PLACES).alias("x"), F.round(F.log10("variance"), PLACES).alias("y"))
-    told = fitted(points, span).withColumn("sd", F.sqrt(F.pow(F.lit(10.0), F.col("trend"))))
+    told = fitted(kept(points), span).withColumn("sd", F.sqrt(F.pow(F.lit(10.0), F.col("trend"))))
     told = told.withColumn("limit", F.col("mean") + F.col("sd") * F.sqrt(F.col("n")))
     off = F.least("value", "limit") - F.col("mean")
     keys = ["batch", "var_id"]
@@ -127,7 +132,7 @@ def normalized_variances(data: ExprData, span: float, batch_key: str | None) ->
 def merged(norms: DataFrame, n_batches: int, n_top: int | None, least: float) -> DataFrame:
     """var_id, variances_norm (its mean over all batches, 0 in those without a row), highly_variable_nbatches and highly_variable_rank: in how many batches
     the variable is among the n_top largest, or without n_top above least, and the median of its places there, from 0. Places are by norm to nine places and then var_id."""
-    ranked = places(norms, -F.round("norm", PLACES), "place")
+    ranked = places(kept(norms), -F.round("norm", PLACES), "place")
     hit = F.col("place") < n_top if n_top is not None else F.col("norm") > least
     found = ranked.groupBy("var_id").agg(F.sum("norm").alias("total"), F.count_if(hit).alias("highly_variable_nbatches"), F.median(F.when(hit, F.col("place"))).alias("highly_variable_rank"))
     return found.select("var_id", (F.col("total") / F.lit(float(max(1, n_batches)))).alias("variances_norm"), "highly_variable_nbatches", "highly_variable_rank")
