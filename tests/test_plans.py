@@ -8,6 +8,8 @@ from tesserae.plans.registry import queries
 
 #: Queries that have a Python part by design.
 PYTHON = {"de_pvalues", "rank_gene_groups", "rank_gene_groups_stored", "pca_scores", "pca_variance", "pca_loadings"}
+#: Those of this round: null distributions of U are counted, and local regressions are fitted, in tasks.
+PYTHON |= {"de_mannwhitney_exact", "de_mannwhitney_exact_reference", "rank_gene_groups_exact", "hvg_loess", "hvg_loess_batches"}
 
 
 def plan(df):
