@@ -8,7 +8,8 @@ probability of about 5e-4, and it falls steeply above.
 1. Documents of equal sets are one class from here on, so exact copies cost nothing more.
 2. Sub-keys are counted, pre-aggregated in each task; keys are formed of those that occur again only.
 3. In a bucket of a key, classes whose sketches agree in at least AGREE of SKETCH bytes (a link has less with a probability
-   of 1e-6) become a family: a spanning forest of them is emitted, never the pairs.
+   of 1e-6) become a family: a spanning forest of them is emitted, never the pairs. A bucket of over MEET classes is cut into
+   blocks, and each pair of blocks meets in a task of its own.
 4. The sets of a family meet in one task, which finds all links and emits each class's component. A family over BLOCK
    classes is cut into blocks, and each pair of blocks meets in a task of its own, which emits a spanning forest.
 5. Connected components by alternating stars, each round written to the shared folder.
@@ -37,7 +38,9 @@ BLOCK = 1024
 #: Rows of a sub-key beyond which a key's bucket is cut into blocks: so many at least, and so many of all classes, so that no
 #: more than 2 * SIDE * 1,000 sub-keys can be frequent, whatever the corpus.
 HOT, HOT_SHARE = 20_000, 1_000
-#: Text bytes hashed at once, classes of a part, and shingles whose families share a task.
+#: Classes of one key that are compared in one task; a key of more is cut into blocks of half as many.
+MEET = 20_000
+#: Text bytes hashed at once (a longer text is hashed in pieces of so many), classes of a part, and shingles whose families share a task.
 PIECE, PART_ROWS, TASK_SHINGLES = 1 << 20, 1 << 14, 1 << 19
 
 _RNG = np.random.default_rng(6)
@@ -59,45 +62,107 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles; the whole sequence's where it has fewer words; none without words."""
-    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+def _runs(word: np.ndarray) -> np.ndarray:
+    """The hash of each WORDS consecutive words."""
+    power = [np.uint64(x) for x in _powers(WORDS)]
+    n = len(word) - WORDS + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    runs = word[:n] * power[WORDS - 1]
+    for k in range(1, WORDS):
+        runs = runs + word[k : k + n] * power[WORDS - 1 - k]
+    return mixed(runs)
+
+
+def _sequence(word: np.ndarray) -> np.ndarray:
+    """The hash of a whole sequence of fewer words; none without words."""
+    if not len(word):
+        return word
+    total = (word * _powers(len(word))).sum(dtype=np.uint64)
+    return mixed(np.array([total], np.uint64) ^ np.uint64(len(word)))
+
+
+def _words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of lower-case bytes starts and ends, and the sum of its bytes' values by their places in it."""
     space = _SPACE[data]
-    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    cuts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    first = np.searchsorted(starts, cuts)
     if not len(starts):
-        return [np.zeros(0, np.uint64) for _ in texts]
+        return starts, ends, np.zeros(0, np.uint64)
     size = ends - starts
     place = np.arange(len(data))
     place[starts[0] :] -= np.repeat(starts, np.diff(np.concatenate([starts, [len(data)]])))
     value = _BYTES[data] * _powers(int(size.max()) + 1)[np.clip(place, 0, int(size.max()))]
     value[space] = 0
-    word = mixed(np.add.reduceat(value, starts) + size.astype(np.uint64))
-    power = [np.uint64(x) for x in _powers(WORDS)]
-    n = len(word) - WORDS + 1
-    runs = np.zeros(0, np.uint64)
-    if n > 0:
-        runs = word[:n] * power[4]
-        for k in range(1, WORDS):
-            runs = runs + word[k : k + n] * power[4 - k]
-        runs = mixed(runs)
-    found = []
-    for i, j in zip(first[:-1], first[1:], strict=True):
-        if j - i >= WORDS:
-            found.append(np.unique(runs[i : j - WORDS + 1]))
-        elif j > i:
-            total = (word[i:j] * _powers(j - i)).sum(dtype=np.uint64)
-            found.append(mixed(np.array([total], np.uint64) ^ np.uint64(j - i)))
-        else:
-            found.append(np.zeros(0, np.uint64))
-    return found
+    return starts, ends, np.add.reduceat(value, starts)
+
+
+def word_hashes(text: bytes) -> Iterator[np.ndarray]:
+    """Hashes of the words of a text by pieces of PIECE bytes. Of a word that goes on in the next piece its sum and size are kept, so it may be of any length."""
+    total, length = 0, 0
+    for at in range(0, len(text), PIECE):
+        data = _LOWER[np.frombuffer(text, np.uint8, min(PIECE, len(text) - at), at)]
+        starts, ends, sums = _words_of(data)
+        size = (ends - starts).astype(np.uint64)
+        if length and len(starts) and starts[0] == 0:
+            sums[:1] = sums[:1] * np.uint64(pow(_POWER, length, 1 << 64)) + np.uint64(total)
+            size[:1] += np.uint64(length)
+        elif length:
+            sums, size = np.concatenate([[np.uint64(total)], sums]), np.concatenate([[np.uint64(length)], size])
+        total, length = 0, 0
+        if len(starts) and ends[-1] == len(data) and at + len(data) < len(text):
+            total, length = int(sums[-1]), int(size[-1])
+            sums, size = sums[:-1], size[:-1]
+        yield mixed(sums + size)
+    if length:
+        yield mixed(np.array([total], np.uint64) + np.uint64(length))
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted and distinct, in place."""
+    hashes.sort()
+    kept = min(1, len(hashes))
+    for i in range(1, len(hashes), PIECE):
+        part = hashes[i : i + PIECE]
+        fresh = part[part != hashes[i - 1 : i - 1 + len(part)]]
+        hashes[kept : kept + len(fresh)] = fresh
+        kept += len(fresh)
+    return hashes[:kept]
+
+
+def long_set(text: bytes) -> np.ndarray:
+    """What shingle_sets gives for one text, in memory of 8 bytes for each word beside the text."""
+    n_words = sum(len(_words_of(np.frombuffer(text, np.uint8, min(PIECE, len(text) - at), at))[0]) for at in range(0, len(text), PIECE))
+    found, n, tail = np.empty(n_words, np.uint64), 0, np.zeros(0, np.uint64)
+    for words in word_hashes(text):
+        words = np.concatenate([tail, words])
+        runs = _runs(words)
+        found[n : n + len(runs)] = runs
+        n += len(runs)
+        tail = words[max(0, len(words) - WORDS + 1) :]
+    return _distinct(found[:n]) if n else _sequence(tail)
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; the whole sequence's where it has fewer words; none without words."""
+    if len(texts) == 1 and len(texts[0]) > PIECE:
+        return [long_set(texts[0])]
+    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+    starts, ends, sums = _words_of(data)
+    word = mixed(sums + (ends - starts).astype(np.uint64))
+    cuts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    first = np.searchsorted(starts, cuts)
+    runs = _runs(word)
+    return [np.unique(runs[i : j - WORDS + 1]) if j - i >= WORDS else _sequence(word[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
 
 
 def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Texts that are hashed at once: some PIECE bytes, and one over PIECE by itself."""
     begin, size = 0, 0
     for i, text in enumerate(texts):
+        if len(text) > PIECE and begin < i:
+            yield begin, i
+            begin, size = i, 0
         size += len(text)
         if size >= PIECE:
             yield begin, i + 1
@@ -108,7 +173,7 @@ def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def node_of(shingles: np.ndarray) -> bytes:
     """A digest of a set; equal sets are one class."""
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(np.ascontiguousarray(shingles).data, digest_size=16).digest()
 
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
@@ -249,15 +314,39 @@ def family_edges(h: np.ndarray, cid: np.ndarray, sketch: np.ndarray) -> np.ndarr
     return np.unique(found[found[:, 0] < found[:, 1]], axis=0)
 
 
-def families(members: DataFrame) -> DataFrame:
-    """Edges a < b of classes of one family."""
+def families(members: DataFrame, room: Scratch) -> DataFrame:
+    """Edges a < b of classes of one family.
+
+    A key of over MEET members isn't compared in its bucket's task: it goes on as blocks, each of which is copied to its pairs
+    with all blocks of the key, and those pairs are tasks of at most some MEET members."""
+
+    most = MEET
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        own = unpack(rows.column("data").to_pylist())
+        h, cid, sketch = own["h"], own["cid"], own["sketch"]
+        _, name, count = np.unique(h, return_inverse=True, return_counts=True)
+        large = count[name] > most
+        edges = family_edges(h[~large], cid[~large], sketch[~large])
+        solved = pa.table({"a": edges[:, 0], "b": edges[:, 1]}).cast(pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        blocks = []
+        for k in np.flatnonzero(count > most).tolist():
+            at, total = np.flatnonzero(name == k), int(-(-2 * count[k] // most))
+            block = (mixed(cid[at].astype(np.uint64)) % np.uint64(total)).astype(np.int64)
+            blocks += [{"h": int(h[at[0]].astype(np.int64)), "block": x, "total": total, "data": pack(**c)} for x, c in by_part(block, h=h[at], cid=cid[at], sketch=sketch[at])]
+        cut = pa.Table.from_pylist(blocks, pa.schema([("h", pa.int64()), ("block", pa.int32()), ("total", pa.int32()), ("data", pa.binary())]))
+        return pa.concat_tables([solved, cut], promote_options="default").select(["a", "b", "h", "block", "total", "data"])
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
         own = unpack(rows.column("data").to_pylist())
         edges = family_edges(own["h"], own["cid"], own["sketch"])
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
-    return members.groupBy("part").applyInArrow(run, "a long, b long")
+    found = room.keep(members.groupBy("part").applyInArrow(run, "a long, b long, h long, block int, total int, data binary"), "met")
+    edges, blocks = found.where("data is null").select("a", "b"), found.where("data is not null")
+    other = F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("other")
+    pairs = blocks.select("h", "block", other, "data").select("h", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "data")
+    return edges.union(pairs.groupBy("h", "x", "y").applyInArrow(meet, "a long, b long"))
 
 
 def components(edges: DataFrame, room: Scratch, name: str) -> DataFrame:
@@ -389,7 +478,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     told = unpack([bytes(r["data"]) for r in found.where(F.col("kind") == FREQUENT).select("data").collect()])  # at most 2 * SIDE * HOT_SHARE sub-keys
     frequent = dict(zip(told["h"].tolist(), told["count"].tolist(), strict=True)) if told else {}
     members = find_members(classes, found.where(F.col("kind") == REPEAT).select("part", "data"), n_parts, frequent, hot)
-    family = components(families(members), room, "families").withColumnsRenamed({"id": "cid", "component": "family"})
+    family = components(families(members, room), room, "families").withColumnsRenamed({"id": "cid", "component": "family"})
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     wanted = room.keep(family.join(sizes, "family").join(numbered.select("cid", "node", "doc_id", "print", "n"), "cid"), "wanted")
     n_tasks = max(1, -(-(wanted.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES))

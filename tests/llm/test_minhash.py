@@ -75,6 +75,67 @@ def test_one_group_cut_into_blocks(spark, monkeypatch):
     assert found(spark, docs) == brute(docs)
 
 
+def test_a_key_of_many_classes_is_cut(spark, monkeypatch):
+    """Keys over MEET go on as pairs of blocks, and give the same classes."""
+    monkeypatch.setattr(minhash, "MEET", 6)
+    monkeypatch.setattr(minhash, "HOT", 50)
+    docs = edited(9, 3, 150, 5) + EDGES
+    assert found(spark, docs) == brute(docs)
+
+
+def test_blocks_of_unlike_members_are_bounded(spark):
+    """100,000 classes of one key with unlike sketches, among which some are near: no task compares over MEET and some."""
+    import numpy as np
+
+    from tesserae.llm.blobs import blob_rows, pack
+    from tesserae.llm.scratch import Scratch
+
+    n = 100_000
+    sketch = np.random.default_rng(1).integers(0, 256, (n, minhash.SKETCH), dtype=np.uint8)
+    sketch[n - 1], sketch[n // 2] = sketch[0], sketch[1]
+    row = blob_rows([(0, 0, pack(h=np.full(n, 1 << 63, np.uint64), cid=np.arange(n), sketch=sketch))]).to_pandas()
+    rows = spark.createDataFrame([(0, 0, bytearray(row["data"][0]))], "part int, kind int, data binary")
+    room, sizes = Scratch(spark, "met"), []
+
+    class Spy:
+        def keep(self, rows, name):
+            kept = room.keep(rows, name)
+            sizes.extend(len(minhash.unpack([bytes(r["data"])])["cid"]) for r in kept.where("data is not null").collect())
+            return kept
+
+    minhash.families(rows, Spy())
+    assert sum(sizes) == n and max(sizes) < 0.6 * minhash.MEET
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 64])
+def test_sets_of_long_texts_equal_those_of_short_ones(monkeypatch, piece):
+    """A text over PIECE is hashed piece by piece; words and shingles across pieces are the same."""
+    rng = random.Random(piece)
+    texts = ["", " ", "a", "a b c d", "a b c d e", "  A b\tc d e  ", "x" * 300, "ab " * 90, " ".join("w" * rng.randint(1, 20) + str(rng.randint(0, 5)) for _ in range(80)), "é ñ " * 40]
+    whole = [minhash.shingle_sets([t.encode()])[0].tolist() for t in texts]
+    assert [len(w) for w in whole] == [len(shingles(t)) for t in texts]
+    assert [s.tolist() for s in minhash.shingle_sets([t.encode() for t in texts])] == whole
+    monkeypatch.setattr(minhash, "PIECE", piece)
+    assert [minhash.long_set(t.encode()).tolist() for t in texts] == whole
+    encoded = [t.encode() for t in texts]
+    cut = list(minhash._portions(encoded))
+    assert [i for i, _ in cut] == [0, *(j for _, j in cut[:-1])] and cut[-1][1] == len(texts)
+    assert all(j - i == 1 for i, j in cut if any(len(t) > piece for t in encoded[i:j]))
+
+
+@pytest.mark.parametrize("one_word", [True, False])
+def test_memory_of_a_very_long_text(one_word):
+    """20 MB of distinct words, or one word of 20 MB, take a few bytes for a byte beside the text."""
+    import tracemalloc
+
+    long = b"x" * 20_000_000 if one_word else b" ".join(b"word%d" % i for i in range(1_700_000))
+    tracemalloc.start()
+    minhash.minhashes(minhash.shingle_sets([long])[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+
+
 def test_whole_table(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows = minhash.op6_minhash(spark, sf_dir).collect()
