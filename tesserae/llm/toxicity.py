@@ -29,8 +29,8 @@ LEXICON, LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, STRONG = 400, 5, 0.005, 2.0, 4.0
 NEAR = 5
 #: Letters of a word's beginnings that count besides the word.
 STEMS = (5, 4)
-#: Tokens whose features a worker keeps.
-KEPT = 200_000
+#: Tokens whose features a worker keeps, and the most characters of one; characters of a text that are looked at in one piece.
+KEPT, KEPT_LENGTH, PIECE = 200_000, 64, 1 << 18
 
 #: Second-person words of the corpus's languages.
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos usted ustedes ti tus vosotros".split())
@@ -46,6 +46,7 @@ FEATURES = (
 )
 
 
+_BLANK = re.compile(r"\s")
 _STRETCHED, _TRIPLE, _MARKS = re.compile(r"(.)\1\1"), re.compile(r"(.)\1{2,}"), re.compile(r"[\W_]")
 
 
@@ -63,6 +64,65 @@ def forms(key: str) -> list[str]:
     return [key, *(f"^{key[:n]}" for n in STEMS if len(key) > n)]
 
 
+def pieces(text: str) -> Iterator[list[str]]:
+    """The tokens of a text, some PIECE characters of it at a time; none of them is empty, and no token is cut."""
+    at = 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + PIECE)
+        end = cut.start() if cut else len(text)
+        tokens = text[at:end].split()
+        if tokens:
+            yield tokens
+        at = end
+
+
+class Nearness:
+    """Lexicon words that stand at most NEAR tokens from a second person, and 1 / (1 + the least distance), over pieces of a text."""
+
+    def __init__(self) -> None:
+        self.count, self.gap = 0, np.inf
+        self.hits, self.told, self.persons = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+
+    @property
+    def nearest(self) -> float:
+        return 1.0 / (1.0 + self.gap)
+
+    def add(self, hits: np.ndarray, persons: np.ndarray, end: int) -> None:
+        """Places in the next piece. Of those before only the last person matters, the last hit, and hits that a person just ahead would be near to."""
+        hits, told = np.concatenate([self.hits, hits]), np.concatenate([self.told, np.zeros(len(hits), bool)])
+        persons = np.concatenate([self.persons, persons])
+        if len(hits) and len(persons):
+            j = np.searchsorted(persons, hits)
+            gap = np.minimum(np.abs(hits - persons[np.maximum(j - 1, 0)]), np.abs(persons[np.minimum(j, len(persons) - 1)] - hits))
+            self.count += int(((gap <= NEAR) & ~told).sum())
+            self.gap = min(self.gap, int(gap.min()))
+            told = told | (gap <= NEAR)
+        late = hits >= end - NEAR
+        late[-1:] = True
+        self.hits, self.told, self.persons = hits[late], told[late], persons[-1:]
+
+
+class Spaced:
+    """Runs of single letters that spell a lexicon word, over pieces of a text. Of a run only its end is kept."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words, self.longest = words, max(map(len, words), default=1)
+        self.found, self.tail, self.told = 0, "", False
+
+    def add(self, single: np.ndarray, tokens: list[str]) -> None:
+        flags = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
+        ends = np.flatnonzero(flags == -1)
+        for i, j in zip(np.flatnonzero(flags == 1), ends, strict=True):
+            if i > 0:
+                self.tail, self.told = "", False
+            text = self.tail + "".join(word(t) for t in tokens[i:j])
+            if not self.told and len(text) >= 3 and any(w in text for w in self.words):
+                self.found, self.told = self.found + 1, True
+            self.tail = text[-self.longest :]
+        if not len(ends) or ends[-1] < len(tokens):
+            self.tail, self.told = "", False
+
+
 class Extractor:
     """Features of texts under one lexicon of word weights."""
 
@@ -98,55 +158,41 @@ class Extractor:
         ]
 
     def add(self, token: str) -> int:
+        """The token's row of the table; one of over KEPT_LENGTH characters isn't kept for the next text."""
         if len(self.at) >= KEPT:
             self.at.clear()
         i = len(self.at)
         if i == len(self.table):
             self.table = np.vstack([self.table, np.zeros_like(self.table)])
         self.table[i] = self.row(token)
-        self.at[token] = i
+        self.at[token if len(token) <= KEPT_LENGTH else i] = i
         return i
 
-    def spaced(self, single: np.ndarray, tokens: list[str]) -> int:
-        """Lexicon words that are written letter by letter."""
-        flags = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
-        found = 0
-        for i, j in zip(np.flatnonzero(flags == 1), np.flatnonzero(flags == -1), strict=True):
-            if j - i >= 3:
-                text = "".join(word(t) for t in tokens[i:j])
-                found += any(w in text for w in self.words)
-        return found
-
     def features(self, text: str | None) -> list[float]:
-        """The FEATURES of a whole text; zeros for null and for a text without words."""
-        tokens = (text or "").split()
-        n = len(tokens)
+        """The FEATURES of a whole text, added up by pieces of it; zeros for null and for a text without words."""
+        n, most, total = 0, 0.0, np.zeros(len(PER_TOKEN))
+        kinds: set[int] = set()
+        near, spaced = Nearness(), Spaced(self.words)
+        for tokens in pieces(text or ""):
+            if len(self.at) + len(tokens) > KEPT:
+                self.at.clear()
+            at = self.at
+            where = [at[t] if t in at else self.add(t) for t in tokens]  # may grow the table
+            each = self.table[where]
+            total += each.sum(axis=0)
+            most = max(most, each[:, 0].max())
+            near.add(n + np.flatnonzero(each[:, 0] > 0), n + np.flatnonzero(each[:, 4] > 0), n + len(tokens))
+            spaced.add(each[:, 10] > 0, tokens)
+            kinds.update(hash(plain_letters(tokens[i])) for i in np.flatnonzero(each[:, 2] > 0))
+            n += len(tokens)
         if not n:
             return [0.0] * len(FEATURES)
-        if len(self.at) + n > KEPT:
-            self.at.clear()
-        at, rows = self.at, []
-        for block in range(0, n, KEPT):
-            if block:
-                at.clear()
-            part = tokens[block : block + KEPT]
-            where = [at[t] if t in at else self.add(t) for t in part]
-            rows.append(self.table[where])
-        each = rows[0] if len(rows) == 1 else np.concatenate(rows)
-        total = dict(zip(PER_TOKEN, each.sum(axis=0), strict=True))
-        hits, persons = np.flatnonzero(each[:, 0] > 0), np.flatnonzero(each[:, 4] > 0)
-        near, nearest = 0, 0.0
-        if len(hits) and len(persons):
-            j = np.searchsorted(persons, hits)
-            gap = np.minimum(np.abs(hits - persons[np.maximum(j - 1, 0)]), np.abs(persons[np.minimum(j, len(persons) - 1)] - hits))
-            near, nearest = int((gap <= NEAR).sum()), 1.0 / (1.0 + gap.min())
-        strong = np.flatnonzero(each[:, 2] > 0)
-        spaced = self.spaced(each[:, 10] > 0, tokens) if total["single"] >= 3 else 0
-        letters = max(1.0, total["letters"])
+        sums = dict(zip(PER_TOKEN, total, strict=True))
+        letters = max(1.0, sums["letters"])
         return [
-            np.log1p(n), total["weight"] / n, total["weight"], total["lexicon"] / n, total["lexicon"], total["strong"] / n, total["strong"], len({plain_letters(tokens[i]) for i in strong}), total["hidden"] / n, total["hidden"], spaced,
-            total["second"] / n, near, near / n, nearest, total["upper"] / letters, total["all_caps"] / n, total["mixed"] / n, total["stretched"] / n, total["single"] / n,
-            total["exclaim"] / n, total["question"] / n, total["stars"] / n, total["marks"] / n, letters / n, each[:, 0].max(),
+            np.log1p(n), sums["weight"] / n, sums["weight"], sums["lexicon"] / n, sums["lexicon"], sums["strong"] / n, sums["strong"], len(kinds), sums["hidden"] / n, sums["hidden"], spaced.found,
+            sums["second"] / n, near.count, near.count / n, near.nearest, sums["upper"] / letters, sums["all_caps"] / n, sums["mixed"] / n, sums["stretched"] / n, sums["single"] / n,
+            sums["exclaim"] / n, sums["question"] / n, sums["stars"] / n, sums["marks"] / n, letters / n, most,
         ]
 
 
@@ -259,7 +305,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in map(word, set((text or "").split())) if 2 < len(w) <= 40 and w not in SECOND_PERSON}
+                words = {w for tokens in pieces(text or "") for w in map(word, set(tokens)) if 2 < len(w) <= 40 and w not in SECOND_PERSON}
                 seen[int(toxic > 0)].update({form for w in words for form in forms(w)})
                 if len(seen[0]) + len(seen[1]) > KEPT:
                     yield told(seen)

@@ -2,6 +2,8 @@
 
 import gzip
 import io
+import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,78 @@ def test_features_see_hidden_words():
     assert at("IDIOT!!", "all_caps_rate") == 1 and at("IDIOT!!", "exclaim_rate") == 2
 
 
+def plain_features(text, lexicon):
+    """What FEATURES say, token by token over the whole text."""
+    tokens = text.split()
+    n = len(tokens)
+    rows = [toxicity.Extractor(lexicon).row(t) for t in tokens]
+    named = {name: [r[i] for r in rows] for i, name in enumerate(toxicity.PER_TOKEN)}
+    hits, persons = ([i for i, v in enumerate(named[k]) if v > 0] for k in ("weight", "second"))
+    gaps = [min(abs(h - p) for p in persons) for h in hits] if persons else []
+    near = sum(g <= toxicity.NEAR for g in gaps)
+    kinds = {toxicity.plain_letters(t) for t, v in zip(tokens, named["strong"], strict=True) if v}
+    runs = "".join(toxicity.word(t) if v else " " for t, v in zip(tokens, named["single"], strict=True)).split()
+    spaced = sum(any(w in run for w in lexicon if len(w) >= 3 and w[0] != "^") for run in runs)
+    total = {k: sum(v) for k, v in named.items()}
+    letters = max(1.0, total["letters"])
+    by_word = {
+        "weight_rate": "weight", "lexicon_rate": "lexicon", "strong_rate": "strong", "hidden_rate": "hidden", "second_rate": "second", "all_caps_rate": "all_caps", "mixed_rate": "mixed",
+        "stretched_rate": "stretched", "single_rate": "single", "exclaim_rate": "exclaim", "question_rate": "question", "star_rate": "stars", "mark_rate": "marks",
+    }
+    out = {k: total[v] / n for k, v in by_word.items()}
+    out |= {"log_words": np.log1p(n), "weight_sum": total["weight"], "lexicon_count": total["lexicon"], "strong_count": total["strong"], "strong_kinds": len(kinds), "hidden_count": total["hidden"], "spaced_count": spaced}
+    out |= {"near_count": near, "near_rate": near / n, "nearest": 1 / (1 + min(gaps)) if gaps else 0, "upper_rate": total["upper"] / letters, "mean_word": letters / n, "max_weight": max(named["weight"])}
+    return [out[k] for k in toxicity.FEATURES]
+
+
+@pytest.mark.parametrize("piece", [1, 3, 40, 1 << 18])
+def test_features_of_pieces_equal_a_plain_version(monkeypatch, piece):
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    monkeypatch.setattr(toxicity, "KEPT", max(50, piece))
+    lexicon = {"idiot": 8.0, "fool": 3.0, "^stupi": 5.0}
+    some = ["idiot", "fool", "stupid", "stupidly", "1d10t", "you", "your", "i", "d", "o", "t", "a", "word", "WORD!!", "what?", "s***", "x" * 200, "hellooo", "and", "so", "on", "\u00a0", "\u2003"]
+    rng = random.Random(piece)
+    tool = toxicity.Extractor(lexicon)
+    for weights in ([1] * len(some), [1 if t in ("idiot", "you", "1d10t") else 12 for t in some], [9 if len(t) == 1 else 1 for t in some]):
+        for size in (1, 2, 30, 400):
+            text = "".join(t + rng.choice([" ", "  ", "\n", "\t\n ", "\x1c"]) for t in [*rng.choices(some, weights, k=size), "end"])
+            assert np.allclose(tool.features(text), plain_features(text, lexicon), rtol=1e-12)
+    assert tool.features("you i d i " + "o t " * 3 + "x " * 40 + "i d i o t")[toxicity.FEATURES.index("spaced_count")] == 1
+    assert tool.features(" \n ") == [0.0] * len(toxicity.FEATURES)
+
+
+def test_memory_of_a_very_long_text():
+    """Features are added up by pieces; what is kept of a text doesn't grow with it, of whatever tokens it is."""
+    tool = toxicity.Extractor({"idiot": 8.0})
+    peaks = []
+    for text in ("some words you idiot a b " * 40_000, "some words you idiot a b " * 160_000, " ".join(f"w{i}" for i in range(500_000))):
+        tracemalloc.start()
+        tool.features(text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] and max(peaks) < 120_000_000
+    assert not any(isinstance(t, str) and len(t) > toxicity.KEPT_LENGTH for t in tool.at)
+
+
+def test_a_split_is_the_best_of_all_limits():
+    """The first split of a tree of one level has the largest gain among all features and bin edges."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(400, 3)), 1)
+    y = (x[:, 1] + 0.8 * rng.normal(size=400) > 0.4).astype(float)
+    tree = toxicity.fit_trees(x, y, n_trees=1, depth=1)
+    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    g, h = y - p, np.full(400, p * (1 - p))
+
+    def gain(j, limit):
+        right = x[:, j] > limit
+        if right.sum() < 8 or (~right).sum() < 8:
+            return 0.0
+        return sum(g[s].sum() ** 2 / (h[s].sum() + 1.0) for s in (right, ~right)) - g.sum() ** 2 / (h.sum() + 1.0)
+
+    best = max(gain(j, limit) for j in range(3) for limit in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])))
+    assert np.isclose(gain(tree.feature[0, 0], tree.limit[0, 0]), best)
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
