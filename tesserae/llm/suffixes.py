@@ -45,8 +45,8 @@ SHARE = 2048
 FLUSH, PIECE, STEP = 1 << 20, 1 << 19, 1 << 14
 #: One in so many anchors is a sample for splitters, and fewer where that would be over SAMPLES.
 SAMPLED, SAMPLES = 4096, 1_000_000
-#: Leading bytes of splitters.
-LEAD = 16
+#: Leading bytes of splitters: those that equal strings share at their anchor, so that only one repeated string can't be cut.
+LEAD = GRAM
 SPANS = "array<struct<start: long, end: long>>"
 
 _RNG = np.random.default_rng(20)
@@ -179,11 +179,15 @@ def _strings(rows: np.ndarray) -> np.ndarray:
 
 
 def splitters(leads: np.ndarray, n: int) -> np.ndarray:
-    """n - 1 leading strings that cut a sample evenly; fewer where strings repeat."""
+    """n - 1 leading strings that cut a sample evenly; fewer where strings repeat. One string counts for one bucket at most, as
+    a sample has all or none of its places."""
     if not len(leads):
         return np.zeros(0, f"S{LEAD}")
-    ordered = np.sort(_strings(leads))
-    return np.unique(ordered[(np.arange(1, n) * len(ordered)) // n])
+    names, count = np.unique(_strings(leads), return_counts=True)
+    while count.max() > max(1, count.sum() // n):
+        count = np.minimum(count, max(1, count.sum() // n))
+    upto = np.cumsum(count)
+    return np.unique(names[np.searchsorted(upto, upto[-1] * np.arange(1, n) // n, side="right")])
 
 
 def surroundings(texts: dict[int, bytes], doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:

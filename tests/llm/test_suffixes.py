@@ -92,3 +92,16 @@ def test_anchors_depend_on_their_string_only():
     for i in range(0, 301, 7):
         own, _ = suffixes.anchors(text[i : i + suffixes.LENGTH], [(0, suffixes.LENGTH)])
         assert len(own) == 1 and i + int(own[0]) in where
+
+
+@pytest.mark.parametrize("kind", ["start", "string"])
+def test_splitters_cut_common_starts(kind):
+    """Where 90 % of a sample have one start of 16 bytes, or are one string, the others are spread evenly all the same."""
+    rng, n = np.random.default_rng(4), 64
+    leads = rng.integers(97, 123, (10_000, suffixes.LEAD), dtype=np.uint8)
+    leads[:9_000, : 16 if kind == "start" else suffixes.LEAD] = ord("-")
+    cuts = suffixes.splitters(leads, n)
+    rest = leads if kind == "start" else leads[9_000:]
+    share = np.bincount(np.searchsorted(cuts, suffixes._strings(rest), side="right"), minlength=n) / len(rest)
+    assert len(cuts) >= 0.9 * (n - 1) and share.max() < 0.05
+    assert len(suffixes.splitters(leads[:0], n)) == 0 and len(suffixes.splitters(leads[:1], 1)) == 0
