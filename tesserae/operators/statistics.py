@@ -59,7 +59,7 @@ def min_max(data: ExprData, direction: Direction) -> DataFrame:
     n = data.length(direction.other)
     found = data.x.groupBy(direction.key).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("stored"))
     full = F.coalesce("stored", F.lit(0)) >= n
-    low, high = (F.when(full, c).otherwise(F.coalesce(f(F.col(c), F.lit(0.0)), F.lit(0.0))) for f, c in ((F.least, "low"), (F.greatest, "high")))
+    low, high = (F.when(full, F.col(c)).otherwise(F.coalesce(f(F.col(c), F.lit(0.0)), F.lit(0.0))) for f, c in ((F.least, "low"), (F.greatest, "high")))
     return _filled(data, direction, found, [low.alias("min"), high.alias("max")])
 
 

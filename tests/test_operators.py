@@ -309,3 +309,10 @@ def test_percentile_flavor(spark):
     best = hvg.compute_highly_variable_genes(data, hvg.HVGParams(flavor=hvg.Flavor.CELL_RANGER, n_bins=5, n_top_genes=3, max_mean=99.0)).var.where("highly_variable").orderBy("var_id")
     assert [r["var_id"] for r in best.collect()] == sorted(np.argsort(-np.nan_to_num(norm, nan=-9))[:3].tolist())
     assert hvg.percentile(data, hvg.HVGParams(n_top_genes=0)).where("highly_variable").count() == 0
+
+
+def test_extremes_of_rows_that_are_full(spark):
+    """Where every entry is stored no zero counts; elsewhere one does."""
+    data = container(spark, [[3.0, 2.0], [-1.0, -4.0], [5.0, 0.0], [-6.0, 0.0]])
+    got = {r["obs_id"]: (r["min"], r["max"]) for r in statistics.min_max(data, Direction.ROW).collect()}
+    assert got == {0: (2.0, 3.0), 1: (-4.0, -1.0), 2: (0.0, 5.0), 3: (-6.0, 0.0)}
