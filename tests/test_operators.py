@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import diffexp, filtering, hvg, pca, qc, selection, statistics, subspace, transform, trend
 from tesserae.plans.data import Direction, ExprData, with_index
+from tesserae.plans.queries import _row_sums
 from tests.fixtures import container, three_groups
 
 ROW, COLUMN = Direction.ROW, Direction.COLUMN
@@ -316,3 +317,18 @@ def test_extremes_of_rows_that_are_full(spark):
     data = container(spark, [[3.0, 2.0], [-1.0, -4.0], [5.0, 0.0], [-6.0, 0.0]])
     got = {r["obs_id"]: (r["min"], r["max"]) for r in statistics.min_max(data, Direction.ROW).collect()}
     assert got == {0: (2.0, 3.0), 1: (-4.0, -1.0), 2: (0.0, 5.0), 3: (-6.0, 0.0)}
+
+
+def test_dense_rows_in_pieces_and_of_many_variables(spark):
+    data = container(spark, SPARSE)
+    for width in (1, 2, 5, 1 << 14):
+        rows = [[] for _ in SPARSE]
+        for r in selection.dense_pieces(data, width).orderBy("obs_id", "start").collect():
+            assert len(rows[r["obs_id"]]) == r["start"] and len(r["row"]) <= width
+            rows[r["obs_id"]] += r["row"]
+        assert rows == SPARSE.tolist()
+    none = container(spark, SPARSE).with_(var=data.var.limit(0), x=data.x.limit(0))
+    assert selection.dense_pieces(none).count() == 0
+    wide = data.with_(obs=data.obs.limit(1), var=spark.range(300_000).select(F.col("id").alias("var_id")), x=spark.createDataFrame([(0, 299_999, 2.0), (0, 7, 1.0)], "obs_id long, var_id long, value double"))
+    got = _row_sums(selection.dense_pieces(wide)).collect()
+    assert [tuple(r) for r in got] == [(0, 300_000, 3.0, 600_008.0, 7 * 7919 % 1009 + 2.0 * (299_999 * 7919 % 1009))]
