@@ -121,3 +121,19 @@ def test_variables_of_the_same_mean_are_fitted_once(spark, monkeypatch):
     got = {r["var_id"]: r["trend"] for r in loess.fitted(points_of(spark, [""] * len(x), x, y), 0.5).collect()}
     assert [got[i] for i in range(len(x))] == pytest.approx(plain_fit(x, y, 0.5).tolist(), abs=1e-8)
     assert 0 < sent.value <= 30 * 4
+
+
+def test_a_value_goes_to_few_blocks_of_its_batch(spark, monkeypatch):
+    """With more values than BLOCKS blocks of BLOCK hold, blocks are longer, each batch by itself."""
+    sent, fitted = spark.sparkContext.accumulator(0), loess.local_fits
+    monkeypatch.setattr(loess, "local_fits", lambda x, *more: (sent.add(len(x)), fitted(x, *more))[1])
+    monkeypatch.setattr(loess, "BLOCK", 4)
+    monkeypatch.setattr(loess, "BLOCKS", 5, raising=False)
+    rng = np.random.default_rng(9)
+    x, names = np.round(rng.normal(size=400), 9), np.array(["ab"[i % 5 == 0] for i in range(400)])
+    y = x**2 + 0.1 * rng.normal(size=len(x))
+    got = {r["var_id"]: r["trend"] for r in loess.fitted(points_of(spark, names.tolist(), x, y), 0.3).collect()}
+    for batch in "ab":
+        own = np.flatnonzero(names == batch)
+        assert [got[i] for i in own.tolist()] == pytest.approx(plain_fit(x[own], y[own], 0.3).tolist(), abs=1e-8)
+    assert 0 < sent.value <= 400 * 5
