@@ -153,9 +153,9 @@ def percentile(data: ExprData, params: HVGParams) -> DataFrame:
     deviations (times MAD_SCALE).
 
     Means and dispersions are those of the values themselves, without logarithms. A mean of zero counts as LEAST_MEAN, and a dispersion of zero as none. A bin
-    whose median deviation is zero gives null, which is never chosen. With n_top_genes, variables not below the n-th largest distance are chosen, of those within the bounds
+    whose median deviation is zero gives null, which is never chosen. The moments, a row for each variable, are kept, so that entries are read once. With n_top_genes, variables not below the n-th largest distance are chosen, of those within the bounds
     of mean; else those within the bounds of mean and dispersion, ends excluded."""
-    rows = moments(data)
+    rows = kept(moments(data))
     mean = F.when(F.col("mean") == 0, LEAST_MEAN).otherwise(F.col("mean"))
     ratio = F.col("variance") / mean
     rows = rows.select("var_id", mean.alias("means"), F.when(ratio != 0, ratio).alias("dispersions"))

@@ -354,3 +354,13 @@ def test_few_observations_are_a_basis(spark, monkeypatch, center):
         assert [r["ratio"] for r in lines] == pytest.approx((s[:3] ** 2 / (s**2).sum()).tolist(), rel=1e-9)
         assert np.array(column(found.loadings, "var_id", "loading")) == pytest.approx(vt.T, abs=1e-6)
         assert np.array(column(found.scores, "obs_id", "score")) == pytest.approx(moved @ vt.T.copy(), abs=1e-5)
+
+
+@pytest.mark.parametrize("n_top", [None, 3])
+def test_percentile_flavor_reads_entries_once(spark, n_top):
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda v: (read.add(1), v)[1], "double").asNondeterministic()
+    data = container(spark, np.random.default_rng(7).gamma(2.0, 1.0, size=(6, 20)))
+    data = data.with_(x=data.x.withColumn("value", seen("value")))
+    assert hvg.percentile(data, hvg.HVGParams(n_bins=3, n_top_genes=n_top, max_mean=99.0)).count() == 20
+    assert read.value == 120
