@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.corrections import Correction, apply_correction
 from tesserae.functions.special import exact_rank_p, normal_p, student_p
-from tesserae.plans.data import ExprData
+from tesserae.plans.data import Direction, ExprData
 
 
 class TestMethod(Enum):
@@ -30,6 +30,8 @@ class TestMethod(Enum):
 REST = "rest"
 #: More than eight times the largest binary exponent of a double.
 BANDS = 10_000
+#: Variables whose ranks one task finds.
+VARIABLES = 1 << 11
 #: Pairs of observations, one of a group and one of what it is compared with, up to which Mann-Whitney's p is counted out.
 EXACT_PAIRS = 400
 
@@ -128,9 +130,13 @@ def t_statistics(sums: DataFrame, method: TestMethod) -> DataFrame:
 
 def _tied(data: ExprData, who: Comparison) -> tuple[DataFrame, list[str], Column]:
     """How many observations have each stored value that isn't zero: t in all, and mine in the group or at by label; the columns that tell the
-    compared observations apart, and how many these are."""
+    compared observations apart, and how many these are.
+
+    Entries are dealt to tasks of VARIABLES variables, of which there are more where there are more variables, and stay there until ranks are added up."""
     labels = data.obs.select("obs_id", who.label.alias("label"))
-    counts = data.x.where("value <> 0").join(labels, "obs_id").groupBy("var_id", "value", "label").agg(F.count(F.lit(1)).alias("c"))
+    tasks = max(1, -(-data.length(Direction.COLUMN) // VARIABLES))
+    entries = data.x.where("value <> 0").join(labels, "obs_id").select("var_id", "value", "label").repartition(tasks, "var_id")
+    counts = entries.groupBy("var_id", "value", "label").agg(F.count(F.lit(1)).alias("c"))
     if who.reference is None:
         each = counts.groupBy("var_id", "value").agg(F.sum("c").alias("t"), F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "c")))).alias("at"))
         return each, ["var_id"], F.lit(float(who.n_obs))
@@ -154,10 +160,12 @@ def mann_whitney(data: ExprData, who: Comparison, continuity: bool = True) -> Da
     negative = F.coalesce(F.sum(F.when(F.col("band") < 0, F.col("held"))).over(whole), F.lit(0)).cast("double")
     ahead = F.coalesce(F.sum("held").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
     bands = bands.select(*keys, "band", ahead.alias("ahead"), zeros.alias("zeros"), negative.alias("negative"))
+    # A key's bands are one row, which meets its values where they have been dealt to already.
+    bands = bands.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("band", "ahead"))).alias("aheads"), F.first("zeros").alias("zeros"), F.first("negative").alias("negative"))
     t = F.col("t").cast("double")
     inside = Window.partitionBy(*keys, "band").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("ahead") + F.coalesce(F.sum("t").over(inside), F.lit(0)).cast("double")
-    ranked = base.join(bands, [*keys, "band"])
+    below = F.element_at("aheads", F.col("band")) + F.coalesce(F.sum("t").over(inside), F.lit(0)).cast("double")
+    ranked = base.join(bands, keys)
     ranked = ranked.withColumns({"rank": below + F.when(F.col("value") > 0, F.col("zeros")).otherwise(0.0) + (t + 1.0) / 2.0, "tie": t * t * t - t})
     names = F.array(*map(F.lit, who.tested)) if who.tested else F.array().cast("array<string>")
     if who.reference is None:

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -364,3 +366,17 @@ def test_percentile_flavor_reads_entries_once(spark, n_top):
     data = data.with_(x=data.x.withColumn("value", seen("value")))
     assert hvg.percentile(data, hvg.HVGParams(n_bins=3, n_top_genes=n_top, max_mean=99.0)).count() == 20
     assert read.value == 120
+
+
+@pytest.mark.parametrize("reference", [None, "B"])
+def test_ranks_are_found_in_tasks_of_few_variables(spark, monkeypatch, reference):
+    """Tasks grow in number with the variables, and entries are dealt to them once."""
+    dense, labels = three_groups()
+    data = container(spark, np.round(dense), labels)
+    who = diffexp.resolve(data, "segment", reference)
+    want = diffexp.mann_whitney(data, who).orderBy("group", "var_id").collect()
+    monkeypatch.setattr(diffexp, "VARIABLES", 3)
+    found = diffexp.mann_whitney(data, who)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(var_id#\d+L, 4\), REPARTITION_BY_NUM", plan)) >= 1
+    assert found.orderBy("group", "var_id").collect() == want
