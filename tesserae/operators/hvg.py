@@ -9,7 +9,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.loess import batches, kept, merged, normalized_variances, places
+from tesserae.operators.loess import batches, kept, merged, normalized_variances, places, sums
 from tesserae.operators.statistics import variance_of
 from tesserae.operators.trend import kernel_trend
 from tesserae.plans.data import Direction, ExprData
@@ -44,13 +44,15 @@ class HVGParams:
     batch_key: str | None = None
 
 
-def moments(data: ExprData) -> DataFrame:
-    """var_id, mean and variance over all observations."""
+def moments(data: ExprData, parts: DataFrame | None = None) -> DataFrame:
+    """var_id, mean and variance over all observations, from entries or from parts (var_id, s, q), sums of some of their values and squares each."""
     n = data.length(Direction.ROW)
-    found = data.x.groupBy("var_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    sums, squares = (F.coalesce(c, F.lit(0.0)) for c in ("s", "q"))
-    mean = sums / F.lit(float(n)) if n else F.lit(None).cast("double")
-    return data.var.select("var_id").join(found, "var_id", "left").select("var_id", mean.alias("mean"), variance_of(n, sums, squares).alias("variance"))
+    if parts is None:
+        parts = data.x.select("var_id", F.col("value").alias("s"), (F.col("value") * F.col("value")).alias("q"))
+    found = parts.groupBy("var_id").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+    total, squares = (F.coalesce(c, F.lit(0.0)) for c in ("s", "q"))
+    mean = total / F.lit(float(n)) if n else F.lit(None).cast("double")
+    return data.var.select("var_id").join(found, "var_id", "left").select("var_id", mean.alias("mean"), variance_of(n, total, squares).alias("variance"))
 
 
 def dispersions(rows: DataFrame) -> DataFrame:
@@ -230,15 +232,18 @@ def loess(data: ExprData, params: HVGParams) -> DataFrame:
     Each batch (a value of the column batch_key of obs; null takes no part) ranks its variables by their clipped variance in variances of a local
     regression over span of them. With n_top_genes, those are chosen that are first by the median of their ranks among the n_top_genes of
     a batch, then by the number of such batches, then by var_id; else those within the bounds of mean and with a variances_norm above min_dispersion."""
+    if params.span <= 0:
+        raise ValueError("span must be positive")
     n_batches = batches(data, params.batch_key).select("batch").distinct().count()
-    found = merged(normalized_variances(data, params.span, params.batch_key), n_batches, params.n_top_genes, params.min_dispersion)
+    parts = sums(data, params.batch_key)
+    found = merged(normalized_variances(data, parts, params.span, params.batch_key), n_batches, params.n_top_genes, params.min_dispersion)
     if params.n_top_genes is not None:
         # Medians are multiples of a half, so that one number has them and then the number of batches.
         order = F.col("highly_variable_rank") * (2.0 * (n_batches + 1)) - F.col("highly_variable_nbatches")
         found = kept(found.withColumn("batch", F.lit("")))
         best = places(found.where("highly_variable_nbatches > 0"), order, "place").select("var_id", "place")
         found = found.join(best, "var_id", "left")
-    rows = moments(data).join(found, "var_id", "left")
+    rows = moments(data, parts).join(found, "var_id", "left")
     norm, many = F.coalesce("variances_norm", F.lit(0.0)), F.coalesce("highly_variable_nbatches", F.lit(0)).cast("long")
     rows = rows.withColumns({"variances_norm": norm, "highly_variable_nbatches": many})
     if params.n_top_genes is not None:

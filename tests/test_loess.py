@@ -137,3 +137,44 @@ def test_a_value_goes_to_few_blocks_of_its_batch(spark, monkeypatch):
         own = np.flatnonzero(names == batch)
         assert [got[i] for i in own.tolist()] == pytest.approx(plain_fit(x[own], y[own], 0.3).tolist(), abs=1e-8)
     assert 0 < sent.value <= 400 * 5
+
+
+def named_batches(spark, dense, labels):
+    data = container(spark, dense)
+    return data.with_(obs=data.obs.join(spark.createDataFrame(list(enumerate(labels)), "obs_id long, lab string"), "obs_id", "left"))
+
+
+def test_entries_are_read_once_where_one_value_is_clipped_at_most(spark):
+    """Moments over all observations, those of batches and clipped variances come from one pass."""
+    rng = np.random.default_rng(6)
+    dense, labels = rng.poisson(5.0, (60, 40)).astype(float), ["a" if i < 25 else "b" if i < 55 else None for i in range(60)]
+    dense[30, 3], dense[57, 4] = 400.0, 90.0
+    data, read = named_batches(spark, dense, labels), spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for part in parts:
+            read.add(part.num_rows)
+            yield part
+
+    data = data.with_(x=data.x.mapInArrow(seen, data.x.schema))
+    rows = hvg.loess(data, hvg.HVGParams(batch_key="lab", n_top_genes=5, span=0.5)).orderBy("var_id").collect()
+    assert read.value == np.count_nonzero(dense)
+    norms = [plain_norms(dense[[i for i, own in enumerate(labels) if own == b]], 0.5) for b in "ab"]
+    assert [r["variances_norm"] for r in rows] == pytest.approx(np.nan_to_num(norms).mean(axis=0).tolist(), abs=1e-7)
+    assert [r["means"] for r in rows] == pytest.approx(dense.mean(axis=0).tolist())
+    assert [r["variances"] for r in rows] == pytest.approx(dense.var(axis=0, ddof=1).tolist())
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_variables_with_more_clipped_values_or_small_deviations(spark, monkeypatch, few):
+    """Their entries are read again, whether they are few or not; sums of squares don't have the digits of a variance by far below the mean."""
+    monkeypatch.setattr(loess, "FEW", few, raising=False)
+    rng = np.random.default_rng(8)
+    dense, labels = rng.poisson(5.0, (80, 40)).astype(float), ["a" if i < 35 else "b" for i in range(80)]
+    dense[[3, 40, 41, 42], 3], dense[[1, 2], 5], dense[[50, 60], 6], dense[:, 7] = 300.0, [200.0, 90.0], -400.0, 1e3 + rng.normal(size=80)
+    norms = [plain_norms(dense[[i for i, own in enumerate(labels) if own == b]], 0.5) for b in "ab"]
+    for more in ({"n_top_genes": 3}, {"min_dispersion": 1.0, "max_mean": 1e9}):
+        rows = hvg.loess(named_batches(spark, dense, labels), hvg.HVGParams(batch_key="lab", span=0.5, **more)).orderBy("var_id").collect()
+        assert [r["variances_norm"] for r in rows] == pytest.approx(np.nan_to_num(norms).mean(axis=0).tolist(), abs=1e-6)
+        hits = [np.argsort(-norm, kind="stable")[:3] if "n_top_genes" in more else np.flatnonzero(norm > 1.0) for norm in norms]
+        assert [r["highly_variable_nbatches"] for r in rows] == [sum(v in hit for hit in hits) for v in range(40)]
