@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import diffexp, filtering, hvg, pca, qc, selection, statistics, subspace, transform, trend
 from tesserae.plans.data import Direction, ExprData, with_index
-from tesserae.plans.queries import _row_sums
+from tesserae.plans.queries import CELLS, QUERIES, _row_sums
 from tests.fixtures import container, three_groups
 
 ROW, COLUMN = Direction.ROW, Direction.COLUMN
@@ -336,6 +336,24 @@ def test_dense_rows_in_pieces_and_of_many_variables(spark):
     assert [tuple(r) for r in got] == [(0, 300_000, 3.0, 600_008.0, 7 * 7919 % 1009 + 2.0 * (299_999 * 7919 % 1009))]
 
 
+def test_cells_of_dense_rows_are_added_up_several_a_row(spark, sf_dir):
+    """A row in Spark for each cell was what densify took its time for; pieces of any length, and odd observations, have the sums of all of their cells."""
+    plan = QUERIES["densify"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and f"v{CELLS - 1}" in plan
+    rng = np.random.default_rng(11)
+    for width in (1, CELLS - 1, CELLS, 3 * CELLS + 1, 2500):
+        dense = np.where(rng.random((4, 2500)) < [[0.0], [0.001], [0.3], [1.0]], rng.integers(-9, 9, (4, 2500)) / 2, 0.0)
+        data = container(spark, dense)
+        more = spark.createDataFrame([(99, 0, 5.0), (None, 1, 6.0), (9, 2499, 0.5)], "obs_id long, var_id long, value double")
+        data = data.with_(obs=data.obs.select("obs_id").union(spark.createDataFrame([(None,), (9,), (9,)], "obs_id long")), x=data.x.union(more))
+        at, last = np.arange(2500), np.eye(1, 2500, 2499)[0] / 2
+        rows = {**dict(enumerate(dense)), None: last * 0, 9: last}
+        want = {k: ((1 + (k == 9)) * np.array([2500, v.sum(), (v * (at + 1)).sum(), (v * (at * 7919 % 1009)).sum()])).tolist() for k, v in rows.items()}
+        assert {r["obs_id"]: list(r[1:]) for r in _row_sums(selection.dense_pieces(data, width)).collect()} == want
+    single = data.with_(x=transform.convert_to_float(data.x, "single"))
+    assert {r["obs_id"]: list(r[1:]) for r in _row_sums(selection.dense_pieces(single)).collect()} == want
+
+
 @pytest.mark.parametrize("center", [True, False])
 def test_few_observations_are_a_basis(spark, monkeypatch, center):
     """Their components come without a step, and equal those that steps find and those of a decomposition."""
